@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -20,11 +21,17 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir)."""
+    """A reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir).
+
+    What led to it is not needed any more: a collection lets Spark's cleaner remove those shuffle files.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="foliospark-"))
-    return df.checkpoint()
+    done = df.checkpoint()
+    gc.collect()
+    sc._jvm.System.gc()
+    return done
 
 
 def parts(text: str, size: int = 1 << 20, gap: str = " ") -> Iterator[str]:

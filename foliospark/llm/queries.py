@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from . import topk
+from .decontaminate import op5_benchmark_decontamination
+from .language import op4_language_id
+from .near_dups import op9_minhash_near_dups
 from .packing import op8_best_fit_packing
 from .pii import op10_pii_pseudonyms
+from .quality import op6_quality_classifier
 from .secrets import op7_secret_scans
 from .token_counts import op1_token_counts
+from .topk import op3_exact_topk
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op7_secret_scans, op8_best_fit_packing, op10_pii_pseudonyms)}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op3_exact_topk, op4_language_id, op5_benchmark_decontamination, op6_quality_classifier,
+        op7_secret_scans, op8_best_fit_packing, op9_minhash_near_dups, op10_pii_pseudonyms,
+    )
+}
+ORACLE = {"op3_exact_topk": topk.ORACLE_SQL}
