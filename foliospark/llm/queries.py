@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import topk
 from .decontaminate import op5_benchmark_decontamination
 from .language import op4_language_id
+from .line_dedup import op2_line_dedup
 from .near_dups import op9_minhash_near_dups
 from .packing import op8_best_fit_packing
 from .pii import op10_pii_pseudonyms
@@ -16,7 +17,7 @@ from .topk import op3_exact_topk
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_counts, op3_exact_topk, op4_language_id, op5_benchmark_decontamination, op6_quality_classifier,
+        op1_token_counts, op2_line_dedup, op3_exact_topk, op4_language_id, op5_benchmark_decontamination, op6_quality_classifier,
         op7_secret_scans, op8_best_fit_packing, op9_minhash_near_dups, op10_pii_pseudonyms,
     )
 }
