@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import WordHashes, parts, small_batches, table
 
@@ -132,7 +133,7 @@ def score(docs: DataFrame, model: Ordinal, keep_above: float = 0.5) -> DataFrame
     shared = spark.sparkContext.broadcast(model)
     names = ("expected_grade", "p_good", "keep")
     docs = docs.drop(*names)
-    schema = docs.schema.add("expected_grade", "double").add("p_good", "double").add("keep", "boolean")
+    schema = StructType(docs.schema.fields[:]).add("expected_grade", "double").add("p_good", "double").add("keep", "boolean")
 
     def predict(batches):
         features, own = Features(), shared.value
