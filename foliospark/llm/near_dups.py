@@ -7,8 +7,9 @@ short documents are found like long ones; bands of 5 registers then hash to keys
 registers is corrected for chance collisions; pairs that are far below the threshold by it (4 standard deviations) are
 dropped, the others are verified on full sets.
 
-Equal sets are one node, so exact copies are never compared. Candidates come from components.py: no bucket is expanded
-into all pairs, and none is capped. A pair at the threshold misses all 25 bands with probability of about 4e-7.
+Equal sets are one node, so exact copies are never compared. Members of a bucket are first paired with its pivot
+(components.py). What is still apart after that is compared block against block among the members of a pivot, and only
+links that join two components leave a block: no bucket is expanded into rows of pairs, and none is capped. A pair at the threshold misses all 25 bands with probability of about 4e-7.
 
 Cases: null and empty texts and texts without words have no shingles and link to nothing; fewer words than a shingle make
 one shingle of the whole sequence; repeated rows give a row each, and texts under one doc_id are one node; rows with null
@@ -19,14 +20,17 @@ no rows.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, filter_of, in_filter, mix, small_batches, table
-from .components import OPEN, components, open_members, pivot_pairs, with_pivots
+from .components import components, open_clusters, pivot_pairs, with_pivots
 
 BUCKETS, MANTISSA, ROWS, BANDS = 128, 10, 5, 25
+#: Members of a block on either side.
+BLOCKS = (512, 1024)
 EMPTY = np.uint16(0xFFFF)
 #: Nodes of sets that have no row with an id lie above all ids.
 NO_ID = 1 << 62
@@ -143,11 +147,9 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "ra", "rb").mapInArrow(test, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(filter_of(wanted, "node"))
+def _sets(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, own): the full sets of the nodes, read again from the texts; a fixed-size filter keeps others from being shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(filter_of(nodes, "node"))
 
     def sets(batches):
         import xxhash
@@ -161,7 +163,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s) for s in own], pa.binary()), pa.array(own, pa.binary())], ["doc_id", "mark", "own"])
 
     full = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sets, "doc_id long, mark binary, own binary")
-    full = cut(full.select(F.coalesce("doc_id", _no_id("mark")).alias("node"), "mark", "own").join(wanted, "node", "left_semi").dropDuplicates(["node", "mark"]).drop("mark"))
+    return full.select(F.coalesce("doc_id", _no_id("mark")).alias("node"), "mark", "own").join(nodes, "node", "left_semi").dropDuplicates(["node", "mark"]).drop("mark")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
+    pairs = cut(pairs)
+    full = cut(_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, size))
     both = pairs.join(full.withColumnsRenamed({"node": "b", "own": "sb"}), "b").join(full.withColumnsRenamed({"node": "a", "own": "sa"}), "a")
 
     def test(batches):
@@ -177,6 +185,55 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long").distinct()
 
 
+def span(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) between components (columns node, root, own) of two blocks: as few as join what can be joined.
+
+    Sketch estimates rule pairs out; the others are confirmed on full sets, for one member against all likely ones at once.
+    """
+    boss: dict[int, int] = {}
+
+    def find(x):
+        while boss.get(x, x) != x:
+            x = boss[x]
+        return x
+
+    out, at = [], percent / 100
+    ls, rs = ([np.frombuffer(o, np.uint64) for o in f["own"]] for f in (left, right))
+    l_node, r_node, l_root, r_root = (f[c].to_numpy(np.int64) for c in ("node", "root") for f in (left, right))
+    lk, rk = (np.stack([sketch(s) for s in x]) for x in (ls, rs))
+    size = np.array([len(s) for s in rs])
+    flat, start = np.concatenate(rs), np.append(0, np.cumsum(size))
+    for i in range(len(ls)):
+        own = find(int(l_root[i]))
+        j, n = estimate(lk[i][None, :], rk)
+        likely = (j >= at - 4 * np.sqrt(at * (1 - at) / np.maximum(n, 1)) - 0.02) & (100 * np.minimum(size, len(ls[i])) >= percent * np.maximum(size, len(ls[i])))
+        likely = np.flatnonzero(likely & (r_root != l_root[i]) & (r_node != l_node[i]))
+        if not len(likely):
+            continue
+        some = np.concatenate([flat[start[k] : start[k + 1]] for k in likely])
+        spot = np.minimum(np.searchsorted(ls[i], some), len(ls[i]) - 1)
+        common = np.add.reduceat((ls[i][spot] == some).astype(np.int64), np.append(0, np.cumsum(size[likely]))[:-1])
+        for k in likely[100 * common >= percent * (size[likely] + len(ls[i]) - common)]:
+            other = find(int(r_root[k]))
+            if other != own:
+                boss[max(own, other)] = own = min(own, other)
+                out.append((int(l_node[i]), int(r_node[k])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def _spanned(buckets: DataFrame, roots: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components that share a pivot, found block against block: no pair is a row."""
+    left, right = open_clusters(buckets, roots, *BLOCKS)
+    sets = cut(_sets(right.select("node").distinct(), docs, size))
+    names = ["pivot", "lb", "rb", "node", "root", "own"]
+    side = lambda f, names: f.join(sets, "node").select("pivot", "lb", "rb", "node", "root", "own").toDF(*names).groupBy(*names[:3])
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return span(x, y.set_axis(names, axis=1), percent) if len(x) and len(y) else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+
+    return side(left, names).cogroup(side(right, [f"{n}_" for n in names])).applyInPandas(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
     made = cut(sketches(docs, size))
@@ -184,11 +241,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     nodes = cut(nodes.select("mark", F.coalesce("node", _no_id("mark")).alias("node"), "registers"))
     buckets = with_pivots(_keys(nodes))
     links = cut(_verified(_likely(pivot_pairs(buckets), nodes, percent), docs, size, percent))
-    left, right = open_members(buckets, components(links))
-    rest = left.join(right, "key").where(OPEN).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = cut(_likely(rest, nodes, percent))
-    if not rest.isEmpty():
-        links = cut(links.union(_verified(rest, docs, size, percent)))
+    more = cut(_spanned(buckets, components(links), docs, size, percent))
+    links = links.union(more)
     roots = components(links)
     named = made.select("doc_id", "n_shingles", "mark").join(nodes.select("mark", "node"), "mark", "left").join(roots, "node", "left")
     whole = F.coalesce("root", "node", "doc_id")
