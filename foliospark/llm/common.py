@@ -29,6 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="foliospark-"))
     done = df.checkpoint()
+    del df
     gc.collect()
     sc._jvm.System.gc()
     return done
