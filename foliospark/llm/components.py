@@ -35,6 +35,11 @@ def components(edges: DataFrame) -> DataFrame:
         e = cut(hub.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", F.col("m").alias("lo"))).distinct())
 
 
+def stars(roots: DataFrame) -> DataFrame:
+    """Found components as edges again, to which further ones can be added."""
+    return roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def with_pivots(members: DataFrame) -> DataFrame:
     """(key, node, pivot) of buckets (key, node) that have two members or more."""
     counts = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHashes, cut, filter_of, in_filter, mix, small_batches, table
-from .components import components, open_clusters, pivot_pairs, with_pivots
+from .components import components, open_clusters, pivot_pairs, stars, with_pivots
 
 BUCKETS, MANTISSA, ROWS, BANDS = 128, 10, 5, 25
 #: Members of a block on either side.
@@ -241,9 +241,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     nodes = cut(nodes.select("mark", F.coalesce("node", _no_id("mark")).alias("node"), "registers"))
     buckets = with_pivots(_keys(nodes))
     links = cut(_verified(_likely(pivot_pairs(buckets), nodes, percent), docs, size, percent))
-    more = cut(_spanned(buckets, components(links), docs, size, percent))
-    links = links.union(more)
     roots = components(links)
+    more = cut(_spanned(buckets, roots, docs, size, percent))
+    if not more.isEmpty():
+        roots = components(stars(roots).union(more))
     named = made.select("doc_id", "n_shingles", "mark").join(nodes.select("mark", "node"), "mark", "left").join(roots, "node", "left")
     whole = F.coalesce("root", "node", "doc_id")
     named = named.select("doc_id", "n_shingles", F.when(whole < NO_ID, whole).alias("component_id"))
