@@ -45,7 +45,7 @@ def document_name(path: Column) -> Column:
 def is_markdown_path(path: Column) -> Column:
     """A relative path of a Markdown file outside the reserved folders."""
     parts = F.split(path, "/", -1)
-    reserved = F.exists(parts, lambda p: p.isin(".git", ".vds", ".vds2-staging", "..", ".", ""))
+    reserved = F.exists(parts, lambda p: p.isin(".git", ".foliospark", "..", ".", ""))
     return F.lower(path).endswith(".md") & ~reserved & ~F.contains(path, F.lit("\\"))
 
 

@@ -15,7 +15,7 @@ NOISE = r"(?:^|/)(?:\.#[^/]*|\.DS_Store|Thumbs\.db|4913|[^/]*~|#[^/]*#|[^/]*\.(?
 
 def relevant(kind: Column, path: Column) -> Column:
     """Changes of real files: no access events, no recovery folders, no noise."""
-    return (kind != "access") & ~path.rlike(r"(?:^|/)(?:recovery|\.git|\.vds|\.vds2-staging)(?:/|$)") & ~path.rlike(NOISE)
+    return (kind != "access") & ~path.rlike(r"(?:^|/)(?:recovery|\.git|\.foliospark)(?:/|$)") & ~path.rlike(NOISE)
 
 
 def fixed_windows(times: list[int], width: int = WINDOW_MS) -> list[tuple[int, int]]:
