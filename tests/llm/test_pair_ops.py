@@ -142,6 +142,35 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_finds_what_edit_similarity_links(spark):
+    """Against brute force without any gate on the candidates, by number of words."""
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7)))
+    pool = ["storage engine", "storage engines", "hello", "hallo", "one two three", "one twoo three", "Über uns gesagt", "über uns gesagtes", "一二三四五六七八九十一二三四", "一二三四五六七八九十一二三五"]
+    for n in (4, 8, 10, 15, 20, 30, 50):
+        for k in range(5):
+            base = [word() for _ in range(n)]
+            own = list(base)
+            for at in rnd.sample(range(n), 1 + k * n // 30):
+                own[at] = word()
+            typed = list(" ".join(base))
+            for at in rnd.sample(range(len(typed)), len(typed) // 30):
+                typed[at] = "z"
+            pool += [" ".join(base), " ".join(own), "".join(typed)]
+    pool = list(dict.fromkeys(pool))
+    rnd.shuffle(pool)
+    low = [x.lower() for x in pool]
+    links = []
+    for i, x in enumerate(low):
+        for j in range(i):
+            allowed = int(max(len(x), len(low[j])) * 0.2 + 1e-9)
+            if abs(len(x) - len(low[j])) <= allowed and sum((Counter(x) - Counter(low[j])).values()) <= allowed and edit_distance(x, low[j]) <= allowed:
+                links.append((i, j))
+    want = groups(len(pool), links)
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, list(enumerate(pool))), grams=True).collect()}
+    assert len(links) > 60 and got == {i: int(g != i) for i, g in enumerate(want)}
+
+
 def test_simhash_by_hand(spark):
     lines = line_dedup.lines_of(frame(spark, [(1, "One two, three two\n" + "x y z " * 300)]))
     got = {r.h: r for r in line_dedup.distinct_lines(lines).collect()}
