@@ -3,7 +3,7 @@
 Words are lower-cased runs of word characters. Each mask of 12 places hashes the 8 words at its ones and ignores the
 others, so a substituted word in an ignored place does not hide a hit. Hashes of benchmark items and of documents are
 joined; hits on one diagonal (document place minus item place) are verified by aligning the whole item along it: the
-best stretch with at least 80 % equal words must have 13 equal words (all, for shorter items). Items of 5 to 11
+stretch with the most equal words among those of at least 80 % must have 13 equal words (80 % of an item of 12 to 15). Items of 5 to 11
 words are sought by a plain hash of all their words; shorter ones are too common to tell.
 
 Documents are first passed through a fixed-size filter of the benchmark's hashes (4 MiB whatever the data), so only
@@ -30,6 +30,8 @@ MASKS = ("111010110011", "110110011101", "101110011011")
 SPAN = 12
 LEAST_WORDS = 5
 LEAST_EQUAL, LEAST_SHARE = 13, 0.8
+#: What an unequal word scores where an equal one scores 1: a stretch of the least share has 0 or more.
+UNEQUAL = -4
 _WORDS = re.compile(r"\w+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,11 +50,20 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """Start and end of the stretch with the highest score, an unequal word costing what four equal ones bring."""
-    total = np.append(0, np.cumsum(np.where(equal, 1, -LEAST_SHARE / (1 - LEAST_SHARE) + 1e-9)))
-    low = np.minimum.accumulate(total)
-    end = int((total - low).argmax())
-    return int(total[: end + 1].argmin()), end
+    """Start and end of the stretch with the most equal words among those with a share of LEAST_SHARE; of these the shortest."""
+    total = np.append(0, np.cumsum(np.where(equal, 1, UNEQUAL)))
+    count = np.append(0, np.cumsum(equal))
+    # for each end, the first start from which the total does not fall: where the running minimum reaches it
+    start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    got = count - count[start]
+    most = got.max()
+    if not most:
+        return 0, 0
+    ends = np.flatnonzero(got == most)
+    spots = np.flatnonzero(equal)
+    first, last = spots[count[start[ends]]], spots[count[ends] - 1]
+    k = int((last - first).argmin())
+    return int(first[k]), int(last[k]) + 1
 
 
 def _seeds(frame: DataFrame, id_col: str, masks: list[str], keep: np.ndarray | None, whole_short: bool) -> DataFrame:
@@ -115,7 +126,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         equal = own[lo:hi] == words[lo + d : hi + d]
                         s, e = best_stretch(equal)
                         best = max(best, (int(equal[s:e].sum()), s - e, -(lo + d + s)))
-                    if best[0] >= min(LEAST_EQUAL, len(own)):
+                    if best[0] >= min(LEAST_EQUAL, -(-4 * len(own) // 5) if len(own) >= SPAN else len(own)):
                         out.append((doc, th, item["item_id"], -best[2], -best[1], best[0]))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "th", "item_id", "start_word", "n_words", "n_equal"])

@@ -201,6 +201,27 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(docs, bench.limit(0)).count() == 0 and decontaminate.overlaps(docs.limit(0), bench).count() == 0
 
 
+def test_best_stretch_against_brute_force():
+    rnd = random.Random(15)
+    for _ in range(400):
+        equal = np.array([rnd.random() < 0.75 for _ in range(rnd.randint(1, 25))])
+        want = max((int(equal[a:b].sum()), a - b) for b in range(len(equal) + 1) for a in range(b + 1) if 5 * equal[a:b].sum() >= 4 * (b - a))
+        a, b = decontaminate.best_stretch(equal)
+        assert (int(equal[a:b].sum()), a - b) == want
+
+
+def test_decontamination_with_a_word_replaced(spark):
+    """One word of 15, at each place that leaves a seed."""
+    rnd = random.Random(16)
+    word = lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(5))
+    item = [word() for _ in range(15)]
+    rows = [(k, " ".join([word(), word(), *item[:k], word(), *item[k + 1 :], word()])) for k in range(15)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.n_equal for r in decontaminate.overlaps(frame(spark, rows), bench).collect()}
+    seeded = {k for k in range(15) if any(not (at <= k < at + 12 and m[k - at] == "1") for m in decontaminate.MASKS for at in range(4))}
+    assert got == dict.fromkeys(seeded, 14) and {2, 3, 11, 12} <= seeded
+
+
 def test_top_k(spark, monkeypatch):
     for name, value in (("CHUNK", 60), ("GROUP", 3)):
         monkeypatch.setattr(topk, name, value)
