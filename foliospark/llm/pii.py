@@ -29,6 +29,9 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|(?<![0-9])[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
+# From its 14th digit on a card ends where something of another kind begins, so that it does not swallow that.
+_OTHERS = "|".join(p for n, p in PATTERNS.items() if n != "card")
+PATTERNS["card"] = rf"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){{12}}(?:[ -]?(?!{_OTHERS})[0-9]){{0,6}}(?![0-9A-Za-z])"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
@@ -128,6 +131,28 @@ def _card(m: Column, key: str) -> Column:
     return _let(_only_digits(m), body)
 
 
+def _valid_card(m: Column) -> Column:
+    """struct<at, card>: the first, longest run of whole groups of digits that is a card, since an expiry date or a
+    security code may stand next to it; null without any."""
+    def spans(c):
+        n = F.length(c)
+        edge = lambda i: F.substr(c, i, F.lit(1)).rlike("^[ -]?$")
+        every = F.sequence(F.lit(1), n)
+        starts = F.filter(every, lambda i: (i == 1) | edge(i - 1))
+        ends = F.reverse(F.filter(every, lambda i: (i == n) | edge(i + 1)))
+        each = F.transform(starts, lambda a: F.transform(ends, lambda e: F.struct(a.alias("at"), F.substr(c, a, F.greatest(e - a + 1, F.lit(0))).alias("card"))))
+        def good(x):
+            return _let(_only_digits(x["card"]), lambda d: F.length(d).between(13, 19) & (F.pmod(luhn_sum(d), F.lit(10)) == 0) & ~d.rlike("^0+$"))
+        return F.get(F.filter(F.flatten(each), good), F.lit(0))
+    return _let(m, spans)
+
+
+def _card_within(m: Column, key: str) -> Column:
+    def body(v):
+        return F.concat(F.substr(m, F.lit(1), v["at"] - 1), _card(v["card"], key), F.substr(m, v["at"] + F.length(v["card"]), F.length(m)))
+    return _let(_valid_card(m), body)
+
+
 def _octets(m: Column) -> Column:
     return F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
 
@@ -189,15 +214,12 @@ def _whole(name: str) -> str:
 
 def kind_of(m: Column) -> Column:
     """The kind of a match that validates, else null."""
-    def ok(digits):
-        return F.pmod(luhn_sum(digits), F.lit(10)) == 0
-    digits = _only_digits(m)
     return (
         F.when(m.contains("@"), F.lit("email"))
         .when(m.rlike(_whole("ip")) & (F.aggregate(_octets(m), F.lit(0), lambda a, x: F.greatest(a, x)) < 256), F.lit("ip"))
         .when(m.rlike(_whole("date")) & _as_date(m).isNotNull(), F.lit("date"))
         .when(m.rlike(_whole("ssn")) & ~m.rlike("^(?:000|666|9..)|-00-|-0000$"), F.lit("ssn"))
-        .when(m.rlike(_whole("card")) & F.length(digits).between(13, 19) & ok(digits) & ~digits.rlike("^0+$"), F.lit("card"))
+        .when(m.rlike(_whole("card")) & _valid_card(m).isNotNull(), F.lit("card"))
         .when(m.rlike(_whole("phone")), F.lit("phone"))
     )
 
@@ -206,7 +228,7 @@ def pseudonym(m: Column, key: str) -> Column:
     """struct<kind, out> of a match."""
     def body(kind):
         out = (
-            F.when(kind == "email", _email(m, key)).when(kind == "card", _card(m, key)).when(kind == "phone", _phone(m, key))
+            F.when(kind == "email", _email(m, key)).when(kind == "card", _card_within(m, key)).when(kind == "phone", _phone(m, key))
             .when(kind == "ip", _ip(m, key)).when(kind == "ssn", _ssn(m, key)).when(kind == "date", _date(m, key)).otherwise(m)
         )
         return F.struct(kind.alias("kind"), out.alias("out"))

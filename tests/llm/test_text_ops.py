@@ -193,6 +193,17 @@ def test_pseudonyms(spark):
     assert pii.pseudonymize(frame(spark, [])).count() == 0
 
 
+def test_cards_beside_other_digits(spark):
+    """Expiry, security code, a count before: the card is replaced alike each time, what stands beside it stays."""
+    card = "4111 1111 1111 1111"
+    rows = [f"card {card} 12/27", f"card {card} 123", "card 4111111111111111 123", f"2 {card}", f"{card} 7 up", f"{card} 503 555 4887", f"{card} 12/05/2020", "4111 1111 1111 1112 123", card]
+    got = [r for r in pii.pseudonymize(frame(spark, list(enumerate(rows))), "key").orderBy("doc_id").collect()]
+    new = got[8].text
+    assert new != card and [[x.kind for x in r.pii] for r in got] == [["card"]] * 5 + [["card", "phone"], ["card", "date"], [None], ["card"]]
+    assert [r.text for r in got[:6]] == [f"card {new} 12/27", f"card {new} 123", f"card {new.replace(' ', '')} 123", f"2 {new}", f"{new} 7 up", got[5].text] and got[5].text.startswith(new + " ")
+    assert got[6].text.startswith(new + " ") and "12/05/2020" not in got[6].text and got[7].text == rows[7]
+
+
 def test_feistel_is_a_permutation(spark):
     three = spark.range(1000).select(F.format_string("%03d", "id").alias("v")).select(pii.permute_text(F.col("v"), "t", "k").alias("w"))
     assert sorted(r.w for r in three.collect()) == [f"{i:03d}" for i in range(1000)]
