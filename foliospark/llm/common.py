@@ -72,6 +72,24 @@ def in_filter(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
 
 
+#: Rows of the native filter, a table of 64-bit words: its size does not depend on the data.
+FILTER_ROWS = 1 << 18
+
+
+def may_hold(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose long column may be among the keys', by a one-hash Bloom filter of at most FILTER_ROWS rows; DataFrame functions only."""
+    word = F.shiftrightunsigned(column, 6).bitwiseAND(F.lit(FILTER_ROWS - 1))
+    bit = F.expr(f"shiftleft(1L, cast((`{column}` & 63L) as int))")
+    words = keys.where(F.col(column).isNotNull()).groupBy(word.alias("filter_word")).agg(F.bit_or(bit).alias("filter_bits"))
+    held = rows.withColumn("filter_word", word).join(F.broadcast(words), "filter_word").where(F.col("filter_bits").bitwiseAND(bit) != 0)
+    return held.drop("filter_word", "filter_bits")
+
+
+def row_with(docs: DataFrame, *columns) -> DataFrame:
+    """The named columns beside ``row``, which holds all of the frame's own: no name of an input can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

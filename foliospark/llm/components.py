@@ -1,8 +1,8 @@
 """Connected components, and the candidate links that they need.
 
 Buckets of similar items are not expanded into all pairs. First each bucket's members are tried against its pivot, the
-member that shares the most bucket places with others; then, where a bucket still has members of several components,
-its members outside the largest of them are tried against the members of other components. Every pair that shares a
+member that shares the most bucket places with others, or simply its least; then, where a bucket still has members of
+several components, its members outside the largest of them are tried against the members of other components. Every pair that shares a
 bucket is then either in one component already or has been tried, so no link that could join two components is lost.
 """
 
@@ -54,18 +54,34 @@ def pivot_pairs(buckets: DataFrame) -> DataFrame:
     return buckets.where("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def open_members(buckets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of buckets that still hold several components: the members outside the largest one, and all; pivots have been tried."""
-    own = buckets.join(roots, "node", "left").select("key", "node", "pivot", F.coalesce("root", "node").alias("root"))
-    sizes = own.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top"))
-    several = own.join(sizes.where("roots > 1").select("key", F.col("top.root").alias("top")), "key").where("node != pivot")
-    several = cut(several.select("key", "node", "root", "top"))
-    left = several.where("root != top").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    return left, several.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), "top")
+#: Members of a block on either side, where pairs are tested in arrays.
+SIDE = 256
 
 
-#: Pairs of different components in one bucket, each once.
-OPEN = "root_a != root_b AND (root_b = top OR a < b)"
+def open_pairs(buckets: DataFrame, roots: DataFrame, traits: DataFrame, alike, side: int = SIDE) -> DataFrame:
+    """(a, b): pairs of members of different components in a bucket that are alike by their traits (node, ...); pivots have been tried.
+
+    Members outside a bucket's largest component meet all its members block against block, as arrays: only pairs that
+    pass become rows. ``alike`` takes two functions from a trait's name to its column.
+    """
+    own = buckets.where("node != pivot").select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    sizes = own.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / side).cast("int")
+    sizes = sizes.where("roots > 1").select("key", F.col("top.root").alias("top"), blocks(F.col("n") - F.col("top.n")).alias("nl"), blocks(F.col("n")).alias("nr"))
+    several = cut(own.join(sizes, "key").join(traits, "node"))
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    item = F.struct("node", "root", "top", *[c for c in traits.columns if c != "node"])
+    left = several.where("root != top").select("key", dealt("nl").alias("lb"), each("nr").alias("rb"), item.alias("item"))
+    right = several.select("key", each("nl").alias("lb"), dealt("nr").alias("rb"), item.alias("item"))
+    together = lambda f, name: f.groupBy("key", "lb", "rb").agg(F.collect_list("item").alias(name))
+    both = together(left, "left").join(together(right, "right"), ["key", "lb", "rb"])
+
+    def meet(x):
+        open_to = lambda y: (x["root"] != y["root"]) & ((y["root"] == x["top"]) | (x["node"] < y["node"])) & alike(lambda c: x[c], lambda c: y[c])
+        return F.transform(F.filter("right", open_to), lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")))
+
+    return both.select(F.explode(F.flatten(F.transform("left", meet))).alias("p")).select("p.a", "p.b").distinct()
 
 
 def open_clusters(buckets: DataFrame, roots: DataFrame, left_block: int, right_block: int) -> tuple[DataFrame, DataFrame]:

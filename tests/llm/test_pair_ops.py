@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import sys
 from collections import Counter
 
@@ -116,23 +117,30 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def edit_links(texts):
+    """All pairs of an edit similarity of 0.8 or more, without any gate on candidates."""
+    out, counts = [], [Counter(x) for x in texts]
+    for i, x in enumerate(texts):
+        for j in range(i):
+            allowed = int(max(len(x), len(texts[j])) * 0.2 + 1e-9)
+            if abs(len(x) - len(texts[j])) <= allowed and sum((counts[i] - counts[j]).values()) <= allowed and (x == texts[j] or edit_distance(x, texts[j]) <= allowed):
+                out.append((i, j))
+    return out
+
+
+def normal(line):
+    return " ".join(re.findall(r"[^\W_]+", line.lower()))
+
+
 def test_line_dedup_against_brute_force(spark):
+    """Nothing but edit similarity decides here."""
     rnd = random.Random(10)
     pool = copies(11, 25, [1] * 20 + [2, 5, 12], [0, 1, 1]) + ["***", "", "short line", "Short, LINE!", "word " * 400]
     rows = [(i, "\n".join(rnd.choices(pool, k=rnd.randint(1, 6)))) for i in range(40)] + [(50, None), (51, ""), (52, "***\n***")]
     docs = frame(spark, rows)
-    lines = line_dedup.lines_of(docs)
-    known = lines.join(line_dedup.distinct_lines(lines).select("h", "sim"), "h").withColumn("norm", line_dedup.normalised(F.col("low"))).select("doc_id", "pos", "h", "sim", "norm").collect()
-    spots = sorted(known, key=lambda r: (r.doc_id, r.pos))
-    links = []
-    for i, x in enumerate(spots):
-        for j in range(i):
-            y = spots[j]
-            longest = max(len(x.norm), len(y.norm))
-            if x.h == y.h or bin((x.sim ^ y.sim) & (2**64 - 1)).count("1") <= 3 and edit_distance(x.norm, y.norm) <= int(longest * 0.2 + 1e-9):
-                links.append((i, j))
-    want = groups(len(spots), links)
-    gone = {(s.doc_id, s.pos) for i, s in enumerate(spots) if want[i] != i}
+    spots = [(i, k, normal(x)) for i, t in rows if t for k, x in enumerate(t.split("\n")) if normal(x)]
+    want = groups(len(spots), edit_links([x for _, _, x in spots]))
+    gone = {s[:2] for i, s in enumerate(spots) if want[i] != i}
     assert len(gone) > 20
     got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
     for i, t in rows:
@@ -142,6 +150,46 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_recall_by_words_replaced(spark):
+    """Pairs of lines of 5 to 50 words with up to a fifth replaced, each pair on its own; at least 0.9 of those that edit similarity links are found."""
+    rnd, links, rows = random.Random(30), set(), []
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9)))
+    for n, k in ((5, 1), (10, 1), (10, 2), (20, 1), (20, 4), (50, 1), (50, 3), (50, 8), (50, 10)):
+        for _ in range(40):
+            base = [word() for _ in range(n)]
+            own = list(base)
+            for at in rnd.sample(range(n), k):
+                own[at] = word()
+            a, b = " ".join(base), " ".join(own)
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+            if edit_distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
+                links.add((n, k, len(rows) - 1))
+    gone = {r.doc_id for r in line_dedup.dedup_lines(frame(spark, rows)).where("n_removed = 1").select("doc_id").collect()}
+    assert gone <= {x for _, _, x in links} and len(links) > 200
+    for n, k in {x[:2] for x in links}:
+        own = [x for x in links if x[:2] == (n, k)]
+        assert sum(x[2] in gone for x in own) >= 0.9 * len(own), (n, k, len(own))
+
+
+def test_line_dedup_names_and_hot_lines(spark):
+    """Any column name of the input stays; open members are compared in blocks of any size."""
+    names = ["_gone", "_d", "_h", "_th", "th", "gone", "row", "h", "key", "node", "d", "t"]
+    rows = [(i, "same line of some words in every document\n" + f"own line {i} " * 3, *names) for i in range(30)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"] and got.where("_gone = '_gone' and th = 'th' and row = 'row'").count() == 30
+    assert {r.doc_id: r.n_removed for r in got.collect()}[0] == 0 and got.where("doc_id > 0 and n_removed = 0").count() == 0
+
+
+def test_open_pairs_leave_no_pair_out(spark):
+    nodes = spark.createDataFrame([(i, i % 7) for i in range(60)], "node long, trait int")
+    buckets = nodes.select(F.lit(1).alias("key"), "node", F.lit(0).cast("long").alias("pivot")).union(nodes.where("node < 20").select(F.lit(2), "node", F.lit(0).cast("long")))
+    roots = nodes.where("node % 5 = 0").select("node", F.lit(0).cast("long").alias("root"))
+    got = {(r.a, r.b) for r in cc.open_pairs(buckets, roots, nodes, lambda x, y: x("trait") == y("trait"), 4).collect()}
+    root = {i: 0 if i % 5 == 0 else i for i in range(60)}
+    assert got == {(i, j) for j in range(1, 60) for i in range(1, j) if i % 7 == j % 7 and root[i] != root[j]}
+
+
 def test_line_dedup_finds_what_edit_similarity_links(spark):
     """Against brute force without any gate on the candidates, by number of words."""
     rnd = random.Random(14)
@@ -159,27 +207,23 @@ def test_line_dedup_finds_what_edit_similarity_links(spark):
             pool += [" ".join(base), " ".join(own), "".join(typed)]
     pool = list(dict.fromkeys(pool))
     rnd.shuffle(pool)
-    low = [x.lower() for x in pool]
-    links = []
-    for i, x in enumerate(low):
-        for j in range(i):
-            allowed = int(max(len(x), len(low[j])) * 0.2 + 1e-9)
-            if abs(len(x) - len(low[j])) <= allowed and sum((Counter(x) - Counter(low[j])).values()) <= allowed and edit_distance(x, low[j]) <= allowed:
-                links.append((i, j))
+    links = edit_links([x.lower() for x in pool])
     want = groups(len(pool), links)
-    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, list(enumerate(pool))), grams=True).collect()}
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, list(enumerate(pool)))).collect()}
     assert len(links) > 60 and got == {i: int(g != i) for i, g in enumerate(want)}
 
 
 def test_simhash_by_hand(spark):
-    lines = line_dedup.lines_of(frame(spark, [(1, "One two, three two\n" + "x y z " * 300)]))
-    got = {r.h: r for r in line_dedup.distinct_lines(lines).collect()}
-    words = spark.createDataFrame([(w,) for w in "one two three x y z".split()], "w string").select("w", F.xxhash64("w").alias("h")).collect()
+    many = "alpha bravo charlie delta foxtrot golf hotel india juliet november"
+    texts = spark.createDataFrame([(1, "one two three two"), (2, many), (3, "ab")], "node long, norm string")
+    got = {r.node: r for r in line_dedup.simhashes(texts).collect()}
+    features = {1: ["one two three two"[i : i + 3] for i in range(15)], 2: [w for w in many.split() if len(w) > 4]}
+    words = spark.createDataFrame([(w,) for f in features.values() for w in f], "w string").select("w", F.xxhash64("w").alias("h")).collect()
     code = {r.w: r.h & (2**64 - 1) for r in words}
-    for row in lines.withColumn("norm", line_dedup.normalised(F.col("low"))).collect():
-        own = row.norm.split()
+    for k, own in features.items():
         want = sum(1 << b for b in range(64) if 2 * sum(code[w] >> b & 1 for w in own) > len(own))
-        assert got[row.h].sim & (2**64 - 1) == want
+        assert (got[k].sim & (2**64 - 1), got[k].by) == (want, k == 2)
+    assert len(got) == 3
 
 
 def test_decontamination(spark):
