@@ -217,12 +217,13 @@ def test_simhash_by_hand(spark):
     many = "alpha bravo charlie delta foxtrot golf hotel india juliet november"
     texts = spark.createDataFrame([(1, "one two three two"), (2, many), (3, "ab")], "node long, norm string")
     got = {r.node: r for r in line_dedup.simhashes(texts).collect()}
-    features = {1: ["one two three two"[i : i + 3] for i in range(15)], 2: [w for w in many.split() if len(w) > 4]}
-    words = spark.createDataFrame([(w,) for f in features.values() for w in f], "w string").select("w", F.xxhash64("w").alias("h")).collect()
-    code = {r.w: r.h & (2**64 - 1) for r in words}
-    for k, own in features.items():
-        want = sum(1 << b for b in range(64) if 2 * sum(code[w] >> b & 1 for w in own) > len(own))
-        assert (got[k].sim & (2**64 - 1), got[k].by) == (want, k == 2)
+    features = {1: ["one two three two"[i : i + 4] for i in range(14)], 2: [w for w in many.split() if len(w) > 4]}
+    words = spark.createDataFrame([(w,) for f in features.values() for w in f], "w string").select("w", F.xxhash64("w").alias("h"), F.xxhash64("w", F.lit(1)).alias("g")).collect()
+    for name, other in (("h", "sim"), ("g", "sim2")):
+        code = {r.w: r[name] & (2**64 - 1) for r in words}
+        for k, own in features.items():
+            want = sum(1 << b for b in range(64) if 2 * sum(code[w] >> b & 1 for w in own) > len(own))
+            assert (got[k][other] & (2**64 - 1), got[k].by) == (want, k == 2)
     assert len(got) == 3
 
 
