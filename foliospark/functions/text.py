@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = r"[\p{IsAlphabetic}\p{N}]+"
+TOKEN = r"[a-zA-Z0-9\p{IsAlphabetic}\p{N}]+"
+#: Where a token has parts.
+HUMP = r"\p{IsLowercase}\p{IsUppercase}|\p{IsUppercase}\p{IsUppercase}\p{IsLowercase}"
 #: Between a lower-case letter and an upper-case one, and before the last of several upper-case letters if a lower-case one follows.
 CAMEL = r"(?<=\p{IsLowercase})(?=\p{IsUppercase})|(?<=\p{IsUppercase})(?=\p{IsUppercase}\p{IsLowercase})"
 
@@ -23,6 +25,14 @@ def tokens(text: Column) -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0), expand))
 
 
+def token_rows(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(*keep, term): a row for each of the ``tokens`` of a column; only tokens with capitals inside are looked at again."""
+    raw = rows.select(*keep, F.explode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), 0)).alias("token")).withColumn("low", F.lower("token"))
+    split = (F.col("token") != F.col("low")) & F.col("token").rlike(HUMP)
+    parts = F.filter(F.transform(camel_parts(F.col("token")), F.lower), lambda p: p != F.col("low"))
+    return raw.select(*keep, F.explode(F.when(split, F.concat(F.array("low"), parts)).otherwise(F.array("low"))).alias("term"))
+
+
 def sha256(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 

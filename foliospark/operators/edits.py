@@ -3,27 +3,51 @@
 An edit is a row (document_id, seq, op, args as JSON). ``apply_edits`` groups the edits by document next to its text and
 applies them in turn inside one task per document, so a batch of edits over many documents is one shuffle on
 document_id. The functions below work on one document's text; after a structural edit the tree is that of the rendered text.
+
+Sections keep their ids over every edit: a text carries them (``Marked``), structural edits move ids with their sections, and
+after a content edit that adds or swallows headings the trees are aligned by level and title. New sections get new ids.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Callable
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import FolioError, InvalidInput
-from ..sources.markdown import Section, find, headings, parse, render, subtree
+from ..errors import FolioError, InvalidInput, Locked
+from ..sources.markdown import Marked, Section, find, headings, ordered, parse, render, subtree
+
+
+def new_id(path: str, text: str, ids, n: int) -> str:
+    """An id that no section of the document has had in this state: derived, since tasks may run again."""
+    return "sec-" + hashlib.sha256("\x1f".join([path, text, *ids, str(n)]).encode("utf-8", "surrogatepass")).hexdigest()[:22]
+
+
+def carried(path: str, before: list[Section], text: str) -> Marked:
+    """A new text with the ids of the sections that were there before."""
+    after = parse(path, str(text))
+    ids = [s.id for s in before]
+    if len(after) != len(before):
+        shape = lambda x: [(s.level, s.title) for s in x]
+        kept: list[str | None] = [None] * len(after)
+        for a, b, n in SequenceMatcher(None, shape(before), shape(after), autojunk=False).get_matching_blocks():
+            kept[b : b + n] = ids[a : a + n]
+        kept[0] = ids[0]
+        ids = [k or new_id(path, text, ids, n) for n, k in enumerate(kept)]
+    return Marked(text, ids)
 
 
 def _line_ends(old: str, new: str) -> str:
     return re.sub(r"(?<!\r)\n", "\r\n", new) if "\r\n" in old else new
 
 
-def _splice(text: str, s: Section, body: str) -> str:
+def _splice(path: str, text: str, s: Section, body: str) -> str:
     """The text with a section's body replaced: one blank line around a body, none for an empty one."""
     start, end = (0, headings(text)[0].start if headings(text) else len(text)) if s.span is None else s.span[1:]
     body = body.strip("\r\n")
@@ -31,23 +55,23 @@ def _splice(text: str, s: Section, body: str) -> str:
     middle = ("\n" if s.span else "") + body + "\n" + ("\n" if after else "") if body else ("\n" if s.span and after else "")
     if before and not before.endswith("\n"):
         before += "\n"
-    return _line_ends(text, before + middle + after)
+    return carried(path, parse(path, text), _line_ends(text, before + middle + after))
 
 
 def update_section(path: str, text: str, section: str, content: str) -> str:
-    return _splice(text, find(parse(path, text), section), content)
+    return _splice(path, text, find(parse(path, text), section), content)
 
 
 def append_to_section(path: str, text: str, section: str, content: str) -> str:
     s = find(parse(path, text), section)
     old = s.content.rstrip()
-    return _splice(text, s, old + ("\n\n" if old else "") + content.lstrip())
+    return _splice(path, text, s, old + ("\n\n" if old else "") + content.lstrip())
 
 
 def prepend_to_section(path: str, text: str, section: str, content: str) -> str:
     s = find(parse(path, text), section)
     new = content.rstrip()
-    return _splice(text, s, new + ("\n\n" if s.content.lstrip() and new else "") + s.content.lstrip())
+    return _splice(path, text, s, new + ("\n\n" if s.content.lstrip() and new else "") + s.content.lstrip())
 
 
 def rename_section(path: str, text: str, section: str, title: str) -> str:
@@ -65,7 +89,23 @@ def rename_section(path: str, text: str, section: str, title: str) -> str:
         new = "#" * s.level + " " + title.strip() + anchor
     else:
         new = title.strip() + anchor + ("\r\n" if "\r\n" in head else "\n") + lines[-1]
-    return text[: s.span[0]] + new + end + text[s.span[1] :]
+    return carried(path, parse(path, text), text[: s.span[0]] + new + end + text[s.span[1] :])
+
+
+def set_anchor(path: str, text: str, section: str, anchor: str | None) -> str:
+    """Sets or drops the {#anchor} of a heading."""
+    s = find(parse(path, text), section)
+    if s.span is None:
+        raise InvalidInput("the root has no heading")
+    if anchor is not None and not re.fullmatch(r"[^\s{}]+", anchor):
+        raise InvalidInput(f"not an anchor: {anchor!r}")
+    head = text[s.span[0] : s.span[1]]
+    lines = head.splitlines(keepends=True)
+    at = 0 if len(lines) == 1 or re.match(r" {0,3}#{1,6}(?:[ \t]|$)", lines[0]) else len(lines) - 2  # before a setext underline
+    line = lines[at].rstrip("\r\n")
+    end = lines[at][len(line) :]
+    lines[at] = re.sub(r"[ \t]*\{#[^{}]*\}[ \t]*$", "", line) + (f" {{#{anchor}}}" if anchor else "") + end
+    return carried(path, parse(path, text), text[: s.span[0]] + "".join(lines) + text[s.span[1] :])
 
 
 def replace_range(path: str, text: str, section: str, start: int, end: int, content: str) -> str:
@@ -74,7 +114,7 @@ def replace_range(path: str, text: str, section: str, start: int, end: int, cont
     raw = s.content.encode()
     if not 0 <= start <= end <= len(raw) or any(i < len(raw) and raw[i] & 0xC0 == 0x80 for i in (start, end)):
         raise InvalidInput("the range is not within the content or cuts a character")
-    return _splice(text, s, (raw[:start] + content.encode() + raw[end:]).decode())
+    return _splice(path, text, s, (raw[:start] + content.encode() + raw[end:]).decode())
 
 
 _PATCHES = {
@@ -85,6 +125,7 @@ _PATCHES = {
     "prepend": lambda p, t, s, a: prepend_to_section(p, t, s, a["content"]),
     "replacerange": lambda p, t, s, a: replace_range(p, t, s, int(a["start"]), int(a["end"]), a["content"]),
     "rename": lambda p, t, s, a: rename_section(p, t, s, a.get("title") or a.get("new_title")),
+    "setmetadata": lambda p, t, s, a: set_anchor(p, t, s, a["metadata"]["anchor"]) if "anchor" in a["metadata"] else t,
 }
 
 
@@ -102,7 +143,23 @@ def patch_op(patch: dict) -> tuple[str, dict]:
     return name, args
 
 
+def metadata_of(op: str, args: dict) -> dict:
+    """The metadata (tags, summary, locked and others) that an edit sets, by section; anchors stand in the text."""
+    out: dict[str, dict] = {}
+    patches = args.get("patches", []) if op == "patch_section" else [{"setmetadata": args}] if op == "set_section_metadata" else []
+    for name, own in map(patch_op, patches):
+        if name == "setmetadata":
+            out.setdefault(args["section"], {}).update({k: v for k, v in own["metadata"].items() if k != "anchor"})
+    return out
+
+
+def set_section_metadata(path: str, text: str, section: str, metadata: dict) -> str:
+    find(parse(path, text), section)
+    return set_anchor(path, text, section, metadata["anchor"]) if "anchor" in metadata else text
+
+
 def patch_section(path: str, text: str, section: str, patches: list[dict]) -> str:
+    find(parse(path, text), section)
     for p in patches:
         name, args = patch_op(p)
         text = _PATCHES[name](path, text, section, args)
@@ -121,7 +178,8 @@ class Tree:
         return find(self.sections, sec)
 
     def markdown(self) -> str:
-        return _line_ends(self.text, render(list(self.by.values())))
+        now = ordered(list(self.by.values()))
+        return carried(self.path, now, _line_ends(self.text, render(now)))
 
     def place(self, parent: Section, position) -> int:
         """first, last, an index, or {"before": id} / {"after": id}; an unknown sibling means last."""
@@ -132,6 +190,8 @@ class Tree:
             return 0
         if isinstance(position, int):
             return max(0, min(position, n))
+        if not isinstance(position, dict) or len(position) != 1 or next(iter(position)) not in ("before", "after"):
+            raise InvalidInput(f"not a position: {position!r}")
         (side, sibling), = position.items()
         if sibling not in parent.children:
             return n
@@ -139,7 +199,7 @@ class Tree:
 
     def add(self, parent: Section, title: str, content: str, at: int, level: int | None = None) -> Section:
         level = min(parent.level + 1, 6) if level is None else level
-        s = Section(f"new-{len(self.by)}", parent.id, title, level, content)
+        s = Section(new_id(self.path, self.text, [x.id for x in self.sections], len(self.by)), parent.id, title, level, content)
         self.by[s.id] = s
         self.sections.append(s)
         parent.children.insert(at, s.id)
@@ -262,36 +322,49 @@ OPERATIONS: dict[str, Callable[..., str]] = {
     f.__name__: f
     for f in (
         update_section, append_to_section, prepend_to_section, rename_section, replace_range, patch_section, create_section, insert_section,
-        remove_section, reorder_sections, move_section, promote_section, demote_section, split_section,
+        remove_section, reorder_sections, move_section, promote_section, demote_section, split_section, set_section_metadata,
     )
 }
 
 
 def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """(relative_path, markdown, error) after the edits (relative_path, seq, op, args).
+    """(relative_path, markdown, ids, metadata, error) after the edits (relative_path, seq, op, args).
 
-    Edits of a document are all made or, at the first error, none. Files without edits pass through unshuffled.
+    Edits of a document are all made or, at the first error, none. Files without edits pass through unshuffled. Files may
+    have ``ids`` (of their sections, in order; else ids are derived from place), ``metadata`` (section id to JSON) and
+    ``locked`` (ids that no edit may name).
     """
     def run(own: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for path, before in zip(own["relative_path"], own["markdown"], strict=True):
-            text, error = before, None
+        for path, before, ids, known, locked in own[["relative_path", "markdown", "ids", "metadata", "locked"]].itertuples(index=False):
+            start = Marked(before, ids if ids is not None else [s.id for s in parse(path, before)])
+            text, error, meta = start, None, dict(known if known is not None else {})
             try:
-                for op, args in todo.sort_values("seq")[["op", "args"]].itertuples(index=False):
+                for op, raw in todo.sort_values("seq")[["op", "args"]].itertuples(index=False):
+                    args = json.loads(raw)
                     if op not in OPERATIONS:
                         raise InvalidInput(f"unknown operation {op}")
-                    text = OPERATIONS[op](path, text, **json.loads(args))
-            except (FolioError, TypeError) as e:
-                text, error = before, f"{getattr(e, 'code', 'InvalidInput')}: {e}"
-            rows.append((path, text, error))
-        return pd.DataFrame(rows, columns=["relative_path", "markdown", "error"])
-
-    own = files.select("relative_path", "markdown")
+                    for name in ("section", "sibling"):
+                        if locked is not None and args.get(name) in set(locked):
+                            raise Locked(f"locked: {args[name]}")
+                    text = OPERATIONS[op](path, text, **args)
+                    if not isinstance(text, Marked):
+                        text = carried(path, parse(path, start), text)
+                    for sec, new in metadata_of(op, args).items():
+                        meta[sec] = json.dumps(json.loads(meta.get(sec, "{}")) | new, sort_keys=True)
+            except (FolioError, TypeError, ValueError, KeyError, AttributeError, IndexError) as e:
+                text, error, meta = start, f"{getattr(e, 'code', 'InvalidInput')}: {e}", dict(known if known is not None else {})
+            rows.append((path, str(text), [s.id for s in parse(path, text)], meta, error))
+        return pd.DataFrame(rows, columns=["relative_path", "markdown", "ids", "metadata", "error"])
+
+    kinds = {"ids": "array<string>", "metadata": "map<string,string>", "locked": "array<string>"}
+    own = files.select("relative_path", "markdown", *[(F.col(c) if c in files.columns else F.lit(None).cast(k)).alias(c) for c, k in kinds.items()])
     edits = edits.select(F.col("relative_path").alias("_path"), "seq", "op", "args")
     paths = edits.select("_path").distinct()
     touched = own.join(paths, F.col("relative_path") == F.col("_path"), "left_semi")
-    done = touched.groupBy("relative_path").cogroup(edits.groupBy("_path")).applyInPandas(run, "relative_path string, markdown string, error string")
-    return own.join(paths, F.col("relative_path") == F.col("_path"), "left_anti").withColumn("error", F.lit(None).cast("string")).unionByName(done)
+    done = touched.groupBy("relative_path").cogroup(edits.groupBy("_path")).applyInPandas(run, "relative_path string, markdown string, ids array<string>, metadata map<string,string>, error string")
+    rest = own.join(paths, F.col("relative_path") == F.col("_path"), "left_anti").drop("locked")
+    return rest.withColumn("error", F.lit(None).cast("string")).unionByName(done)
 
 
 def changed_sections(old: DataFrame, new: DataFrame) -> DataFrame:

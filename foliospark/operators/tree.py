@@ -34,7 +34,7 @@ def document_location(documents: DataFrame, current: DataFrame) -> DataFrame:
 def table_of_contents(sections: DataFrame, document_id: str | None = None) -> DataFrame:
     """Rows in reading order, without the synthetic roots; depth 1 is the top."""
     own = sections if document_id is None else sections.where(F.col("document_id") == document_id)
-    return own.where("level > 0").select("document_id", "section_id", "parent_id", "title", "level", F.size("ancestry").alias("depth"), "sort_key").orderBy("document_id", "sort_key")
+    return own.where("level > 0").select("document_id", "relative_path", "section_id", "parent_id", "title", "level", F.size("ancestry").alias("depth"), "sort_key").orderBy("document_id", "sort_key")
 
 
 def get_section(sections: DataFrame, document_id: str, section_id: str) -> DataFrame:
@@ -51,10 +51,17 @@ def get_sections(sections: DataFrame, document_id: str, ids: list[str]) -> DataF
     return wanted.join(own, "section_id").orderBy("place").drop("place")
 
 
-def section_tree(sections: DataFrame, section_id: str, depth: int | None = None) -> DataFrame:
-    """A section and what is under it, to a depth (0: itself; None: all), from the path column: no recursion."""
-    at = F.array_position("path", section_id)
-    own = sections.where(at > 0).withColumn("depth", (F.size("path") - at).cast("int"))
+def section_tree(sections: DataFrame, section_id: str | DataFrame, depth: int | None = None) -> DataFrame:
+    """A section and what is under it, to a depth (0: itself; None: all), from the path column: no recursion.
+
+    With a frame of ids (section_id), the trees of all of them at once; ``top`` names each row's.
+    """
+    if isinstance(section_id, str):
+        at = F.array_position("path", section_id)
+        own = sections.where(at > 0).withColumns({"top": F.lit(section_id), "depth": (F.size("path") - at).cast("int")})
+    else:
+        places = sections.select("*", F.posexplode("path").alias("at", "top"))
+        own = places.join(section_id.select(F.col("section_id").alias("top")).distinct(), "top").withColumn("depth", F.size("path") - 1 - F.col("at")).drop("at")
     return (own if depth is None else own.where(F.col("depth") <= depth)).orderBy("document_id", "sort_key")
 
 

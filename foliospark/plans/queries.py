@@ -1,17 +1,20 @@
 """Queries over the driver's tables, each with the SQL that gives the same rows where SQL can.
 
-Sections are made from ``documents`` (a file for each source and language, a section for each text), versions from
+Sections are made from ``documents`` (a file for each source, language and range of ids, a section for each text), versions from
 ``conversations`` (a section for each conversation, a version for each turn), outlines from ``pages``, changes from ``events``.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import appended, sha256, tokens
-from ..operators import diff, edits, history, reconcile, search, tree, vector
+from ..functions.text import document_name, is_markdown_path, keep_line_ends, sha256, tokens
+from ..operators import catalog, diff, edits, history, reconcile, search, tree, vector
 from ..sources import workspace
+from ..sources.markdown import section_id
 from ..streaming import feed
 
 
@@ -25,7 +28,7 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(relative_path, markdown): the synthetic sections rendered."""
-    s = _sections(spark, sf_dir).withColumn("sort_key", F.format_string("%d/%06d", "level", "ordinal")).withColumn("anchor", F.lit(None).cast("string"))
+    s = _sections(spark, sf_dir).withColumn("sort_key", F.format_string("%d/%010d", "level", "ordinal")).withColumn("anchor", F.lit(None).cast("string"))
     return tree.render_documents(s).select("relative_path", "markdown")
 
 
@@ -37,13 +40,14 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+_DOCS = "docs AS (SELECT doc_id, text, coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '-' || (doc_id // 100) || '.md' AS relative_path FROM documents)"
 
 
 def _query(sql: str | None = None):
     def keep(f):
         _QUERIES[f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = sql
+            ORACLE[f.__name__] = "WITH RECURSIVE " + _DOCS + (", " + sql.split(None, 1)[1].removeprefix("RECURSIVE ") if sql.startswith("WITH ") else " " + sql) if " docs" in sql else sql
         return f
 
     return keep
@@ -52,9 +56,9 @@ def _query(sql: str | None = None):
 _SEC = """
 sec AS (
   SELECT path || '#' || level || title AS sid, * FROM (
-    SELECT DISTINCT source || '/' || lang || '.md' AS path, lang AS title, '' AS content, 0 AS level FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL
-    UNION ALL SELECT DISTINCT source || '/' || lang || '.md', source, '', 1 FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL
-    UNION ALL SELECT source || '/' || lang || '.md', 'Doc ' || doc_id, coalesce(text, ''), 2 FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)
+    SELECT DISTINCT relative_path AS path, lang AS title, '' AS content, 0 AS level FROM docs
+    UNION ALL SELECT DISTINCT relative_path, source, '', 1 FROM docs
+    UNION ALL SELECT relative_path, 'Doc ' || doc_id, coalesce(text, ''), 2 FROM docs)
 )"""
 _CAMEL = r"string_split(regexp_replace(regexp_replace(tok, '(\p{Ll})(\p{Lu})', '\1~\2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1~\2', 'g'), '~')"
 _POST = _SEC + rf""",
@@ -109,11 +113,10 @@ def postings_terms(spark, sf_dir):
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.col("tf_title") + F.col("tf_content")).cast("long").alias("cf"))
 
 
-@_query("WITH " + _SEC + " SELECT path AS relative_path, title, CASE WHEN contains(lower(title), 'doc 1') THEN 1.0 ELSE 0.5 END::DOUBLE AS score FROM sec WHERE contains(lower(title), 'doc 1') OR contains(lower(content), 'doc 1') OR (contains(lower(title), 'doc') AND contains(lower(title), '1')) OR (contains(lower(content), 'doc') AND contains(lower(content), '1'))")
+@_query("WITH " + _SEC + ", h AS (SELECT *, contains(lower(title), 'doc') AND contains(lower(title), '1') AS t, contains(lower(content), 'doc') AND contains(lower(content), '1') AS c FROM sec) SELECT path AS relative_path, title, CASE WHEN t THEN 1.0 ELSE 0.5 END::DOUBLE AS score FROM h WHERE t OR c")
 def substring_search(spark, sf_dir):
-    got = search.substring_search(_sections(spark, sf_dir), "doc 1")
-    whole = F.contains(F.lower("title"), F.lit("doc 1"))
-    return got.select("relative_path", "title", F.when(whole, 1.0).otherwise(0.5).alias("score"))
+    """All words of the query in the title, or in the content; the whole query is a case of that."""
+    return search.substring_search(_sections(spark, sf_dir), "doc 1").select("relative_path", "title", "score")
 
 
 @_query("WITH " + _SEC + " SELECT path AS relative_path, title FROM sec WHERE level > 0 AND (contains(lower(title), 'doc 12') OR contains('doc 12', lower(title)))")
@@ -146,11 +149,11 @@ def knn_lsh(spark, sf_dir):
     return _near(vector.nearest_approximate(_vectors(spark, sf_dir), _Q0, 10, id_col="vec_id"))
 
 
-@_query("SELECT source || '/' || lang || '.md' AS relative_path, 'Doc ' || doc_id AS title, 2 AS level, CAST(row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS INTEGER) AS ordinal FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL UNION ALL SELECT DISTINCT source || '/' || lang || '.md', source, 1, 0 FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+@_query("SELECT relative_path, 'Doc ' || doc_id AS title, 2 AS level, 2 AS depth, CAST(row_number() OVER (PARTITION BY relative_path ORDER BY doc_id) - 1 AS INTEGER) AS ordinal FROM docs UNION ALL SELECT DISTINCT relative_path, source, 1, 1, 0 FROM docs")
 def table_of_contents(spark, sf_dir):
-    """Rendered, parsed again, and listed without roots."""
-    s = workspace.sections_of(_files(spark, sf_dir))
-    return s.where("level > 0").select("relative_path", "title", "level", "ordinal")
+    """Rendered, parsed again, and listed without roots; the last part of a sort key is the ordinal."""
+    toc = tree.table_of_contents(workspace.sections_of(_files(spark, sf_dir)))
+    return toc.select("relative_path", "title", "level", "depth", F.substring_index("sort_key", "/", -1).cast("int").alias("ordinal"))
 
 
 @_query("WITH " + _SEC + " SELECT path AS relative_path, title, level, CAST(CASE level WHEN 0 THEN 1 WHEN 1 THEN (SELECT count(*) FROM sec c WHERE c.path = s.path AND c.level = 2) ELSE 0 END AS BIGINT) AS child_count FROM sec s")
@@ -159,37 +162,51 @@ def section_info(spark, sf_dir):
     return tree.section_info(s).join(s.select("section_id", "relative_path"), "section_id").select("relative_path", "title", "level", "child_count")
 
 
-@_query("SELECT source || '/' || lang || '.md' AS relative_path, sha256('# ' || source || chr(10) || chr(10) || string_agg('## Doc ' || doc_id || CASE WHEN rtrim(text, ' ' || chr(10) || chr(13) || chr(9)) = '' THEN '' ELSE chr(10) || chr(10) || rtrim(text, ' ' || chr(10) || chr(13) || chr(9)) END, chr(10) || chr(10) ORDER BY doc_id) || chr(10)) AS digest FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang")
+@_query("SELECT relative_path, sha256('# ' || source || chr(10) || chr(10) || string_agg('## Doc ' || doc_id || CASE WHEN coalesce(rtrim(text, ' ' || chr(10) || chr(13) || chr(9)), '') = '' THEN '' ELSE chr(10) || chr(10) || rtrim(text, ' ' || chr(10) || chr(13) || chr(9)) END, chr(10) || chr(10) ORDER BY doc_id) || chr(10)) AS digest FROM docs GROUP BY relative_path, source")
 def render_documents(spark, sf_dir):
     return _files(spark, sf_dir).select("relative_path", F.sha2("markdown", 256).alias("digest"))
 
 
-@_query("SELECT source || '/' || lang || '.md' AS relative_path, count(*) + 1 AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY 1")
+@_query("SELECT relative_path, count(*) + 1 AS n, CAST(max(1) AS INTEGER) AS deepest FROM docs GROUP BY 1")
 def section_subtree(spark, sf_dir):
-    """The level-1 sections' subtrees, from the path column."""
+    """The trees of all level-1 sections."""
     s = workspace.sections_of(_files(spark, sf_dir))
-    tops = s.where("level = 1").select(F.col("section_id").alias("top"), "relative_path")
-    return s.join(tops, "relative_path").where(F.array_contains("path", F.col("top"))).groupBy("relative_path").agg(F.count("*").alias("n"))
+    return tree.section_tree(s, s.where("level = 1")).groupBy("relative_path").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
 
 
-@_query("SELECT relative_path, regexp_extract(relative_path, '^(.*)/', 1) AS folder, regexp_extract(relative_path, '([^/]*)$', 1) AS filename, ord % 2 = 0 AS managed, ord % 2 = 0 AND ord % 3 > 0 AS source_matches_metadata FROM (SELECT relative_path, row_number() OVER (ORDER BY relative_path) AS ord FROM (SELECT DISTINCT source || '/' || lang || '.md' AS relative_path FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL))")
+@_query("SELECT title, level FROM (SELECT relative_path, source AS title, 1 AS level FROM docs UNION SELECT relative_path, 'Doc ' || doc_id, 2 FROM docs) WHERE relative_path = (SELECT min(relative_path) FROM docs)")
+def section_tree_of_one(spark, sf_dir):
+    s = workspace.sections_of(_files(spark, sf_dir))
+    path = s.agg(F.min("relative_path")).first()[0]
+    return tree.section_tree(s, section_id(path, 1)).select("title", "level")
+
+
+@_query("SELECT source AS title, 1 AS place FROM docs WHERE relative_path = (SELECT min(relative_path) FROM docs) UNION SELECT lang, 0 FROM docs WHERE relative_path = (SELECT min(relative_path) FROM docs)")
+def get_sections(spark, sf_dir):
+    """Two sections of one document, in the order asked for."""
+    s = _sections(spark, sf_dir)
+    top = s.where("level = 0").agg(F.min_by(F.struct("document_id", "section_id", "relative_path"), "relative_path").alias("t")).first().t
+    one = s.where((F.col("document_id") == top.document_id) & (F.col("level") == 1)).first().section_id
+    return tree.get_sections(s, top.document_id, [top.section_id, one]).select("title", F.col("level").alias("place"))
+
+
+@_query("SELECT relative_path, regexp_extract(relative_path, '^(.*)/', 1) AS folder, regexp_extract(relative_path, '([^/]*)$', 1) AS filename, length(relative_path) % 2 = 0 AS managed, length(relative_path) % 2 = 0 AND ends_with(relative_path, '1.md') AS source_matches_metadata FROM (SELECT DISTINCT relative_path FROM docs)")
 def document_location(spark, sf_dir):
-    base = _sections(spark, sf_dir).where("level = 0").select("document_id", "relative_path").withColumn("ord", F.row_number().over(Window.orderBy("relative_path")))  # a row for each file
-    docs = base.withColumn("content_hash", F.col("relative_path"))
-    current = base.where("ord % 2 = 0").select("document_id", F.when(F.col("ord") % 3 > 0, F.col("relative_path")).otherwise("old").alias("content_hash"))
+    docs = _sections(spark, sf_dir).where("level = 0").select("document_id", "relative_path", F.col("relative_path").alias("content_hash"))
+    current = docs.where(F.length("relative_path") % 2 == 0).select("document_id", F.when(F.col("relative_path").endswith("1.md"), F.col("relative_path")).otherwise("old").alias("content_hash"))
     return tree.document_location(docs, current).select("relative_path", "folder", "filename", "managed", "source_matches_metadata")
 
 
-@_query("SELECT DISTINCT source || '/' || lang || '.md' AS relative_path FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND NOT ((starts_with(source, 'src1') OR lang = 'de') AND source <> 'src10')")
+@_query("SELECT DISTINCT relative_path FROM docs WHERE NOT ((starts_with(source, 'src1') OR lang = 'de') AND source <> 'src10')")
 def ignore_rules(spark, sf_dir):
     """The last rule that matches decides."""
     paths = _sections(spark, sf_dir).where("level = 0").select("relative_path")
-    return paths.where(~workspace.ignored(F.col("relative_path"), "# drafts\nsrc1*\nde.md\n!/src10\n"))
+    return paths.where(~workspace.ignored(F.col("relative_path"), "# drafts\nsrc1*\nde-*.md\n!/src10\n"))
 
 
-@_query("SELECT doc_id, 'sha256:' || sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL")
+@_query("SELECT doc_id, 'sha256:' || sha256(text) AS content_hash FROM documents")
 def content_hash(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", sha256(F.col("text")).alias("content_hash"))
+    return _t(spark, sf_dir, "documents").select("doc_id", sha256(F.col("text")).alias("content_hash"))
 
 
 @_query(rf"WITH raw AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS tok FROM documents), p AS (SELECT doc_id, tok, {_CAMEL} AS ps FROM raw) SELECT doc_id, CAST(sum(1 + CASE WHEN len(ps) > 1 THEN len(list_filter(ps, lambda x: lower(x) <> lower(tok))) ELSE 0 END) AS BIGINT) AS n FROM p GROUP BY 1")
@@ -214,58 +231,210 @@ def check_conflicts(spark, sf_dir):
     return history.conflicts(now, now.select("section_id", F.concat("section_id", F.lit("-1")).alias("expected_version")))
 
 
-@_query("SELECT doc_id, sha256(CASE WHEN r = '' THEN '' ELSE r || chr(10) || chr(10) END || 'Appended line.') AS digest FROM (SELECT doc_id, rtrim(text, ' ' || chr(10) || chr(13) || chr(9)) AS r FROM documents)")
-def append_to_section(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(appended(F.col("text"), F.lit("\n Appended line.")), 256).alias("digest"))
+_TRIM = "rtrim(coalesce(text, ''), ' ' || chr(10) || chr(13) || chr(9))"
+_BODY = f"ltrim({_TRIM}, chr(10) || chr(13))"  # a section's content after rendering and parsing
+
 
+def _sid(n):
+    return F.concat(F.lit("sec-"), F.substring(F.sha2(F.concat_ws("\x1f", "relative_path", F.lit(str(n))), 256), 1, 22))
+
+
+_json = lambda **kv: lambda sec: F.to_json(F.struct(sec.alias("section"), *[F.lit(v).alias(k) for k, v in kv.items()]))
 
-def _edited(spark, sf_dir, op, args):
-    """One edit of the third section (the first document) of each file, and the tree that results."""
+
+def _edits(files, op, args, at=2):
+    return files.select("relative_path", F.lit(0).alias("seq"), F.lit(op).alias("op"), args(_sid(at)).alias("args"))
+
+
+def _edited(spark, sf_dir, op, args, at=2):
+    """One edit of a section (by default the third, the first document) of each file, and the tree that results."""
     files = _files(spark, sf_dir)
-    at = F.concat(F.lit("sec-"), F.substring(F.sha2(F.concat_ws("\x1f", "relative_path", F.lit("2")), 256), 1, 22))
-    todo = files.select("relative_path", F.lit(0).alias("seq"), F.lit(op).alias("op"), args(at).alias("args"))
-    done = edits.apply_edits(files, todo)
-    return workspace.sections_of(done).where("level > 0").select("relative_path", "title", "level", "pos")
+    return workspace.sections_of(edits.apply_edits(files, _edits(files, op, args, at))).where("level > 0")
+
+
+def _shape(s):
+    return s.select("relative_path", "title", "level", "pos")
+
 
+def _contents(s):
+    return s.where("level = 2").select("relative_path", "title", F.sha2("content", 256).alias("digest"))
 
-_ROWS = "WITH d AS (SELECT source || '/' || lang || '.md' AS relative_path, source, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS r FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL) "
+
+_ROWS = "WITH d AS (SELECT relative_path, source, doc_id, text, row_number() OVER (PARTITION BY relative_path ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY relative_path) AS n FROM docs) "
 _TOP = " UNION ALL SELECT DISTINCT relative_path, source, 1, 1 FROM d"
-_json = lambda **kv: lambda sec: F.to_json(F.struct(sec.alias("section"), *[F.lit(v).alias(k) for k, v in kv.items()]))
 
 
-@_query(_ROWS + "SELECT relative_path, 'Doc ' || doc_id AS title, 2 AS level, CAST(r AS INTEGER) AS pos FROM d WHERE r > 1" + _TOP)
+_SAME = "SELECT relative_path, 'Doc ' || doc_id AS title, {level} AS level, CAST({pos} AS INTEGER) AS pos FROM d"
+
+
+@_query(_ROWS + f"SELECT relative_path, 'Doc ' || doc_id AS title, sha256(CASE WHEN r > 1 THEN {_BODY} WHEN {_TRIM} = '' THEN 'Appended line.' ELSE {_BODY} || chr(10) || chr(10) || 'Appended line.' END) AS digest FROM d")
+def append_to_section(spark, sf_dir):
+    return _contents(_edited(spark, sf_dir, "append_to_section", _json(content="\n Appended line.")))
+
+
+@_query(_ROWS + f"SELECT relative_path, 'Doc ' || doc_id AS title, sha256(CASE WHEN r > 1 THEN {_BODY} ELSE 'New text.' END) AS digest FROM d")
+def update_section(spark, sf_dir):
+    return _contents(_edited(spark, sf_dir, "update_section", _json(content="\nNew text.\n\n")))
+
+
+@_query(_ROWS + f"SELECT relative_path, CASE WHEN r = 1 THEN 'Renamed' ELSE 'Doc ' || doc_id END AS title, sha256(CASE WHEN r > 1 THEN {_BODY} ELSE 'Start.' || chr(10) || chr(10) || 'End.' END) AS digest FROM d")
+def patch_section(spark, sf_dir):
+    """Several patches of either shape, in turn; names ignore case and separators."""
+    patches = [{"Rename": {"title": "Renamed"}}, {"type": "replace_content", "content": "End."}, {"PREPEND": {"content": "Start."}}, {"SetMetadata": {"metadata": {"tags": ["t"]}}}]
+    return _contents(_edited(spark, sf_dir, "patch_section", lambda sec: F.concat(F.lit('{"section": "'), sec, F.lit('", "patches": ' + json.dumps(patches) + "}"))))
+
+
+@_query(_ROWS + _SAME.format(level=2, pos="r") + " WHERE r > 1" + _TOP)
 def remove_section(spark, sf_dir):
-    return _edited(spark, sf_dir, "remove_section", _json(remove_children=True))
+    return _shape(_edited(spark, sf_dir, "remove_section", _json(remove_children=True)))
+
+
+@_query(_ROWS + _SAME.format(level=2, pos="r"))
+def remove_section_keep_children(spark, sf_dir):
+    """The level-1 section goes; its children take its place at their own levels."""
+    return _shape(_edited(spark, sf_dir, "remove_section", _json(remove_children=False), 1))
 
 
 @_query(_ROWS + "SELECT relative_path, CASE WHEN r = 1 THEN 'Renamed' ELSE 'Doc ' || doc_id END AS title, 2 AS level, CAST(r + 1 AS INTEGER) AS pos FROM d" + _TOP)
 def rename_section(spark, sf_dir):
-    return _edited(spark, sf_dir, "rename_section", _json(title="Renamed"))
+    return _shape(_edited(spark, sf_dir, "rename_section", _json(title="Renamed")))
 
 
-@_query(_ROWS + ", n AS (SELECT relative_path, count(*) AS n FROM d GROUP BY 1) SELECT relative_path, 'Doc ' || doc_id AS title, CASE WHEN r = 1 THEN 1 ELSE 2 END AS level, CAST(CASE WHEN r = 1 THEN n + 1 ELSE r END AS INTEGER) AS pos FROM d JOIN n USING (relative_path)" + _TOP)
+@_query(_ROWS + _SAME.format(level="CASE WHEN r = 1 THEN 1 ELSE 2 END", pos="CASE WHEN r = 1 THEN n + 1 ELSE r END") + _TOP)
 def promote_section(spark, sf_dir):
-    return _edited(spark, sf_dir, "promote_section", _json())
+    return _shape(_edited(spark, sf_dir, "promote_section", _json()))
 
 
-@_query(_ROWS + ", n AS (SELECT relative_path, count(*) AS n FROM d GROUP BY 1) SELECT relative_path, 'Doc ' || doc_id AS title, 2 AS level, CAST(CASE WHEN r = 1 THEN n + 1 ELSE r END AS INTEGER) AS pos FROM d JOIN n USING (relative_path)" + " UNION ALL SELECT DISTINCT relative_path, source, 1, 1 FROM d")
+@_query(_ROWS + _SAME.format(level="CASE WHEN r = 2 THEN 3 ELSE 2 END", pos="r + 1") + _TOP)
+def demote_section(spark, sf_dir):
+    """The second document goes under the first; a file of one document stays as it is."""
+    return _shape(_edited(spark, sf_dir, "demote_section", _json(), 3))
+
+
+@_query(_ROWS + _SAME.format(level=2, pos="n - r + 2") + _TOP)
+def reorder_sections(spark, sf_dir):
+    """All children in reverse."""
+    files = _files(spark, sf_dir)
+    n = workspace.sections_of(files).where("level = 2").groupBy("relative_path").agg(F.count("*").cast("int").alias("n"))
+    order = F.transform(F.sequence(F.col("n") + 1, F.lit(2)), lambda k: F.concat(F.lit("sec-"), F.substring(F.sha2(F.concat_ws("\x1f", "relative_path", k.cast("string")), 256), 1, 22)))
+    todo = n.select("relative_path", F.lit(0).alias("seq"), F.lit("reorder_sections").alias("op"), F.to_json(F.struct(order.alias("order"), _sid(1).alias("parent"))).alias("args"))
+    return _shape(workspace.sections_of(edits.apply_edits(files, todo)).where("level > 0"))
+
+
+@_query(_ROWS + _SAME.format(level=2, pos="CASE WHEN r = 1 THEN n + 1 ELSE r END") + _TOP)
 def move_section(spark, sf_dir):
     """The first document goes to the end of its parent."""
-    files = _files(spark, sf_dir)
-    sec = lambda n: F.concat(F.lit("sec-"), F.substring(F.sha2(F.concat_ws("\x1f", "relative_path", F.lit(n)), 256), 1, 22))
-    args = F.to_json(F.struct(sec("2").alias("section"), sec("1").alias("parent"), F.lit("last").alias("position")))
-    todo = files.select("relative_path", F.lit(0).alias("seq"), F.lit("move_section").alias("op"), args.alias("args"))
-    return workspace.sections_of(edits.apply_edits(files, todo)).where("level > 0").select("relative_path", "title", "level", "pos")
+    return _shape(_edited(spark, sf_dir, "move_section", lambda sec: F.to_json(F.struct(sec.alias("section"), _sid(1).alias("parent"), F.lit("last").alias("position")))))
 
 
-@_query(_ROWS + "SELECT relative_path, 'Doc ' || doc_id AS title, 2 AS level, CAST(CASE WHEN r = 1 THEN 2 ELSE r + 2 END AS INTEGER) AS pos FROM d UNION ALL SELECT relative_path, 'Rest', 2, 3 FROM d WHERE r = 1" + _TOP)
+@_query(_ROWS + _SAME.format(level=2, pos="CASE WHEN r = 1 THEN 2 ELSE r + 2 END") + " UNION ALL SELECT relative_path, 'Rest', 2, 3 FROM d WHERE r = 1" + _TOP)
 def split_section(spark, sf_dir):
-    return _edited(spark, sf_dir, "split_section", _json(split_at=0, title="Rest"))
+    return _shape(_edited(spark, sf_dir, "split_section", _json(split_at=0, title="Rest")))
 
 
-@_query(_ROWS + "SELECT relative_path, 'Doc ' || doc_id AS title, 2 AS level, CAST(r + 2 AS INTEGER) AS pos FROM d UNION ALL SELECT relative_path, 'New', 2, 2 FROM d WHERE r = 1" + _TOP)
+@_query(_ROWS + f"SELECT relative_path, 'Doc ' || doc_id AS title, sha256(CASE WHEN r > 1 THEN {_BODY} ELSE 'ab' END) AS digest FROM d UNION ALL SELECT relative_path, 'Rest', sha256('c d') FROM d WHERE r = 1")
+def split_section_inside(spark, sf_dir):
+    """In the middle of a content set before."""
+    files = _files(spark, sf_dir)
+    todo = _edits(files, "update_section", _json(content="ab  c d")).unionByName(_edits(files, "split_section", _json(split_at=3, title="Rest")).withColumn("seq", F.lit(1)))
+    return _contents(workspace.sections_of(edits.apply_edits(files, todo)))
+
+
+@_query(_ROWS + _SAME.format(level=2, pos="r + 2") + " UNION ALL SELECT relative_path, 'New', 2, 2 FROM d WHERE r = 1" + _TOP)
 def insert_section(spark, sf_dir):
-    return _edited(spark, sf_dir, "insert_section", lambda sec: F.to_json(F.struct(sec.alias("sibling"), F.lit("New").alias("title"), F.lit("Body.").alias("content"))))
+    return _shape(_edited(spark, sf_dir, "insert_section", lambda sec: F.to_json(F.struct(sec.alias("sibling"), F.lit("New").alias("title"), F.lit("Body.").alias("content")))))
+
+
+@_query(_ROWS + _SAME.format(level=2, pos="CASE WHEN r = 1 THEN 2 ELSE r + 2 END") + " UNION ALL SELECT relative_path, 'New', 2, 3 FROM d WHERE r = 1" + _TOP)
+def insert_section_after(spark, sf_dir):
+    return _shape(_edited(spark, sf_dir, "insert_section", lambda sec: F.to_json(F.struct(sec.alias("sibling"), F.lit("New").alias("title"), F.lit(True).alias("after")))))
+
+
+@_query(_ROWS + _SAME.format(level=2, pos="r + 1") + " UNION ALL SELECT relative_path, 'New', 1, CAST(n + 2 AS INTEGER) FROM d WHERE r = 1" + _TOP)
+def create_section(spark, sf_dir):
+    return _shape(_edited(spark, sf_dir, "create_section", lambda _: F.lit('{"title": "New", "content": "Body."}')))
+
+
+_OLD_ID = "'sec-' || left(sha256(relative_path || chr(31) || {pos}), 22)"
+
+
+@_query(_ROWS + f"SELECT relative_path, 'Doc ' || doc_id AS title, {_OLD_ID.format(pos='(r + 1)')} AS section_id, 1::BIGINT AS versions, r % 3 = 0 AS locked FROM d UNION ALL SELECT DISTINCT relative_path, source, {_OLD_ID.format(pos='1')}, 1::BIGINT, FALSE FROM d")
+def stable_ids(spark, sf_dir):
+    """A section is inserted before the others: each keeps its id, and so its versions and its lock."""
+    files = _files(spark, sf_dir)
+    before = workspace.sections_of(files)
+    versions = history.new_versions(before, 1)
+    locks = before.where("level = 2 and ordinal % 3 = 2").select("section_id", F.lit(True).alias("locked"))
+    args = lambda sec: F.to_json(F.struct(sec.alias("sibling"), F.lit("New").alias("title")))
+    after = workspace.sections_of(edits.apply_edits(files, _edits(files, "insert_section", args))).where("level > 0 and title <> 'New'")
+    counts = versions.groupBy("section_id").agg(F.count("*").alias("versions"))
+    return after.join(counts, "section_id").join(locks, "section_id", "left").select("relative_path", "title", "section_id", "versions", F.coalesce("locked", F.lit(False)).alias("locked"))
+
+
+@_query(_ROWS + f"SELECT relative_path, 'Doc ' || doc_id AS title, {_OLD_ID.format(pos='(r + 1)')} AS section_id FROM d UNION ALL SELECT DISTINCT relative_path, source, {_OLD_ID.format(pos='1')} FROM d")
+def reconcile_assign(spark, sf_dir):
+    """Files edited outside, without ids: parsed sections get the records' ids back."""
+    files = _files(spark, sf_dir)
+    args = lambda sec: F.to_json(F.struct(sec.alias("sibling"), F.lit("New").alias("title")))
+    parsed = workspace.sections_of(edits.apply_edits(files, _edits(files, "insert_section", args)).select("relative_path", "markdown")).withColumn("fingerprint", sha256(F.col("content")))
+    records = workspace.sections_of(files).select("document_id", F.col("section_id").alias("record_id"), "title", "ancestry", "ordinal", sha256(F.col("content")).alias("fingerprint"))
+    return reconcile.reconcile(parsed, records).where("level > 0 and title <> 'New'").select("relative_path", "title", "section_id")
+
+
+@_query(_ROWS + "SELECT relative_path, 'Doc ' || doc_id AS title FROM d WHERE r = 1")
+def find_by_tag(spark, sf_dir):
+    """Tags set by a metadata edit."""
+    done = _edited(spark, sf_dir, "set_section_metadata", lambda sec: F.concat(F.lit('{"section": "'), sec, F.lit('", "metadata": {"tags": ["kept", "new"]}}')))
+    return search.find_by_tag(done, "new").select("relative_path", "title")
+
+
+@_query("SELECT DISTINCT relative_path, TRUE AS unchanged, 'Locked' AS code FROM docs")
+def lock_enforcement(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    locked = files.withColumn("locked", F.array(_sid(2)))
+    done = edits.apply_edits(locked, _edits(files, "update_section", _json(content="x"))).join(files.select("relative_path", F.col("markdown").alias("old")), "relative_path")
+    return done.select("relative_path", (F.col("markdown") == F.col("old")).alias("unchanged"), F.substring_index("error", ":", 1).alias("code"))
+
+
+@_query("SELECT relative_path, 'Removed' AS kind, 1::BIGINT AS n FROM docs GROUP BY 1 UNION ALL SELECT relative_path, 'Added', 1 FROM docs GROUP BY 1")
+def diff_snapshots(spark, sf_dir):
+    """Two snapshots, one section renamed between them: their rendered texts differ by one line."""
+    files = _files(spark, sf_dir)
+    shot = lambda f, name: history.create_snapshot(workspace.sections_of(f), name)
+    snaps = shot(files, "s1").unionByName(shot(edits.apply_edits(files, _edits(files, "rename_section", _json(title="Renamed"))), "s2"))
+    lines = history.diff_snapshots(snaps, "s1", "s2").where("kind <> 'Context'").groupBy("document_id", "kind").agg(F.count("*").alias("n"))
+    paths = snaps.select("document_id", "relative_path").distinct()
+    return lines.join(paths, "document_id").select("relative_path", "kind", "n")
+
+
+@_query(_ROWS + "SELECT relative_path, 'Doc ' || doc_id AS title FROM d WHERE relative_path = (SELECT min(relative_path) FROM d)")
+def search_sections(spark, sf_dir):
+    """Within one document, in titles only."""
+    s = _sections(spark, sf_dir)
+    one = s.agg(F.min_by("document_id", "relative_path")).first()[0]
+    return search.search_sections(search.FullTextIndex.build(s), one, "doc", in_content=False, max_results=2**31 - 1).select("relative_path", "title")
+
+
+@_query("SELECT doc_id, FALSE AS conflict, sha256('Top' || chr(10) || text || chr(10) || 'End' || chr(10)) AS digest FROM documents WHERE text IS NOT NULL")
+def three_way_merge(spark, sf_dir):
+    """A line added on top on one side, one at the end on the other."""
+    import hashlib
+
+    import pandas as pd
+
+    def merge(frames):
+        for f in frames:
+            got = [diff.merge_texts(t + "\n", "Top\n" + t + "\n", t + "\nEnd\n") for t in f["text"]]
+            yield pd.DataFrame({"doc_id": f["doc_id"], "conflict": [g.conflict for g in got], "digest": [hashlib.sha256((g.text or "").encode()).hexdigest() for g in got]})
+
+    return _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").mapInPandas(merge, "doc_id long, conflict boolean, digest string")
+
+
+@_query("SELECT turn AS seq, role AS author, text AS content FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations)")
+def section_versions(spark, sf_dir):
+    v = _versions(spark, sf_dir)
+    first = _t(spark, sf_dir, "conversations").agg(F.min("conv_id")).first()[0]
+    return history.section_versions(v, f"conv-{first}").select("seq", "author", "content")
 
 
 @_query()
@@ -276,38 +445,39 @@ def diff_versions(spark, sf_dir):
     return history.diff_versions(v, pairs.select("section_id", "from_version", F.col("version_id").alias("to_version")))
 
 
-@_query("SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS context, 1::BIGINT AS added, 0::BIGINT AS removed FROM documents WHERE text <> '' AND NOT ends_with(text, chr(10)) AND text = regexp_replace(text, '[\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]', '', 'g')")
+@_query("SELECT doc_id, CAST(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) - ends_with(text, chr(10))::INT END AS BIGINT) AS context, 1::BIGINT AS added, 0::BIGINT AS removed FROM documents")
 def diff_appended(spark, sf_dir):
     """Line counts of the diff between each text and itself with a line more."""
     import pandas as pd
 
-    d = _t(spark, sf_dir, "documents").where(F.col("text").isNotNull() & (F.col("text") != "") & ~F.col("text").endswith("\n") & ~F.col("text").rlike("[\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"))
-
     def count(frames):
         for f in frames:
-            got = [[k for k, _ in diff.line_diff(t.splitlines(), [*t.splitlines(), "One line more, which no text has."])] for t in f["text"]]
+            got = [[k for k, _ in diff.line_diff(diff.lines_of(t), [*diff.lines_of(t), "One line more, which no text has."])] for t in f["text"]]
             yield pd.DataFrame({"doc_id": f["doc_id"], "context": [g.count("Context") for g in got], "added": [g.count("Added") for g in got], "removed": [g.count("Removed") for g in got]})
 
-    return d.select("doc_id", "text").mapInPandas(count, "doc_id long, context long, added long, removed long")
+    return _t(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(count, "doc_id long, context long, added long, removed long")
 
 
-_PARTS = "SELECT 'doc-' || (doc_id % 50) AS document_id, 'sec-' || doc_id AS section_id, doc_id, 'Doc ' || (doc_id % 400) AS title, [source] AS ancestry, CAST(doc_id % 7 AS INTEGER) AS ordinal, sha256(text) AS fp FROM documents WHERE text IS NOT NULL AND source IS NOT NULL"
+_PARTS = "SELECT 'doc-' || (doc_id // 50) AS document_id, 'sec-' || doc_id AS section_id, doc_id, 'Doc ' || (doc_id % 40) AS title, [coalesce(source, 'none')] AS ancestry, CAST(doc_id % 7 AS INTEGER) AS ordinal, sha256(coalesce(text, '')) AS fp FROM documents"
 
 
-@_query(f"WITH p AS ({_PARTS}), r AS (SELECT document_id, 'rec-' || doc_id AS record_id, title, ancestry, CAST(doc_id % 3 AS INTEGER) AS ordinal, fp FROM p WHERE doc_id % 2 = 0) SELECT p.document_id, p.section_id, r.record_id, CAST(score AS INTEGER) AS score FROM (SELECT p.document_id, p.section_id, r.record_id, 8 * (p.fp = r.fp)::INT + 4 * (p.title = r.title)::INT + 2 * (p.ancestry = r.ancestry)::INT + (p.ordinal = r.ordinal)::INT AS score FROM p JOIN r ON p.document_id = r.document_id) s JOIN p ON p.section_id = s.section_id JOIN r ON r.record_id = s.record_id WHERE score >= 6")
+@_query(f"WITH p AS ({_PARTS}), r AS (SELECT document_id, 'rec-' || doc_id AS record_id, title, ancestry, CAST(doc_id % 3 AS INTEGER) AS ordinal, fp FROM p) SELECT * FROM (SELECT p.document_id, p.section_id, r.record_id, 8 * (p.fp = r.fp)::INT + 4 * (p.title = r.title)::INT + 2 * (p.ancestry = r.ancestry)::INT + (p.ordinal = r.ordinal)::INT AS score FROM p JOIN r ON p.document_id = r.document_id) WHERE score >= 6")
 def reconcile_scores(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").where("text is not null and source is not null")
-    p = d.select(F.concat(F.lit("doc-"), (F.col("doc_id") % 50).cast("string")).alias("document_id"), F.concat(F.lit("sec-"), F.col("doc_id").cast("string")).alias("section_id"), F.col("doc_id").alias("pos"), F.concat(F.lit("Doc "), (F.col("doc_id") % 400).cast("string")).alias("title"), F.array("source").alias("ancestry"), (F.col("doc_id") % 7).cast("int").alias("ordinal"), F.sha2("text", 256).alias("fingerprint"))
-    r = p.where("pos % 2 = 0").select("document_id", F.concat(F.lit("rec-"), F.col("pos").cast("string")).alias("record_id"), "title", "ancestry", (F.col("pos") % 3).cast("int").alias("ordinal"), "fingerprint")
+    """Every document is a parsed section and a record; the record's ordinal differs, and titles repeat."""
+    d = _t(spark, sf_dir, "documents")
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    p = d.select(F.expr("concat('doc-', cast(doc_id div 50 as string))").alias("document_id"), name("sec-", F.col("doc_id")).alias("section_id"), F.col("doc_id").alias("pos"), name("Doc ", F.col("doc_id") % 40).alias("title"), F.array(F.coalesce("source", F.lit("none"))).alias("ancestry"), (F.col("doc_id") % 7).cast("int").alias("ordinal"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("fingerprint"))
+    r = p.select("document_id", name("rec-", F.col("pos")).alias("record_id"), "title", "ancestry", (F.col("pos") % 3).cast("int").alias("ordinal"), "fingerprint")
     return reconcile.scores(p, r).select("document_id", "section_id", "record_id", "score")
 
 
-@_query("WITH c AS (SELECT 'doc-' || doc_id AS document_id, 'old/' || doc_id || '.md' AS old_path, sha256(text) AS h FROM documents WHERE doc_id % 5 = 0 AND text IS NOT NULL), f AS (SELECT 'new/' || doc_id || '.md' AS new_path, sha256(text) AS h FROM documents WHERE doc_id % 10 < 7 AND text IS NOT NULL) SELECT document_id, old_path, min(new_path) AS new_path FROM c JOIN f USING (h) GROUP BY 1, 2 HAVING count(*) = 1")
+@_query("WITH f AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new/' ELSE 'old/' END || doc_id || '.md' AS path, sha256(coalesce(text, '')) AS h FROM documents), c AS (SELECT 'doc-' || doc_id AS document_id, 'old/' || doc_id || '.md' AS old_path, h FROM f) SELECT document_id, old_path, min(path) AS new_path FROM c JOIN f USING (h) WHERE old_path NOT IN (SELECT path FROM f) AND path NOT IN (SELECT old_path FROM c) GROUP BY 1, 2 HAVING count(*) = 1")
 def renamed_files(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").where("text is not null")
-    path = lambda folder: F.concat(F.lit(folder + "/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("relative_path")
-    catalog = d.where("doc_id % 5 = 0").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"), path("old"), F.sha2("text", 256).alias("content_hash"))
-    return reconcile.renamed_files(catalog, d.where("doc_id % 10 < 7").select(path("new"), F.sha2("text", 256).alias("content_hash")))
+    """All documents are in the catalog under old paths; the files of every fifth one have new ones."""
+    d = _t(spark, sf_dir, "documents").withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    path = lambda folder: F.concat(folder, F.col("doc_id").cast("string"), F.lit(".md")).alias("relative_path")
+    catalog = d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"), path(F.lit("old/")), "content_hash")
+    return reconcile.renamed_files(catalog, d.select(path(F.when(F.col("doc_id") % 5 == 0, "new/").otherwise("old/")), "content_hash"))
 
 
 def _cache(spark, sf_dir):
@@ -353,16 +523,93 @@ def page_outlines(spark, sf_dir):
     return workspace.sections_of(files).select("relative_path", "title", "level", "ordinal", "pos", "ancestry")
 
 
+def _documents(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    name = lambda p, q="": F.concat(F.lit(p), F.col("doc_id").cast("string"), F.lit(q))
+    return d.select("doc_id", name("doc-").alias("document_id"), name("d/", ".md").alias("relative_path"), name("Doc ").alias("name"), name("Doc ").alias("title"), name("sec-").alias("root"), F.lit(True).alias("managed"), sha256(F.col("text")).alias("content_hash"))
+
+
 @_query("SELECT 'doc-' || doc_id AS document_id, doc_id % 4 <> 0 OR doc_id % 8 = 0 AS active FROM documents")
 def soft_delete_restore(spark, sf_dir):
-    """Every fourth document is removed and every eighth restored, as set operations on the active and inactive tables."""
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"))
-    active, inactive = d.where("doc_id % 4 <> 0"), d.where("doc_id % 4 = 0")
-    back = inactive.where("doc_id % 8 = 0")
-    active, inactive = active.unionByName(back), inactive.join(back, "document_id", "left_anti").select("doc_id", "document_id")
+    """Every fourth document is removed and every eighth restored."""
+    d = _documents(spark, sf_dir)
+    active, inactive = catalog.remove_files(d, d.limit(0).withColumn("archived_history", F.lit(True)), d.where("doc_id % 4 = 0"))
+    active, inactive = catalog.restore_files(active, inactive, d.where("doc_id % 8 = 0"))
     return active.select("document_id", F.lit(True).alias("active")).unionByName(inactive.select("document_id", F.lit(False).alias("active")))
 
 
+def _one(documents):
+    return documents.agg(F.min_by(F.struct("document_id", "content_hash"), "doc_id").alias("d")).first().d
+
+
+@_query("SELECT 'doc-' || doc_id AS document_id, CASE WHEN doc_id = (SELECT min(doc_id) FROM documents) THEN 'new/place.md' ELSE 'd/' || doc_id || '.md' END AS relative_path FROM documents")
+def move_document_file(spark, sf_dir):
+    """Behind its content-hash guard."""
+    d = _documents(spark, sf_dir)
+    return catalog.move_file(d, _one(d).document_id, "new/place.md", _one(d).content_hash).select("document_id", "relative_path")
+
+
+@_query("SELECT 'doc-' || doc_id AS document_id, CASE WHEN doc_id = (SELECT min(doc_id) FROM documents) THEN 'd/other.md' ELSE 'd/' || doc_id || '.md' END AS relative_path FROM documents")
+def rename_document_file(spark, sf_dir):
+    d = _documents(spark, sf_dir)
+    return catalog.rename_file(d, _one(d).document_id, "other.md").select("document_id", "relative_path")
+
+
+@_query("SELECT 'doc-' || doc_id AS document_id, CASE WHEN doc_id = (SELECT min(doc_id) FROM documents) THEN 'Other' ELSE 'Doc ' || doc_id END AS name FROM documents")
+def rename_document(spark, sf_dir):
+    d = _documents(spark, sf_dir)
+    return catalog.rename_document(d, _one(d).document_id, "Other").select("document_id", "name")
+
+
+@_query("SELECT 'doc-' || doc_id AS document_id, doc_id = (SELECT min(doc_id) FROM documents) AS managed FROM documents")
+def manage_document(spark, sf_dir):
+    d = _documents(spark, sf_dir)
+    return catalog.manage(d.withColumn("managed", F.lit(False)), _one(d).document_id).select("document_id", "managed")
+
+
+@_query("SELECT 'doc-' || doc_id AS document_id, doc_id <> (SELECT min(doc_id) FROM documents) AS managed FROM documents")
+def unmanage_document(spark, sf_dir):
+    d = _documents(spark, sf_dir)
+    return catalog.unmanage(d, d.limit(0).withColumn("archived_history", F.lit(True)), _one(d).document_id)[0].select("document_id", "managed")
+
+
+@_query("SELECT 'd/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.MD' WHEN doc_id % 3 = 1 THEN '.txt' ELSE '/../x.md' END AS relative_path, doc_id % 3 = 0 AS eligible, CASE WHEN doc_id % 3 = 2 THEN 'x' ELSE '' || doc_id END AS name FROM documents")
+def markdown_paths(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".MD").when(F.col("doc_id") % 3 == 1, ".txt").otherwise("/../x.md")).alias("relative_path"))
+    return d.select("relative_path", is_markdown_path(F.col("relative_path")).alias("eligible"), document_name(F.col("relative_path")).alias("name"))
+
+
+@_query("SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN replace(replace(text, chr(13) || chr(10), chr(10)), chr(10), chr(13) || chr(10)) ELSE text END) AS digest FROM documents")
+def line_ends(spark, sf_dir):
+    """CRLF throughout where the old text has it."""
+    d = _t(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(keep_line_ends(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "a\r\nb").otherwise("a\nb"))).alias("digest"))
+
+
+@_query("SELECT 'd/' || doc_id || CASE WHEN doc_id % 4 = 1 THEN '.md.swp' WHEN doc_id % 4 = 2 THEN '/.git/x.md' ELSE '.md' END AS path FROM documents WHERE doc_id % 4 = 0")
+def watcher_filter(spark, sf_dir):
+    """Changes of real files: no access events, no noise, no reserved folders."""
+    path = F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 4 == 1, ".md.swp").when(F.col("doc_id") % 4 == 2, "/.git/x.md").otherwise(".md"))
+    d = _t(spark, sf_dir, "documents").select(path.alias("path"), F.when(F.col("doc_id") % 4 == 3, "access").otherwise("modify").alias("kind"))
+    return d.where(feed.relevant(F.col("kind"), F.col("path"))).select("path")
+
+
+@_query("SELECT 'documents' AS name, count(*) - 1 AS left_rows, 1::BIGINT AS dropped FROM documents UNION ALL SELECT 'sections', count(*) - count_if(doc_id // 10 = (SELECT min(doc_id) FROM documents) // 10), count_if(doc_id // 10 = (SELECT min(doc_id) FROM documents) // 10) FROM documents")
+def delete_document(spark, sf_dir):
+    d = _documents(spark, sf_dir).withColumn("document_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
+    first = d.agg(F.min("doc_id")).first()[0]
+    sections = d.select(F.when(F.expr(f"doc_id div 10 = {first} div 10"), F.lit(f"doc-{first}")).otherwise("other").alias("document_id"))
+    left, dropped = history.delete_document(f"doc-{first}", {"documents": d, "sections": sections})
+    rows = [left[k].agg(F.lit(k).alias("name"), F.count("*").alias("left_rows"), F.lit(dropped[k]).cast("long").alias("dropped")) for k in left]
+    return rows[0].unionByName(rows[1])
+
+
+@_query("SELECT 'sec-' || doc_id AS section_id, doc_id % 3 > 0 AND doc_id % 2 = 0 AND doc_id IN (SELECT vec_id FROM embeddings) AS has_vector FROM documents WHERE text IS NOT NULL")
+def apply_embeddings(spark, sf_dir):
+    s, cache = _cache(spark, sf_dir)
+    return vector.attach(s, cache, "m1").select("section_id", F.col("vector").isNotNull().alias("has_vector"))
+
+
 @_query("SELECT 'sec-' || doc_id AS section_id, CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS title FROM documents")
 def versions_of_changes(spark, sf_dir):
     """Sections that a structural commit changed: every one whose title differs from the old tree's."""

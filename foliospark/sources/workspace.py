@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import fnmatch
+import json
+import os
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,15 +18,33 @@ from ..ids import derived_id
 from .markdown import rows_of
 
 
+def relative_to(path, root: str):
+    """A file's path below a root, whatever the schemes of the two are."""
+    base = root.rstrip("/").split("://")[-1]
+    base = ("/" + base.lstrip("/")) if "://" not in root or root.startswith("file:") else base[base.find("/") :] if "/" in base else ""
+    plain = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    quoted = "".join("\\" + c if not c.isalnum() else c for c in re.sub("/+", "/", base))
+    return F.regexp_replace(F.regexp_replace(plain, "^/+", "/"), f"^{quoted}/", "")
+
+
 def discover(spark: SparkSession, root: str, rules: str = "") -> DataFrame:
-    """(relative_path, markdown) of the Markdown files under root, less reserved folders and ignored paths."""
+    """(relative_path, markdown) of the Markdown files under root, less reserved folders, ignored paths and, on a local disk, symbolic links."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dD]").load(root)
-    base = root.rstrip("/").split("://")[-1].lstrip("/")
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", ""), "^" + "".join("\\" + c if not c.isalnum() else c for c in base) + "/", "")
-    own = files.select(path.alias("relative_path"), F.col("content").cast("string").alias("markdown")).where(is_markdown_path(F.col("relative_path")))
+    own = files.select(relative_to(F.col("path"), root).alias("relative_path"), F.col("content").cast("string").alias("markdown")).where(is_markdown_path(F.col("relative_path")))
+    links = _links(root)
+    if links:
+        own = own.where(~F.exists(F.array(*[F.lit(x) for x in links]), lambda x: (F.col("relative_path") == x) | F.col("relative_path").startswith(F.concat(x, F.lit("/")))))
     return own.where(~ignored(F.col("relative_path"), rules)) if rules else own
 
 
+def _links(root: str) -> list[str]:
+    """Symbolic links below a folder of the driver's own disk; other file systems have none."""
+    if "://" in root and not root.startswith("file:"):
+        return []
+    top = re.sub(r"^file:/*", "/", root)
+    return sorted(os.path.relpath(os.path.join(d, n), top) for d, folders, names in os.walk(top) for n in folders + names if os.path.islink(os.path.join(d, n)))
+
+
 def parse_rules(text: str) -> list[tuple[str, bool]]:
     """(pattern, negated) in order; blank lines and # comments are left out, a leading / is dropped."""
     out = []
@@ -55,13 +76,21 @@ def _any_part(path, regex: str):
 
 
 def sections_of(files: DataFrame) -> DataFrame:
-    """The sections table of (relative_path, markdown) rows: a map over the files, no shuffle."""
+    """The sections table of (relative_path, markdown) rows: a map over the files, no shuffle.
+
+    Files may have ``ids`` (of their sections, in order) and ``metadata`` (section id to JSON, of which the tags are used).
+    """
     def parse_all(frames):
         for f in frames:
-            rows = [r for p, t in zip(f["relative_path"], f["markdown"], strict=True) for r in rows_of(p, t or "")]
+            rows = []
+            for path, text, ids, meta in f.itertuples(index=False):
+                tags = {k: json.loads(v).get("tags") or [] for k, v in (meta if meta is not None else {}).items()} if meta is not None else {}
+                rows += rows_of(path, text or "", ids, tags)
             yield pd.DataFrame(rows, columns=schema.SECTIONS.fieldNames())
 
-    return files.select("relative_path", "markdown").mapInPandas(parse_all, schema.SECTIONS)
+    extra = {"ids": "array<string>", "metadata": "map<string,string>"}
+    own = files.select("relative_path", "markdown", *[(F.col(c) if c in files.columns else F.lit(None).cast(k)).alias(c) for c, k in extra.items()])
+    return own.mapInPandas(parse_all, schema.SECTIONS)
 
 
 def documents_of(files: DataFrame, sections: DataFrame) -> DataFrame:
@@ -84,8 +113,9 @@ def check_path(path: str) -> str:
 
 
 def export(rendered: DataFrame, folder: str) -> None:
-    """Writes (relative_path, markdown) rows, a folder for each path, as text."""
-    rendered.select(F.col("relative_path"), F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("relative_path").text(folder)
+    """Writes (relative_path, markdown) rows, a folder for each path, as text; paths that leave the folder fail the job."""
+    plain = F.when(is_markdown_path(F.col("relative_path")), F.col("relative_path")).otherwise(F.raise_error(F.concat(F.lit("not a plain relative path: "), F.col("relative_path"))))
+    rendered.select(plain.alias("relative_path"), F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("relative_path").text(folder)
 
 
 def html_to_markdown(html):
@@ -98,22 +128,29 @@ def html_to_markdown(html):
     return F.regexp_replace(F.regexp_replace(body, r"[ \t]*\n[ \t]*", "\n"), r"\n{3,}", "\n\n")
 
 
+#: Documents of a synthetic file, at most.
+FILE_DOCS = 100
+
+
 def synthetic_sections(docs: DataFrame) -> DataFrame:
-    """Section trees from plain documents, without a parser: a file for each source and language, a section for each text.
+    """Section trees from plain documents, without a parser: a file for each source, language and range of FILE_DOCS ids.
 
-    The root (level 0), a level-1 section with the source as title, and under it ``Doc <id>`` with the text.
+    The root (level 0), a level-1 section with the source as title, and under it ``Doc <id>`` with the text. Files stay
+    small however many documents there are; null sources and languages are called none.
     """
-    path = F.concat("source", F.lit("/"), "lang", F.lit(".md"))
-    files = docs.where("source is not null and lang is not null").withColumn("relative_path", path)
+    named = docs.withColumns({c: F.coalesce(c, F.lit("none")) for c in ("source", "lang")})
+    path = F.concat("source", F.lit("/"), "lang", F.lit("-"), F.expr(f"cast(doc_id div {FILE_DOCS} as string)"), F.lit(".md"))
+    files = named.withColumn("relative_path", path)
     base = files.select("relative_path", "source", "lang").distinct()
     doc = lambda: derived_id("document", F.col("relative_path"))
     sid = lambda *p: derived_id("section", F.col("relative_path"), *p)
-    empty = F.lit("")
-    root = base.select(sid(F.lit("0")).alias("section_id"), doc().alias("document_id"), "relative_path", F.lit(None).cast("string").alias("parent_id"), F.col("lang").alias("title"), F.lit(0).alias("level"), empty.alias("content"), F.lit(0).alias("ordinal"))
-    h1 = base.select(sid(F.lit("1")).alias("section_id"), doc().alias("document_id"), "relative_path", sid(F.lit("0")).alias("parent_id"), F.col("source").alias("title"), F.lit(1).alias("level"), empty.alias("content"), F.lit(0).alias("ordinal"))
+    top = lambda own, up, title, level: F.struct(own.alias("section_id"), up.alias("parent_id"), title.alias("title"), F.lit(level).alias("level"))
+    tops = base.select("relative_path", F.explode(F.array(
+        top(sid(F.lit("0")), F.lit(None).cast("string"), F.col("lang"), 0), top(sid(F.lit("1")), sid(F.lit("0")), F.col("source"), 1),
+    )).alias("s")).select("s.section_id", doc().alias("document_id"), "relative_path", "s.parent_id", "s.title", "s.level", F.lit("").alias("content"), F.lit(0).alias("ordinal"))
     place = F.row_number().over(Window.partitionBy("relative_path").orderBy("doc_id")) - 1
     h2 = files.select(
         sid(F.lit("2"), F.col("doc_id").cast("string")).alias("section_id"), doc().alias("document_id"), "relative_path", sid(F.lit("1")).alias("parent_id"),
         F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.lit(2).alias("level"), F.coalesce("text", F.lit("")).alias("content"), place.alias("ordinal"),
     )
-    return root.unionByName(h1).unionByName(h2)
+    return tops.unionByName(h2)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workspace import relative_to
+
 WINDOW_MS = 300
 #: Names that editors and systems leave behind.
 NOISE = r"(?:^|/)(?:\.#[^/]*|\.DS_Store|Thumbs\.db|4913|[^/]*~|#[^/]*#|[^/]*\.(?:sw[a-z]|tmp|temp|bak|lock))$"
@@ -70,20 +72,26 @@ def debounce_stream(events: DataFrame, key: str, width: int = WINDOW_MS) -> Data
 
 
 def read_files(spark, folder: str) -> DataFrame:
-    """A stream of (relative_path, markdown) of Markdown files as they appear under a folder."""
+    """A stream of (relative_path, markdown, ts) of Markdown files as they appear under a folder; paths are relative to it."""
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dD]").load(folder)
-    return raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("relative_path"), F.col("content").cast("string").alias("markdown"), F.col("modificationTime").alias("ts"))
+    return raw.select(relative_to(F.col("path"), folder).alias("relative_path"), F.col("content").cast("string").alias("markdown"), F.col("modificationTime").alias("ts"))
+
+
+def reload_incremental(catalog, parse, changed: DataFrame, removed: DataFrame | None = None) -> None:
+    """Parses changed files (relative_path, markdown, ts) and replaces those documents' sections in the catalog; those of removed paths go."""
+    newest = changed.groupBy("relative_path").agg(F.max_by("markdown", "ts").alias("markdown"))
+    catalog.replace("sections", parse(newest), "relative_path", _paths(newest, removed))
+
+
+def _paths(newest: DataFrame, removed: DataFrame | None) -> DataFrame:
+    own = newest.select("relative_path")
+    return own if removed is None else own.union(removed.select("relative_path"))
 
 
 def reload_into(catalog, parse):
-    """For foreachBatch: parses a batch's files and replaces those documents' sections in the catalog, in one commit."""
+    """For foreachBatch: a micro-batch's files go into the catalog in one commit that rewrites only their buckets."""
     def run(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
-        newest = batch.groupBy("relative_path").agg(F.max_by("markdown", "ts").alias("markdown"))
-        sections = parse(newest)
-        if "sections" in catalog.manifest()["tables"]:
-            sections = catalog.table("sections").join(newest.select("relative_path"), "relative_path", "left_anti").unionByName(sections)
-        catalog.commit({"sections": sections})
+        if not batch.isEmpty():
+            reload_incremental(catalog, parse, batch)
 
     return run

@@ -1,6 +1,8 @@
 import json
+import math
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,12 +10,13 @@ from foliospark import ids
 from foliospark.errors import Conflict, InvalidInput, NotFound
 from foliospark.functions import text
 from foliospark.operators import catalog, diff, history, reconcile, search, tree, vector
+from foliospark.operators.workspace import Workspace, set_workspace
 from foliospark.sources import workspace
 from foliospark.streaming import feed
 
 FILES = [
-    ("docs/architecture.md", "# Architecture\n\nSystem overview.\n\n## Storage\n\nFilesystem authority and durable metadata.\n"),
-    ("guides/search.md", "# Search Guide\n\nMaterialization builds the lexical index.\n\n## Prefix Queries\n\nPrefix matching is available.\n"),
+    ("garden/soil.md", "# Soil\n\nWhat plants stand in.\n\n## Compost\n\nLeaves rot slowly under damp straw.\n"),
+    ("kitchen/bread.md", "# Bread\n\nFermenting dough rises overnight.\n\n## Rye\n\nRye dough stays sticky.\n"),
 ]
 
 
@@ -27,28 +30,72 @@ def index(sections):
     return search.FullTextIndex.build(sections)
 
 
-@pytest.mark.parametrize("query, options, expected", [
-    ("storage filesystem", {}, [("Storage", 5.500197)]),
-    ("mater*", {"path": "guides"}, [("Search Guide", 1.210350)]),
-    ("metadata prefix", {"require_all": False, "path": "docs"}, [("Storage", 1.210350)]),
-    ('"durable metadata"', {}, [("Storage", 2.0)]),
-    ('"metadata durable"', {}, []),
-    ("nothing", {}, []),
-    ("", {}, []),
+TEXTS = {  # title, content of each section, roots included
+    "soil": ("", ""), "Soil": ("Soil", "What plants stand in."), "Compost": ("Compost", "Leaves rot slowly under damp straw."),
+    "bread": ("", ""), "Bread": ("Bread", "Fermenting dough rises overnight."), "Rye": ("Rye", "Rye dough stays sticky."),
+}
+
+
+def bm25(patterns, titles):
+    """Scores by the formula, counted by hand over the small collection."""
+    words = {k: ((t or k).lower().split(), c.lower().replace(".", "").split()) for k, (t, c) in TEXTS.items()}
+    lengths = [[max(1, len(w[f])) for w in words.values()] for f in (0, 1)]
+    average = [sum(x) / len(x) for x in lengths]
+    total = dict.fromkeys(titles, 0.0)
+    for p in patterns:
+        hits = lambda ws: sum(w.startswith(p[:-1]) if p.endswith("*") else w == p for w in ws)  # noqa: B023, E731
+        df = sum(bool(hits(t) + hits(c)) for t, c in words.values())
+        for k in titles:
+            for f, weight in ((0, 2.5), (1, 1.0)):
+                tf = hits(words[k][f])
+                if tf:
+                    total[k] += math.log(1 + (len(words) - df + 0.5) / (df + 0.5)) * weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * max(1, len(words[k][f])) / max(1.0, average[f])))
+    return {k: round(v, 6) for k, v in total.items()}
+
+
+@pytest.mark.parametrize("query, options, titles", [
+    ("compost rot", {}, ["Compost"]),
+    ("dough", {}, ["Bread", "Rye"]),
+    ("ferm*", {"path": "kitchen"}, ["Bread"]),
+    ("straw dough", {"require_all": False, "path": "garden"}, ["Compost"]),
+    ("rye sticky", {}, ["Rye"]),
 ])
-def test_search(index, query, options, expected):
-    assert [(r.title, round(r.score, 6)) for r in search.search(index, query, **options).collect()] == expected
+def test_search(index, query, options, titles):
+    got = [(r.title, round(r.score, 6)) for r in search.search(index, query, **options).collect()]
+    assert dict(got) == bm25(query.split(), titles) and [s for _, s in got] == sorted((s for _, s in got), reverse=True)
 
 
-def test_matches_and_updates(index, sections, spark):
-    row = search.with_matches(search.search(index, "storage filesystem"), sections, "storage filesystem").first()
-    assert row.title_match and "Filesystem" in row.content_matches[0].snippet
-    doc = sections.where("title = 'Storage'").first().document_id
-    assert search.search_sections(index, doc, "filesystem", in_content=False).count() == 0
+@pytest.mark.parametrize("query, expected", [('"damp straw"', [("Compost", 2.0)]), ('"straw damp"', []), ("absent", []), ("", []), ("'rye'", [("Rye", 7.0)])])
+def test_phrases(index, query, expected):
+    assert [(r.title, r.score) for r in search.search(index, query).collect()] == expected
+
+
+def test_document_filter(index, sections):
+    doc = sections.where("title = 'Rye'").first().document_id
+    assert {r.title for r in search.search(index, "dough", document=doc).collect()} == {"Bread", "Rye"}
+    assert search.search(index, "compost", document=doc).count() == 0
+
+
+def test_queries_and_texts_have_the_same_tokens(spark):
+    words = ["हिन्दी", "日本語テキスト", "ÉcoleÉté", "ΑλφαΒητα", "don't_stop", "HTTPServer2Go", "Ǆungla", "١٢٣", "naïveBayes"]
+    made = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {r.w: (r.t, r.u) for r in made.select("w", text.tokens(F.col("w")).alias("t")).join(text.token_rows(made, "w", "w").groupBy("w").agg(F.collect_list("term").alias("u")), "w").collect()}
+    assert {w: search.query_tokens(w) for w in words} == {w: t for w, (t, _) in got.items()} and all(sorted(t) == sorted(u) for t, u in got.values())
+    found = search.FullTextIndex.build(workspace.sections_of(spark.createDataFrame([("h.md", "# H\n\nयह हिन्दी है\n")], "relative_path string, markdown string")))
+    assert [r.title for r in search.search(found, "हिन्दी").collect()] == ["H"]
+
+
+def test_matches_and_updates(index, sections, spark, tmp_path):
+    row = search.with_matches(search.search(index, "compost rot"), sections, "compost rot").first()
+    assert row.title_match and "rot slowly" in row.content_matches[0].snippet
+    doc = sections.where("title = 'Compost'").first().document_id
+    assert search.search_sections(index, doc, "straw", in_content=False).count() == 0
     less = index.replace_document(doc, None)
-    assert less.n == 3 and search.search(less, "storage").count() == 0
+    assert less.n == 3 and search.search(less, "compost").count() == 0
     again = less.replace_document(doc, sections.where(F.col("document_id") == doc))
-    assert [round(r.score, 6) for r in search.search(again, "storage filesystem").collect()] == [5.500197]
+    assert {r.title: round(r.score, 6) for r in search.search(again, "compost rot").collect()} == bm25(["compost", "rot"], ["Compost"])
+    kept = search.FullTextIndex.build(sections, str(tmp_path / "index"))
+    assert [r.title for r in search.search(search.FullTextIndex.load(spark, str(tmp_path / "index")), "dough").collect()] == [r.title for r in search.search(kept, "dough").collect()]
 
 
 @pytest.mark.parametrize("word, parts", [("camelCase", ["camelcase", "camel", "case"]), ("XMLParser", ["xmlparser", "xml", "parser"]), ("constant", ["constant"]), ("getHttpResponse", ["gethttpresponse", "get", "http", "response"])])
@@ -63,23 +110,25 @@ def test_atoms():
 
 
 def test_tree(sections):
-    top = sections.where("title = 'Architecture'").first()
-    assert [r.title for r in tree.section_tree(sections, top.section_id).collect()] == ["Architecture", "Storage"]
-    assert [r.title for r in tree.section_tree(sections, top.section_id, 0).collect()] == ["Architecture"]
-    assert [r.title for r in tree.table_of_contents(sections, top.document_id).collect()] == ["Architecture", "Storage"]
+    top = sections.where("title = 'Soil'").first()
+    assert [r.title for r in tree.section_tree(sections, top.section_id).collect()] == ["Soil", "Compost"]
+    assert [r.title for r in tree.section_tree(sections, top.section_id, 0).collect()] == ["Soil"]
+    assert [r.title for r in tree.table_of_contents(sections, top.document_id).collect()] == ["Soil", "Compost"]
     docs = {r.relative_path: r.markdown for r in tree.render_documents(sections).collect()}
     assert docs == dict(FILES)
-    assert tree.render_section(sections, top.section_id).first().markdown == "# Architecture\n\nSystem overview.\n"
-    assert [r.title for r in tree.get_sections(sections, top.document_id, [top.path[0], top.section_id]).collect()] == ["architecture", "Architecture"]
+    assert tree.render_section(sections, top.section_id).first().markdown == "# Soil\n\nWhat plants stand in.\n"
+    assert [r.title for r in tree.get_sections(sections, top.document_id, [top.path[0], top.section_id]).collect()] == ["soil", "Soil"]
     with pytest.raises(NotFound):
         tree.get_sections(sections, top.document_id, ["none"])
-    assert {r.title: r.child_count for r in tree.section_info(sections).collect()}["Architecture"] == 1
+    assert {r.title: r.child_count for r in tree.section_info(sections).collect()}["Soil"] == 1
 
 
 def test_discover(spark, tmp_path):
     for p in ("a.md", "b/C.MD", "b/d.txt", ".git/x.md", "b/skip.md"):
         (tmp_path / p).parent.mkdir(exist_ok=True)
         (tmp_path / p).write_text("# T\n")
+    (tmp_path / "b/link.md").symlink_to(tmp_path / "a.md")
+    (tmp_path / "other").symlink_to(tmp_path / "b")
     got = workspace.discover(spark, str(tmp_path), "skip*\n")
     assert sorted(r.relative_path for r in got.collect()) == ["a.md", "b/C.MD"]
     with pytest.raises(InvalidInput):
@@ -102,33 +151,51 @@ def test_cache(spark, sections):
 
 
 def test_diff_and_merge():
-    got = diff.hunks(list("abcdefghij"), list("abcXefghijk"))
-    assert [(h["old_start"], h["old_lines"], h["new_start"], h["new_lines"]) for h in got] == [(0, 7, 0, 7), (7, 3, 7, 4)]
+    shapes = lambda a, b: [(h["old_start"], h["old_lines"], h["new_start"], h["new_lines"]) for h in diff.hunks(list(a), list(b))]
+    assert shapes("abcdefghij", "abcXefghijk") == [(0, 7, 0, 7), (7, 3, 7, 4)]
+    assert shapes("abcdefgh", "aXcdeYgh") == [(0, 5, 0, 5), (2, 6, 2, 6)]  # four lines apart: two hunks, whose contexts overlap
+    assert shapes("abcd", "Xbcd") == [(0, 4, 0, 4)] and shapes("abc", "abc") == [] and shapes("", "a") == [(0, 0, 0, 1)]
     assert [k for k, _ in diff.line_diff(["a"], ["b"])] == ["Removed", "Added"]
+    assert diff.lines_of("a\r\nb\x0bc\n\n") == ["a", "b\x0bc", ""] and diff.lines_of(None) == diff.lines_of("") == []
     base = "# Doc\n\nLine A.\nLine B.\nLine C.\n"
     assert diff.merge_texts(base, base.replace("A.", "A!"), base.replace("C.", "C!")).text == base.replace("A.", "A!").replace("C.", "C!")
     assert diff.merge_texts("x\nThe line.\n", "x\nOurs.\n", "x\nTheirs.\n").conflict
     assert diff.merge_texts(base, base, base + "end\n").text == base + "end\n"
 
 
-def test_diff_against_brute_force():
+def test_diff_against_brute_force(monkeypatch):
+    """The whole table of distances, and the script read from its end."""
     import random
 
     rnd = random.Random(1)
-    for _ in range(200):
-        a, b = ([rnd.choice("abc") for _ in range(rnd.randint(0, 9))] for _ in range(2))
-        got = diff.line_diff(a, b)
-        assert [t for k, t in got if k != "Added"] == a and [t for k, t in got if k != "Removed"] == b
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i in range(len(a)):
-            for j in range(len(b)):
-                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
-        assert sum(k == "Context" for k, _ in got) == best[-1][-1]
+    for block in (1, 2, 3, 512):
+        monkeypatch.setattr(diff, "BLOCK", block)
+        for _ in range(200):
+            a, b = ([rnd.choice("abc") for _ in range(rnd.randint(0, 9))] for _ in range(2))
+            cost = {}
+            for i in range(len(a) + 1):
+                for j in range(len(b) + 1):
+                    ways = [cost[k] + 1 for k in ((i - 1, j), (i, j - 1)) if k in cost]
+                    cost[i, j] = cost[i - 1, j - 1] if i and j and a[i - 1] == b[j - 1] else min(ways, default=0)
+            i, j, want = len(a), len(b), []
+            while (i, j) != (0, 0):
+                if i and j and a[i - 1] == b[j - 1]:
+                    i, j = i - 1, j - 1
+                    want.insert(0, ("Context", a[i]))
+                elif not i or j and cost[i, j - 1] <= cost[i - 1, j]:
+                    j -= 1
+                    want.insert(0, ("Added", b[j]))
+                else:
+                    i -= 1
+                    want.insert(0, ("Removed", a[i]))
+            assert diff.line_diff(a, b) == want
+    long = [str(k) for k in range(3000)]
+    assert sum(k == "Context" for k, _ in diff.line_diff(long, long[1000:] + long[:1000])) == 2000
 
 
 def test_versions(spark, sections):
     v = history.new_versions(sections, 1).unionByName(history.new_versions(sections.withColumn("content", F.concat("content", F.lit("!"))), 2)).cache()
-    sec = sections.where("title = 'Storage'").first().section_id
+    sec = sections.where("title = 'Compost'").first().section_id
     assert [r.seq for r in history.section_versions(v, sec).collect()] == [1, 2]
     first = history.section_versions(v, sec).first()
     assert history.switch_version(v, sec, first.version_id, 3).first().content == first.content
@@ -170,10 +237,115 @@ def test_catalog(spark, tmp_path):
     assert active.count() == 1 and gone.count() == 1
     back, rest = catalog.restore_file(active, gone, one.document_id)
     assert back.count() == 2 and rest.count() == 0
-    with catalog.Lease(str(tmp_path)), pytest.raises(Conflict), catalog.Lease(str(tmp_path)):
+    with catalog.Lease(c), pytest.raises(Conflict), catalog.Lease(c):
+        pass
+    with catalog.Lease(c, seconds=-1), catalog.Lease(c):  # one that has run out is taken over
         pass
 
 
+def test_catalog_writers_and_readers(spark, tmp_path):
+    """There is a manifest at every moment, a generation is taken once, and a break before the manifest leaves the old state."""
+    c, other = (catalog.Catalog(spark, f"file://{tmp_path}/cat") for _ in range(2))
+    table = lambda n: spark.range(n).toDF("id")
+    assert c.commit({"a": table(1)}) == 1
+    late = other.manifest()
+    assert c.commit({"a": table(2), "b": table(3)}) == 2
+    with pytest.raises(Conflict):
+        other._publish(late, {})
+    (tmp_path / "cat/manifest-000000000003.claim").write_text("a writer that died")
+    assert c.table("a").count() == 2 and c.recover() == ["manifest-000000000003.claim"]
+    assert c.commit({"b": table(5)}) == 3 and other.table("a").count() == 2 and other.table("b").count() == 5
+
+
+def test_catalog_replaces_buckets(spark, tmp_path):
+    c = catalog.Catalog(spark, f"file://{tmp_path}/cat")
+    rows = lambda *r: spark.createDataFrame(list(r), "path string, n int")
+    c.commit({"t": rows(*[(f"p{k}", k) for k in range(200)])})
+    c.replace("t", rows(("p1", -1), ("p1", -2), ("new", 0)), "path", gone=rows(("p2", 0)))
+    before = set(c.manifest()["tables"]["t"])
+    got = {(r.path, r.n) for r in c.table("t").collect()}
+    assert got == {(f"p{k}", k) for k in range(200) if k not in (1, 2)} | {("p1", -1), ("p1", -2), ("new", 0)}
+    c.replace("t", rows(("p1", 7)), "path")
+    assert len(before - set(c.manifest()["tables"]["t"])) == 1 and c.table("t").where("path = 'p1'").count() == 1
+
+
+@pytest.fixture
+def space(spark, tmp_path):
+    for path, markdown in FILES:
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(markdown)
+    return Workspace(spark, f"file://{tmp_path}")
+
+
+def test_workspace_files(space, tmp_path):
+    doc = space.import_document("garden/soil.md", "The ground")
+    row = space.load().documents.where(F.col("document_id") == doc).first()
+    assert (row.name, row.managed, space.info()["managed"]) == ("The ground", True, 1)
+    with pytest.raises(InvalidInput):
+        space.import_document("garden/soil.md")
+    with pytest.raises(NotFound):
+        space.import_document("garden/none.md")
+    new = space.create_document("notes/first.md", "# First\n\nText.\n")
+    assert (tmp_path / "notes/first.md").read_text() == "# First\n\nText.\n" and space.manage(new) == new
+    with pytest.raises(Conflict):
+        space.create_document("notes/first.md")
+    for bad in ("../out.md", "/abs.md", "a\\b.md"):
+        with pytest.raises(InvalidInput):
+            space.export_document(new, bad)
+    assert space.export_document(new, "out/copy.md")["bytes_written"] == len((tmp_path / "out/copy.md").read_bytes())
+    (tmp_path / "out/copy.md").unlink()
+    space.move_file(new, "deep/er/second.md")
+    space.rename_file(new, "third.md")
+    assert (tmp_path / "deep/er/third.md").exists() and not (tmp_path / "notes/first.md").exists()
+    assert space.load().documents.where("relative_path = 'deep/er/third.md'").first().document_id == new
+    with pytest.raises(Conflict):
+        space.move_file(new, "elsewhere.md", expected_hash="sha256:other")
+    sections = {r.section_id for r in space.catalog.table("sections").collect()}
+    space.remove_file(new)
+    assert not (tmp_path / "deep/er/third.md").exists() and space.info()["managed"] == 1
+    space.restore_file(new, "back.md")
+    assert (tmp_path / "back.md").read_text() == "# First\n\nText.\n" and space.info()["managed"] == 2
+    assert {r.section_id for r in space.load().sections.where(F.col("document_id") == new).collect()} <= sections
+    space.unmanage_file(doc)
+    assert (tmp_path / "garden/soil.md").exists() and space.info()["managed"] == 1
+    assert set_workspace(space.spark, space.root).root == space.root
+    with pytest.raises(NotFound):
+        set_workspace(space.spark, space.root + "/none")
+
+
+def test_workspace_keeps_ids_over_edits_and_renames(space, spark, tmp_path):
+    doc = space.import_document("garden/soil.md")
+    old = {r.title: r.section_id for r in space.catalog.table("sections").collect()}
+    edit = lambda *ops: space.edit(spark.createDataFrame([(doc, k, op, json.dumps(args)) for k, (op, args) in enumerate(ops)], "document_id string, seq int, op string, args string"), "me")
+    assert edit(("insert_section", {"sibling": old["Compost"], "title": "Clay"}), ("append_to_section", {"section": old["Compost"], "content": "Warm."})).count() == 0
+    assert "## Clay" in (tmp_path / "garden/soil.md").read_text()
+    now = {r.title: r.section_id for r in space.load().sections.where(F.col("document_id") == doc).collect()}
+    assert {k: v for k, v in now.items() if k != "Clay"} == old and now["Clay"] not in old.values()
+    versions = {(r.title, r.seq) for r in space.catalog.table("versions").collect()}
+    assert {t for t, s in versions if s > 1} == {"Clay", "Compost"}
+    assert edit(("move_section", {"section": "sec-none"})).first().error.startswith("InvalidInput")
+    (tmp_path / "garden/soil.md").rename(tmp_path / "garden/ground.md")
+    state = space.load()
+    assert state.renamed.first().new_path == "garden/ground.md"
+    assert {r.section_id for r in state.sections.where(F.col("document_id") == doc).collect()} == set(now.values())
+    space.save(state)
+    assert space.catalog.table("documents").first().relative_path == "garden/ground.md"
+    text = (tmp_path / "garden/ground.md").read_text()
+    (tmp_path / "garden/ground.md").write_text("# Before\n\n" + text.replace("rot slowly", "rot fast"))
+    again = {r.title: r.section_id for r in space.load().sections.where(F.col("document_id") == doc).collect()}
+    assert {k: again[k] for k in now if k in again} == {k: v for k, v in now.items() if k in again} and len(again) == len(now) + 1
+
+
+def test_approximate_neighbours_recall(spark):
+    rnd = np.random.RandomState(5)
+    centres = rnd.randn(20, 16)
+    rows = [(str(i), (centres[i % 20] + rnd.randn(16) / 6).tolist()) for i in range(1000)]
+    v = spark.createDataFrame(rows, "section_id string, vector array<double>")
+    ids = lambda df: {r.section_id for r in df.collect()}
+    found = [len(ids(vector.nearest(v, q, 10)) & ids(vector.nearest_approximate(v, q, 10))) for q in (rows[k][1] for k in (0, 77, 403, 810, 999))]
+    assert sum(found) >= 45
+
+
 def test_debounce(spark, tmp_path):
     assert feed.fixed_windows([0, 100, 299, 300, 700]) == [(0, 3), (300, 1), (700, 1)]
     rows = [(1, datetime(2024, 1, 1, 0, 0, 0, 1000 * ms)) for ms in (0, 100, 299, 300, 700)]
@@ -186,14 +358,18 @@ def test_debounce(spark, tmp_path):
 def test_reload_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
+    (folder / "x").mkdir()
     (folder / "a.md").write_text("# A\n\nbody\n")
+    (folder / "x/a.md").write_text("# Another\n")
     c = catalog.Catalog(spark, f"file://{tmp_path}/cat")
     sink = feed.reload_into(c, workspace.sections_of)
     for step in range(2):
         q = feed.read_files(spark, str(folder)).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
         q.awaitTermination(60)
         (folder / "b.md").write_text("# B\n")
-    assert sorted(r.title for r in c.table("sections").where("level = 1").collect()) == ["A", "B"]
+    assert sorted(r.title for r in c.table("sections").where("level = 1").collect()) == ["A", "Another", "B"]
+    feed.reload_incremental(c, workspace.sections_of, spark.createDataFrame([("a.md", "# A2\n", datetime(2030, 1, 1))], "relative_path string, markdown string, ts timestamp"), spark.createDataFrame([("b.md",)], "relative_path string"))
+    assert sorted(r.title for r in c.table("sections").where("level = 1").collect()) == ["A2", "Another"]
 
 
 def test_ids():
