@@ -190,7 +190,7 @@ def test_pseudonyms(spark):
     assert luhn(got[0].text[4:23]) == 0 and all(int(x) < 256 for x in got[3].text[4:].split(" ")[0].split("."))
     assert got[103].text.split()[-1] == got[8].text.split()[1]
     assert got[100].text is None and got[101].text == "" and got[102].text == "nothing 12 here"
-    assert pii.pseudonymize(frame(spark, [])).count() == 0
+    assert pii.pseudonymize(frame(spark, []), "key").count() == 0
 
 
 def test_cards_beside_other_digits(spark):
@@ -212,3 +212,81 @@ def test_feistel_is_a_permutation(spark):
     days = spark.range(0, 73049, 7).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d")).select(pii._date(F.col("d"), "k").alias("w"))
     out = {r.w for r in days.collect()}
     assert len(out) == len(range(0, 73049, 7)) and min(out) >= "1900-01-01" and max(out) <= "2099-12-31"
+
+
+def test_more_kinds_of_personal_data(spark):
+    """Each value changes to another valid one of its format; what only looks alike stays."""
+    mod97 = lambda s: int("".join(str(int(c, 36)) for c in s.replace(" ", "")[4:] + s.replace(" ", "")[:4])) % 97
+    data = {
+        "12/31/1999": "date", "31/12/1999": "date", "+44 20 7946 0958": "phone", "020 7946 0958": "phone", "+49 (0)30 1234567": "phone", "+4930123456": "phone", "2001:0db8:85a3:0000:0000:8a2e:0370:7334": "ipv6", "fe80::1ff:fe23:4567:890a": "ipv6",
+        "GB82 WEST 1234 5698 7654 32": "iban", "DE89370400440532013000": "iban", "GB82 WEST 1234 5698 7654 33": None, "a@jane-doe.com": "email", "13/13/1999": None, "12:30:45": None, "5551234567": None, "std::vector": None, "1:2": None,
+    }
+    got = pii.pseudonymize(frame(spark, [(i, f"x {v} y") for i, v in enumerate(data)]), "key").orderBy("doc_id").collect()
+    for r, (value, kind) in zip(got, data.items(), strict=True):
+        new = r.text[2:-2]
+        assert (new != value) == (kind is not None), (value, new)
+        assert [x.kind for x in r.pii if x.kind] == [kind] * (kind is not None)
+        shape = lambda v: re.sub("[0-9a-f]", "0", v) if kind == "ipv6" else re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", v)))  # noqa: B023, E731
+        assert shape(new) == shape(value)
+        if kind == "iban":
+            assert new[:2] == value[:2] and mod97(new) == 1
+        if kind == "email":
+            assert new.endswith(".com") and "jane-doe" not in new
+    assert int(got[0].text[5:7]) > 12 and int(got[1].text[5:7]) <= 12
+    days = [f"{m:02d}/{d:02d}/{y}" for y in range(1990, 2000) for m in (1, 4) for d in range(13, 31)]
+    out = {r.w for r in spark.createDataFrame([(d,) for d in days], "d string").select(pii._date(F.col("d"), "k").alias("w")).collect()}
+    assert len(out) == len(days) and all(int(w[3:5]) > 12 for w in out)
+
+
+def test_feistel_against_a_plain_one(spark):
+    """The same network written with Python's own strings and hashes; its inverse gives the values back."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    stream = lambda key, label, rnd, data: sha(f"{key}|{label}|" + sha(f"{key}|{label}|{rnd}|{data}"))
+
+    def shifted(target, s, sign):
+        wide, out = s + sha(s), ""
+        for i, c in enumerate(target):
+            alphabet = next((a for a in pii.CLASSES if c in a), None)
+            by = int(wide[i % 32 * 4 :][:4], 16)
+            out += c if alphabet is None else alphabet[(alphabet.index(c) + sign * by) % len(alphabet)]
+        return out
+
+    def forward(v, label, key):
+        a, b = v[: len(v) // 2], v[len(v) // 2 :]
+        for r in range(pii.ROUNDS):
+            a, b = b, shifted(a, stream(key, label, r, b), 1)
+        return a + b
+
+    def backward(v, label, key):
+        a, b = v[: len(v) // 2], v[len(v) // 2 :]
+        for r in reversed(range(pii.ROUNDS)):
+            a, b = shifted(b, stream(key, label, r, a), -1), a
+        return a + b
+
+    values = ["4155550134", "jane.doe+x", "A1", "z", "", "ÄÖ-9", "x" * 40]
+    for v, r in zip(values, spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string").orderBy("i").select(pii.permute_text(F.col("v"), "t", "k").alias("w")).collect(), strict=True):
+        assert r.w == forward(v, "t", "k") and (len(v) % 2 or backward(r.w, "t", "k") == v)
+
+
+def test_language_query_contract(spark, tmp_path):
+    """The fold is that of the contract, and nothing of held-out rows reaches a prediction."""
+    rnd = random.Random(40)
+    words = {"aa": ["kato", "miru", "sola", "neki"], "bb": ["xyzt", "qwrp", "zzkl", "vbnm"], "cc": ["ööä", "üßü", "äöü", "ßäß"]}
+    text = lambda k: " ".join(rnd.choice(words[k]) for _ in range(30))
+    rows = [(i, text(k := rnd.choice(list(words))), k, "s") for i in range(240)] + [(1000, None, "aa", "s"), (1001, "", None, "s"), (1002, "12 34", "bb", "s"), (1003, text("aa"), None, None)]
+    rows.append((rows[0][0], rows[0][1], rows[0][2], "s"))
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+
+    def run(name, data):
+        spark.createDataFrame(data, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        return sorted(tuple(r) for r in language.op4_language_id(spark, str(tmp_path / name)).select("doc_id", "held_out", "lang_pred", "score").collect())
+
+    got = run("a", rows)
+    assert len(got) == len(rows) and all(h == held(i) and 0 <= s <= 1 for i, h, _, s in got)
+    known = {i: k for i, t, k, _ in rows if t and k}
+    assert all(p == known[i] for i, h, p, _ in got if i in known and i < 1000)
+    assert {p for i, _, p, _ in got if i in (1000, 1001, 1002)} == {"und"}
+    # other labels on held-out rows, another order and another source change nothing
+    again = [(i, t, "dd" if held(i) else k, "other") for i, t, k, _ in rows]
+    rnd.shuffle(again)
+    assert run("b", again) == got
