@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,7 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="foliospark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     done = df.checkpoint()
     del df
     gc.collect()
@@ -49,42 +50,56 @@ def parts(text: str, size: int = 1 << 20, gap: str = " ") -> Iterator[str]:
     yield text[at:] if at else text
 
 
-#: Bits of a membership filter: its size (4 MiB) does not depend on the data.
-FILTER_BITS = 1 << 25
+#: Bits of a membership filter for each key, and its bounds: 8 KiB and 32 MiB.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
+
+
+def _bits(n: int, most: int) -> int:
+    """A power of two for so many keys. Beyond ``most`` the filter lets more through; what it feeds decides exactly anyway."""
+    return min(most, max(LEAST_BITS, 1 << (BITS_A_KEY * max(n, 1) - 1).bit_length()))
 
 
 def filter_of(keys: DataFrame, column: str) -> np.ndarray:
-    """A one-hash Bloom filter of a long column, as FILTER_BITS / 64 words; built on the executors by bit_or."""
-    spot = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = (
-        keys.where(F.col(column).isNotNull())
-        .select(F.shiftright(spot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(({column} & 63L) as int))").alias("b"))
-        .groupBy("w").agg(F.bit_or("b").alias("b"))
-    )
-    got = words.toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    """A one-hash Bloom filter of a long column, as 64-bit words; built on the executors by bit_or, sized by the number of keys. ``keys`` is read twice."""
+    keys = keys.where(F.col(column).isNotNull())
+    bits = _bits(keys.count(), MOST_BITS)
+    spot = F.col(column).bitwiseAND(F.lit(bits - 1))
+    words = keys.select(F.shiftright(spot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(({column} & 63L) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    got = words.toPandas()  # at most a 64th of the bits
+    out = np.zeros(bits // 64, np.int64)
     out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
     return out.view(np.uint64)
 
 
 def in_filter(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    spot = keys.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+    spot = keys.view(np.uint64) & np.uint64(64 * len(words) - 1)
     return (words[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
 
 
-#: Rows of the native filter, a table of 64-bit words: its size does not depend on the data.
-FILTER_ROWS = 1 << 18
+#: Bits of the native filter at most: a table of a million 64-bit words.
+MOST_NATIVE_BITS = 1 << 26
 
 
 def may_hold(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """The rows whose long column may be among the keys', by a one-hash Bloom filter of at most FILTER_ROWS rows; DataFrame functions only."""
-    word = F.shiftrightunsigned(column, 6).bitwiseAND(F.lit(FILTER_ROWS - 1))
+    """The rows whose long column may be among the keys', by such a filter as a broadcast table of at most MOST_NATIVE_BITS / 64 rows; DataFrame functions only. ``keys`` is read twice."""
+    bits = _bits(keys.count(), MOST_NATIVE_BITS)
+    word = F.shiftrightunsigned(column, 6).bitwiseAND(F.lit(bits // 64 - 1))
     bit = F.expr(f"shiftleft(1L, cast((`{column}` & 63L) as int))")
     words = keys.where(F.col(column).isNotNull()).groupBy(word.alias("filter_word")).agg(F.bit_or(bit).alias("filter_bits"))
     held = rows.withColumn("filter_word", word).join(F.broadcast(words), "filter_word").where(F.col("filter_bits").bitwiseAND(bit) != 0)
     return held.drop("filter_word", "filter_bits")
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind them as long as the frame has such a column."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def row_with(docs: DataFrame, *columns) -> DataFrame:
     """The named columns beside ``row``, which holds all of the frame's own: no name of an input can clash."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)

@@ -84,16 +84,17 @@ def open_pairs(buckets: DataFrame, roots: DataFrame, traits: DataFrame, alike, s
     return both.select(F.explode(F.flatten(F.transform("left", meet))).alias("p")).select("p.a", "p.b").distinct()
 
 
-def open_clusters(buckets: DataFrame, roots: DataFrame, left_block: int, right_block: int) -> tuple[DataFrame, DataFrame]:
+def open_clusters(buckets: DataFrame, roots: DataFrame, weights: DataFrame, left_block: int, right_block: int) -> tuple[DataFrame, DataFrame]:
     """(pivot, lb, rb, node, root) of two sides: members outside a pivot's largest component, and all its members.
 
-    Both are dealt to blocks by hash, and each block of one side meets each of the other under (pivot, lb, rb).
+    Both are dealt by hash to as many blocks as their weight (node, n) asks for, and each block of one side meets each of the
+    other under (pivot, lb, rb).
     """
-    own = buckets.where("node != pivot").select("pivot", "node").distinct().join(roots, "node", "left").select("pivot", "node", F.coalesce("root", "node").alias("root"))
-    sizes = own.groupBy("pivot", "root").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("pivot").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
+    own = buckets.where("node != pivot").select("pivot", "node").distinct().join(roots, "node", "left").join(weights, "node").select("pivot", "node", F.coalesce("root", "node").alias("root"), "n")
+    sizes = own.groupBy("pivot", "root").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
+    sizes = sizes.groupBy("pivot").agg(F.count("*").alias("roots"), F.max(F.struct("members", "root", "n")).alias("top"), F.sum("n").alias("n"))
     sizes = sizes.where("roots > 1").select("pivot", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / left_block).cast("int").alias("nl"), F.ceil(F.col("n") / right_block).cast("int").alias("nr"))
-    several = cut(own.join(sizes, "pivot"))
+    several = cut(own.drop("n").join(sizes, "pivot"))
     dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = several.where("root != top").select("pivot", dealt("nl").alias("lb"), each("nr").alias("rb"), "node", "root")

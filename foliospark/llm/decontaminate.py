@@ -1,13 +1,16 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are lower-cased runs of word characters. Each mask of 12 places hashes the 8 words at its ones and ignores the
+Words are lower-cased runs of word characters. Each mask of 9 places hashes the 6 words at its ones and ignores the
 others, so a substituted word in an ignored place does not hide a hit. Hashes of benchmark items and of documents are
 joined; hits on one diagonal (document place minus item place) are verified by aligning the whole item along it: the
-stretch with the most equal words among those of at least 80 % must have 13 equal words (80 % of an item of 12 to 15). Items of 5 to 11
-words are sought by a plain hash of all their words; shorter ones are too common to tell.
+stretch with the most equal words among those of at least 80 % must have 13 equal words (80 % of an item of up to 16). The
+masks find 98 % or more of items of 12 words and more in which a fifth of the words was replaced at random. Items of 5 to 11
+words have masks of their own length that leave out each word (each two of 10 or 11), so all that pass are found; shorter
+ones are too common to tell.
 
-Documents are first passed through a fixed-size filter of the benchmark's hashes (4 MiB whatever the data), so only
-probable hits are shuffled; the join then decides.
+Documents are first passed through a filter of the benchmark's hashes, sized by their number, so only probable hits are
+shuffled; the join then decides. Each distinct text is verified once, in rows of bounded size: a hit brings the document's words
+under the item, not texts. Equal documents and equal items meet their ids at the end.
 
 Cases: null and empty texts match nothing; null ids stay null in the result; equal documents and equal items are
 reported each under its id; rows that repeat an id and a text count once; extra columns are ignored; an empty table on
@@ -17,19 +20,22 @@ either side gives no rows.
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, filter_of, in_filter, mix, small_batches, table
+from .common import WordHashes, cut, filter_of, in_filter, mix, row_with, small_batches, table
 
-#: Places of the masks that count; each mask spans 12 words.
-MASKS = ("111010110011", "110110011101", "101110011011")
-SPAN = 12
-LEAST_WORDS = 5
+#: Places of the masks that count.
+MASKS = ("110011101", "111110001", "100101111")
+#: Items of fewer words than SHORT have masks of their own.
+LEAST_WORDS, SHORT = 5, 12
 LEAST_EQUAL, LEAST_SHARE = 13, 0.8
+#: Hits of a text that are verified in one row, about.
+HITS = 1_000
 #: What an unequal word scores where an equal one scores 1: a stretch of the least share has 0 or more.
 UNEQUAL = -4
 _WORDS = re.compile(r"\w+")
@@ -66,73 +72,122 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return int(first[k]), int(last[k]) + 1
 
 
-def _seeds(frame: DataFrame, id_col: str, masks: list[str], keep: np.ndarray | None, whole_short: bool) -> DataFrame:
-    """(id, th, key, pos) of the rows' seeds; th is a hash of the text."""
-    small_batches(frame.sparkSession)
-    shared = None if keep is None else frame.sparkSession.sparkContext.broadcast(keep)
+def own_masks(n: int) -> list[str]:
+    """The masks of an item of n words: for a short one, those that leave out as many words as may differ."""
+    if n >= SHORT:
+        return list(MASKS)
+    return ["".join("0" if k in out else "1" for k in range(n)) for out in combinations(range(n), n // 5)] if n >= LEAST_WORDS else []
 
+
+def _words(text: str | None, hashes: WordHashes) -> np.ndarray:
+    return hashes.of(_WORDS.findall((text or "").lower()))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_th, words, n) of the distinct texts of items; words are 64-bit hashes."""
     def hashed(batches):
         hashes = WordHashes()
         for b in batches:
-            ids, ths, keys, spots = [], [], [], []
-            for i, th, text in zip(*(b.column(c).to_pylist() for c in (id_col, "th", "text")), strict=True):
-                words = hashes.of(_WORDS.findall((text or "").lower()))
-                own = ["1" * len(words)] if whole_short and LEAST_WORDS <= len(words) < SPAN else masks
-                for mask in own:
+            own = [_words(t, hashes) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("th"), pa.array([w.tobytes() for w in own], pa.binary()), pa.array([len(w) for w in own], pa.int64())], ["item_th", "words", "n"])
+
+    texts = benchmark.groupBy("th").agg(F.min("text").alias("text"))
+    return texts.select("th", "text").mapInArrow(hashed, "item_th long, words binary, n long").where(F.col("n") >= LEAST_WORDS)
+
+
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """(key, item_th, n, at)."""
+    def seeds(batches):
+        for b in batches:
+            out = [[], [], [], []]
+            for th, raw, n in zip(*(b.column(c).to_pylist() for c in ("item_th", "words", "n")), strict=True):
+                for mask in own_masks(n):
+                    h = seed_hashes(np.frombuffer(raw, np.uint64), mask)
+                    for own, new in zip(out, (h.view(np.int64).tolist(), [th] * len(h), [n] * len(h), range(len(h))), strict=True):
+                        own.extend(new)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["key", "item_th", "n", "at"])
+
+    return items.mapInArrow(seeds, "key long, item_th long, n long, at long")
+
+
+def _doc_seeds(docs: DataFrame, masks: list[str], keep: np.ndarray) -> DataFrame:
+    """(th, key, pos) of the seeds of texts that may be an item's; th is a hash of the text."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(keep)
+
+    def hashed(batches):
+        hashes = WordHashes()
+        for b in batches:
+            ths, keys, spots = [], [], []
+            for th, text in zip(*(b.column(c).to_pylist() for c in ("th", "text")), strict=True):
+                words = _words(text, hashes)
+                for mask in masks:
                     h = seed_hashes(words, mask)
-                    at = np.flatnonzero(in_filter(shared.value, h)) if shared else np.arange(len(h))
+                    at = np.flatnonzero(in_filter(shared.value, h))
                     if len(at):
-                        ids += [i] * len(at)
-                        ths += [th] * len(at)
-                        keys.append(h[at])
+                        ths.append(np.full(len(at), th, np.int64))
+                        keys.append(h[at].view(np.int64))
                         spots.append(at)
-            got = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-            pos = np.concatenate(spots) if spots else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ths, pa.int64()), pa.array(got.view(np.int64)), pa.array(pos.astype(np.int64))], ["id", "th", "key", "pos"])
+            cols = [np.concatenate(c).astype(np.int64) if c else np.empty(0, np.int64) for c in (ths, keys, spots)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["th", "key", "pos"])
 
-    return frame.select(id_col, "th", "text").mapInArrow(hashed, "id long, th long, key long, pos long")
+    return docs.select("th", "text").mapInArrow(hashed, "th long, key long, pos long")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, th, item_id, start_word, n_words, n_equal): the best verified overlap of each document and item."""
-    prepared = lambda f, c: f.select(F.col(c).cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("th"))
-    docs, items = prepared(docs, "doc_id"), prepared(benchmark, "item_id").where("text is not null").dropDuplicates(["item_id", "th"])
-    seeds = cut(_seeds(items, "item_id", list(MASKS), None, True).select(F.col("id").alias("item_id"), F.col("th").alias("item_th"), "key", F.col("pos").alias("at")))
-    size = F.size(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), 0))
-    short = [r[0] for r in items.select(size.alias("n")).where(f"n >= {LEAST_WORDS} and n < {SPAN}").distinct().collect()]  # at most 7 lengths
-    hits = (
-        _seeds(docs, "doc_id", [*MASKS, *("1" * n for n in sorted(short))], filter_of(seeds, "key"), False)
-        .join(seeds, "key")
-        .select(F.col("id").alias("doc_id"), "th", "item_id", "item_th", (F.col("pos") - F.col("at")).alias("diagonal"))
-        .distinct()
-    )
-    own = hits.groupBy("doc_id", "th", "item_id", "item_th").agg(F.collect_list("diagonal").alias("diagonals"))
-    named = items.select(F.col("item_id").alias("_i"), F.col("th").alias("_t"), F.col("text").alias("item"))
-    own = own.join(named, F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("item_th") == F.col("_t")))
-    found = cut(own.groupBy("doc_id", "th").agg(F.collect_list(F.struct("item_id", "item", "diagonals")).alias("items")))
-    near = _only(docs.where("text is not null"), filter_of(found, "th")).dropDuplicates(["doc_id", "th"])
-    both = near.withColumnsRenamed({"doc_id": "_d", "th": "_h"}).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_h")))
+def _windows(texts: DataFrame) -> DataFrame:
+    """(th, item_th, diagonal, first, words): a document's words under an item, of rows (th, text, hits)."""
+    def cut_out(batches):
+        hashes = WordHashes()
+        for b in batches:
+            rows = []
+            for th, text, hits in zip(*(b.column(c).to_pylist() for c in ("th", "text", "hits")), strict=True):
+                words = _words(text, hashes)
+                for h in hits:
+                    lo, hi = max(0, -h["diagonal"]), min(h["n"], len(words) - h["diagonal"])
+                    rows.append((th, h["item_th"], h["diagonal"], lo, words[lo + h["diagonal"] : hi + h["diagonal"]].tobytes()))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["th", "item_th", "diagonal", "first", "own"])
+
+    return texts.select("th", "text", "hits").mapInArrow(cut_out, "th long, item_th long, diagonal long, first long, own binary")
+
 
+def _aligned(windows: DataFrame) -> DataFrame:
+    """(th, item_th, start_word, n_words, n_equal) of the windows whose best stretch is long enough, of rows with the items' words."""
     def verify(batches):
-        hashes = WordHashes()
         for b in batches:
             out = []
-            for doc, th, text, items in zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "text", "items")), strict=True):
-                words = hashes.of(_WORDS.findall(text.lower()))
-                for item in items:
-                    own, best = hashes.of(_WORDS.findall(item["item"].lower())), (0, 0, 0)
-                    for d in item["diagonals"]:
-                        lo, hi = max(0, -d), min(len(own), len(words) - d)
-                        equal = own[lo:hi] == words[lo + d : hi + d]
-                        s, e = best_stretch(equal)
-                        best = max(best, (int(equal[s:e].sum()), s - e, -(lo + d + s)))
-                    if best[0] >= min(LEAST_EQUAL, -(-4 * len(own) // 5) if len(own) >= SPAN else len(own)):
-                        out.append((doc, th, item["item_id"], -best[2], -best[1], best[0]))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "th", "item_id", "start_word", "n_words", "n_equal"])
-
-    kinds = "doc_id long, th long, item_id long, start_word long, n_words long, n_equal long"
-    return both.select("doc_id", "th", "text", "items").mapInArrow(verify, kinds)
+            for th, item, d, lo, own, words in zip(*(b.column(c).to_pylist() for c in ("th", "item_th", "diagonal", "first", "own", "words")), strict=True):
+                x, y = np.frombuffer(own, np.uint64), np.frombuffer(words, np.uint64)
+                equal = y[lo : lo + len(x)] == x
+                s, e = best_stretch(equal)
+                n = int(equal[s:e].sum())
+                if n >= min(LEAST_EQUAL, -(-4 * len(y) // 5)):
+                    out.append((th, item, lo + d + s, e - s, n))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["th", "item_th", "start_word", "n_words", "n_equal"])
+
+    names = ["th", "item_th", "diagonal", "first", "own", "words"]
+    return windows.select(*names).mapInArrow(verify, "th long, item_th long, start_word long, n_words long, n_equal long")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, th, item_id, start_word, n_words, n_equal): the best verified overlap of each document and item."""
+    prepared = lambda f, c: f.select(F.col(c).cast("long").alias(c), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("th")).where("text is not null")
+    docs, benchmark = prepared(docs, "doc_id"), prepared(benchmark, "item_id")
+    items = cut(_items(benchmark))
+    seeds = cut(_item_seeds(items))
+    lengths = sorted(r[0] for r in items.where(F.col("n") < SHORT).select("n").distinct().collect())  # at most 7
+    hits = _doc_seeds(docs, [*MASKS, *(m for n in lengths for m in own_masks(n))], filter_of(seeds, "key")).join(seeds, "key")
+    hits = cut(hits.select("th", "item_th", "n", (F.col("pos") - F.col("at")).alias("diagonal")).distinct())
+    parts = hits.groupBy("th").agg(F.ceil(F.count("*") / HITS).alias("parts"))
+    dealt = hits.join(parts, "th").withColumn("part", F.pmod(F.xxhash64("item_th", "diagonal"), F.col("parts")))
+    found = dealt.groupBy("th", "part").agg(F.collect_list(F.struct("item_th", "diagonal", "n")).alias("hits"))
+    near = _only(docs, filter_of(hits, "th")).groupBy("th").agg(F.min("text").alias("text"))
+    windows = _windows(near.join(found, "th"))
+    best = _aligned(windows.join(items.select("item_th", "words"), "item_th")).groupBy("th", "item_th").agg(F.max(F.struct("n_equal", -F.col("n_words"), -F.col("start_word"))).alias("b"))
+    best = cut(best.select("th", "item_th", (-F.col("b.col3")).alias("start_word"), (-F.col("b.col2")).alias("n_words"), "b.n_equal"))
+    named = best.join(docs.select("doc_id", "th").distinct(), "th").join(benchmark.select("item_id", F.col("th").alias("item_th")).distinct(), "item_th")
+    return named.select("doc_id", "th", "item_id", "start_word", "n_words", "n_equal")
 
 
 def _only(docs: DataFrame, keep: np.ndarray) -> DataFrame:
@@ -143,14 +198,14 @@ def _only(docs: DataFrame, keep: np.ndarray) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(in_filter(shared.value, b.column("th").to_numpy(zero_copy_only=False))))
 
-    return docs.select("doc_id", "text", "th").mapInArrow(passing, "doc_id long, text string, th long")
+    return docs.select("text", "th").mapInArrow(passing, "text string, th long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of documents without a verified overlap, with their columns."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("th").alias("_h")).distinct()
-    tagged = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    return tagged.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left_anti").drop("_th")
+    """The rows of documents without a verified overlap, with their columns, whatever their names."""
+    bad = overlaps(docs, benchmark).select(F.col("th").alias("bad")).distinct()
+    rows = row_with(docs, F.xxhash64(F.col("text").cast("string")).alias("th"))
+    return rows.join(bad, F.col("th") == F.col("bad"), "left_anti").select("row.*")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, filter_of, in_filter, mix, small_batches, table
+from .common import WordHashes, cut, filter_of, in_filter, mix, row_with, small_batches, table
 from .components import components, open_clusters, pivot_pairs, stars, with_pivots
 
 BUCKETS, MANTISSA, ROWS, BANDS = 128, 10, 5, 25
-#: Members of a block on either side.
-BLOCKS = (512, 1024)
+#: Shingles of a block on either side, about: 8 bytes each in a worker's memory.
+BLOCKS = (1 << 18, 1 << 19)
 EMPTY = np.uint16(0xFFFF)
 #: Nodes of sets that have no row with an id lie above all ids.
 NO_ID = 1 << 62
@@ -221,9 +221,9 @@ def span(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
-def _spanned(buckets: DataFrame, roots: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _spanned(buckets: DataFrame, roots: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between components that share a pivot, found block against block: no pair is a row."""
-    left, right = open_clusters(buckets, roots, *BLOCKS)
+    left, right = open_clusters(buckets, roots, nodes.select("node", F.greatest("n", F.lit(256)).alias("n")), *BLOCKS)
     sets = cut(_sets(right.select("node").distinct(), docs, size))
     names = ["pivot", "lb", "rb", "node", "root", "own"]
     side = lambda f, names: f.join(sets, "node").select("pivot", "lb", "rb", "node", "root", "own").toDF(*names).groupBy(*names[:3])
@@ -237,12 +237,12 @@ def _spanned(buckets: DataFrame, roots: DataFrame, docs: DataFrame, size: int, p
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
     made = cut(sketches(docs, size))
-    nodes = made.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("node"), F.min("registers").alias("registers"))
-    nodes = cut(nodes.select("mark", F.coalesce("node", _no_id("mark")).alias("node"), "registers"))
+    nodes = made.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("node"), F.min("registers").alias("registers"), F.max("n_shingles").alias("n"))
+    nodes = cut(nodes.select("mark", F.coalesce("node", _no_id("mark")).alias("node"), "registers", "n"))
     buckets = with_pivots(_keys(nodes))
     links = cut(_verified(_likely(pivot_pairs(buckets), nodes, percent), docs, size, percent))
     roots = components(links)
-    more = cut(_spanned(buckets, roots, docs, size, percent))
+    more = cut(_spanned(buckets, roots, nodes.groupBy("node").agg(F.max("n").alias("n")), docs, size, percent))
     if not more.isEmpty():
         roots = components(stars(roots).union(more))
     named = made.select("doc_id", "n_shingles", "mark").join(nodes.select("mark", "node"), "mark", "left").join(roots, "node", "left")
@@ -252,9 +252,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of documents without those linked to a smaller id, with their columns."""
-    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_d"), "left_anti")
+    """The rows of documents without those linked to a smaller id, with their columns, whatever their names."""
+    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return row_with(docs, F.col("doc_id").cast("long").alias("own")).join(gone, F.col("own") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op9_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

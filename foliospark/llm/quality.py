@@ -5,11 +5,12 @@ by ordered thresholds: P(grade <= k) = logistic(threshold_k - w.x). Selection go
 Features are distinct words and runs of punctuation, hashed, and buckets of a few shape measures (case, punctuation,
 repetition, length).
 
-It is fitted on at most about ``max_rows`` labelled rows, chosen by a hash of doc_id. Everything is scored.
+It is fitted on at most about ``max_rows`` labelled documents with ``max_features`` features in all, chosen by a hash of
+doc_id: that bounds the rows and the bytes that reach the driver. Everything is scored.
 
-Cases: null text counts as empty; labels without a grade or a document don't train; without labels everything is kept;
-repeated rows and ids give a row each; other columns stay (the result's own names replace equal ones); an empty table
-gives no rows.
+Cases: null text counts as empty; labels without a grade or a document don't train; of several grades of one doc_id the least
+counts, and of several texts one; without labels everything is kept; repeated rows and ids give a row each; other columns stay
+(the result's own names, which can be chosen, replace equal ones); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import WordHashes, parts, small_batches, table
+from .common import WordHashes, cut, parts, small_batches, table
 
 BUCKETS = 1 << 18
-MAX_ROWS = 8_000
+MAX_ROWS, MAX_FEATURES = 8_000, 8_000_000
+NAMES = ("expected_grade", "p_good", "keep")
 GRADES = 3
 _TOKENS = re.compile(r"[^\W\d_]+|[^\w\s]+")
 
@@ -104,36 +106,40 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 300, rate: floa
 
 def graded(labels: DataFrame) -> DataFrame:
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
-    return labels.select(F.col("doc_id").cast("long"), grade.cast("int").alias("grade")).where("doc_id is not null and grade is not null")
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("int").alias("grade")).where("doc_id is not null and grade is not null")
+    return own.groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
-def training_rows(docs: DataFrame, grades: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
+def training_rows(docs: DataFrame, grades: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and grades of a bounded sample; texts stay on the executors."""
     small_batches(docs.sparkSession)
-    n = grades.count()
-    share = min(1.0, max_rows / max(n, 1))
-    sample = grades.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) < share * (1 << 30))
+    share = min(1.0, max_rows / max(grades.count(), 1))
+    place = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30))
 
     def extract(batches):
         features = Features()
         for b in batches:
             got = [features(t).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array(got, pa.binary())], ["grade", "buckets"])
-
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")  # about max_rows rows
-    got = own.select("grade", "text").mapInArrow(extract, "grade int, buckets binary").toPandas()
+            yield pa.RecordBatch.from_arrays([b.column("place"), b.column("grade"), pa.array(got, pa.binary())], ["place", "grade", "buckets"])
+
+    sample = grades.where(place < share * (1 << 30))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # about max_rows rows
+    own = own.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = cut(own.select(place.alias("place"), "grade", "text").mapInArrow(extract, "place long, grade int, buckets binary"))
+    total = rows.agg(F.sum(F.length("buckets"))).first()[0] or 0
+    got = rows.where(F.col("place") < share * (1 << 30) * min(1.0, 4 * max_features / max(total, 1))).select("grade", "buckets").toPandas()
     order = sorted(range(len(got)), key=lambda i: (got["buckets"][i], got["grade"][i]))  # the same fit whatever the order of arrival
     return [np.frombuffer(got["buckets"][i], np.int32) for i in order], got["grade"].to_numpy(np.int64)[order]
 
 
-def score(docs: DataFrame, model: Ordinal, keep_above: float = 0.5) -> DataFrame:
-    """The rows with expected_grade, p_good and keep. Map-only."""
+def score(docs: DataFrame, model: Ordinal, keep_above: float = 0.5, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """The rows with the expected grade, the probability of a good one, and whether to keep them. Map-only."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    names = ("expected_grade", "p_good", "keep")
+    names = list(names)
     docs = docs.drop(*names)
-    schema = StructType(docs.schema.fields[:]).add("expected_grade", "double").add("p_good", "double").add("keep", "boolean")
+    schema = StructType(docs.schema.fields[:]).add(names[0], "double").add(names[1], "double").add(names[2], "boolean")
 
     def predict(batches):
         features, own = Features(), shared.value
@@ -146,8 +152,8 @@ def score(docs: DataFrame, model: Ordinal, keep_above: float = 0.5) -> DataFrame
     return docs.mapInArrow(predict, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    return score(docs, fit(*training_rows(docs, graded(labels), max_rows)))
+def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    return score(docs, fit(*training_rows(docs, graded(labels), max_rows)), names=names)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, may_hold, table
 
 
 @dataclass(frozen=True)
@@ -177,25 +177,35 @@ def _placed(x: Column) -> Column:
     return F.filter(F.zip_with(spans, steps, lambda s, p: F.struct(s.alias("s"), p["ok"].alias("ok"))), lambda z: z["ok"])
 
 
+def _spans(text: Column, rules: list[tuple[int, Rule]]) -> Column:
+    """array<struct<s, k, e, kind>> of rules with their places; a rule whose places are null is left out."""
+    each = [F.struct(_steps(text, r).alias("steps"), F.lit(i).alias("k"), F.lit(r.kind).alias("kind")) for i, r in rules]
+    return F.transform(F.flatten(F.transform(F.array(*each), _placed)), lambda z: z["s"])
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, text, and found: array<struct<s, k, e, kind>>, ordered by start and then by the rules' order."""
+    """doc_id, text, and found: array<struct<s, k, e, kind>>, ordered by start and then by the rules' order.
+
+    Rules without a query run over each row where it is. Candidates of the others are verified once for each distinct text, and
+    only their texts are shuffled; the spans then join the rows by digest.
+    """
     queries = {r.kind: trigram_query(r.regex) for r in rules}
     indexed = {k: q for k, q in queries.items() if q != ANY}
     keyed = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    whole = [(i, r) for i, r in enumerate(rules) if r.kind not in indexed]
+    here = _spans(F.col("text"), whole) if whole else F.array().cast(_SPANS)
+    if not indexed:
+        return keyed.select("doc_id", "text", F.array_sort(here).alias("found"))
     keyed = keyed.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    if indexed:
-        vocabulary = sorted(set().union(*(c for q in indexed.values() for c in q)))
-        keyed = keyed.join(candidates(postings(keyed, vocabulary), indexed), "key", "left")
-    else:
-        keyed = keyed.withColumn("rules", F.lit(None).cast("array<string>"))
-    each = []
-    for i, r in enumerate(rules):
-        steps = _steps(F.col("text"), r)
-        if r.kind in indexed:
-            steps = F.when(F.array_contains("rules", r.kind), steps).otherwise(F.array().cast(_STEPS))
-        each.append(F.struct(steps.alias("steps"), F.lit(i).alias("k"), F.lit(r.kind).alias("kind")))
-    spans = F.transform(F.flatten(F.transform(F.array(*each), _placed)), lambda z: z["s"])
-    return keyed.select("doc_id", "text", F.array_sort(spans).alias("found"))
+    vocabulary = sorted(set().union(*(c for q in indexed.values() for c in q)))
+    wanted = cut(candidates(postings(keyed, vocabulary), indexed).withColumn("short", F.xxhash64("key")))
+    held = may_hold(keyed.select("text", "key", F.xxhash64("key").alias("short")), wanted.select("short"), "short")
+    texts = held.groupBy("key").agg(F.min("text").alias("text")).join(wanted.select("key", "rules"), "key")
+    own = lambda r: F.when(F.array_contains("rules", r.kind), F.col("text")).otherwise(F.lit(""))
+    each = [F.struct(_steps(own(r), r).alias("steps"), F.lit(i).alias("k"), F.lit(r.kind).alias("kind")) for i, r in enumerate(rules) if r.kind in indexed]
+    there = texts.select(F.col("key").alias("own"), F.transform(F.flatten(F.transform(F.array(*each), _placed)), lambda z: z["s"]).alias("there")).where(F.size("there") > 0)
+    both = keyed.withColumn("here", here).join(there, F.col("key") == F.col("own"), "left")
+    return both.select("doc_id", "text", F.array_sort(F.concat("here", F.coalesce("there", F.array().cast(_SPANS)))).alias("found"))
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,7 @@ def test_components(spark):
 
 
 def test_near_dups_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(near_dups, "BLOCKS", (3, 5))
+    monkeypatch.setattr(near_dups, "BLOCKS", (240, 400))
     texts = copies(7, 80, [1] * 30 + [2, 3, 8, 25], [0, 0, 1, 2, 3, 4]) + ["one", "one two", "one two", "One  TWO", "", None, "Über über x", "über Über x"]
     rows = list(enumerate(texts, 10))
     sets = []
@@ -255,16 +255,38 @@ def test_best_stretch_against_brute_force():
         assert (int(equal[a:b].sum()), a - b) == want
 
 
-def test_decontamination_with_a_word_replaced(spark):
-    """One word of 15, at each place that leaves a seed."""
-    rnd = random.Random(16)
+def test_decontamination_recall_against_brute_force(spark):
+    """Items with up to a fifth of their words replaced: at least 0.9 of each length and number, all of the short ones, nothing else."""
+    rnd, rows, items, want = random.Random(16), [], [], {}
     word = lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(5))
-    item = [word() for _ in range(15)]
-    rows = [(k, " ".join([word(), word(), *item[:k], word(), *item[k + 1 :], word()])) for k in range(15)]
-    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
-    got = {r.doc_id: r.n_equal for r in decontaminate.overlaps(frame(spark, rows), bench).collect()}
-    seeded = {k for k in range(15) if any(not (at <= k < at + 12 and m[k - at] == "1") for m in decontaminate.MASKS for at in range(4))}
-    assert got == dict.fromkeys(seeded, 14) and {2, 3, 11, 12} <= seeded
+    for n, k in ((5, 1), (7, 1), (9, 1), (10, 2), (11, 2), (12, 2), (13, 2), (15, 1), (15, 3), (16, 3), (18, 3), (20, 4), (30, 6), (50, 10)):
+        for _ in range(20):
+            item = [word() for _ in range(n)]
+            gone = set(rnd.sample(range(n), k))
+            own = [word() if i in gone else w for i, w in enumerate(item)]
+            items.append((len(items), " ".join(item)))
+            want[len(rows)] = (n, k, sum(a == b for a, b in zip(item, own, strict=True)))
+            rows.append((len(rows), " ".join([word() for _ in range(6)] + own + [word() for _ in range(6)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.overlaps(frame(spark, rows), bench).collect()}
+    assert all(i == k for i, k in got)
+    for n, k in sorted({x[:2] for x in want.values()}):
+        own = [i for i, x in want.items() if x[:2] == (n, k) and 5 * x[2] >= 4 * n]
+        assert sum((i, i) in got for i in own) >= (1.0 if n < decontaminate.SHORT else 0.9) * len(own), (n, k)
+
+
+def test_decontamination_names_long_texts_and_many_hits(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HITS", 3)
+    item = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november"
+    names = ["_d", "_h", "_th", "th", "bad", "row"]
+    rows = [(1, f"x {item} y " * 30), (2, "filler words only " * 40_000 + item), (3, "filler words only " * 40_000), (4, f"x {item} y " * 30)]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], ["doc_id", "text", *names])
+    bench = spark.createDataFrame([(1, item), (2, item.upper()), (3, item + " oscar")], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.n_equal) for r in decontaminate.overlaps(docs, bench).collect())
+    assert got == Counter({(d, i, 14): 1 for d in (1, 2, 4) for i in (1, 2, 3)})
+    left = decontaminate.decontaminate(docs, bench)
+    assert left.columns == docs.columns and [tuple(r)[2:] for r in left.collect()] == [tuple(names)]
+    assert near_dups.one_of_each(docs).columns == docs.columns and near_dups.one_of_each(docs).count() == 3
 
 
 def test_top_k(spark, monkeypatch):
@@ -272,23 +294,39 @@ def test_top_k(spark, monkeypatch):
         monkeypatch.setattr(topk, name, value)
     rnd = np.random.RandomState(13)
     vectors = [(i, [float(x) for x in np.round(rnd.randn(8) / 4, 1)]) for i in range(200)] + [(200, None), (201, [1.0, None] + [0.0] * 6), (202, [float("nan")] * 8), (203, [1.0]), (None, [1.0] * 8), (7, [0.5] * 8)]
+    vectors += [vectors[40], vectors[40], (60, [0.25] * 8), (300, [0.5, 0.5]), (301, [1.0, -1.0]), (302, [2.0, 0.0]), (303, [])]  # a repeated query, two of one id, another length
     frame = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<float>, score string")
-    good = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in vectors if i is not None and v and len(v) == 8 and None not in v and np.isfinite(v).all()]
-    want = set()
-    for i, q in good:
+    good = [(i, tuple(np.floor(64 * np.array(v, np.float32).astype(float)).astype(int))) for i, v in vectors if i is not None and v and None not in v and np.isfinite(v).all()]
+    copies_of, want = {}, set()
+    for i, q in sorted(set(good)):
         if i % 20 == 0:
-            best = sorted((-int(q @ v), k) for k, v in good if k != i)[:20]
-            want |= {(i, r, k, -s) for r, (s, k) in enumerate(best, 1)}
-    assert {tuple(r) for r in topk.top_k(frame).collect()} == want
+            copy = copies_of[i] = copies_of.get(i, -1) + 1
+            best = sorted((-sum(x * y for x, y in zip(q, v, strict=True)), k) for k, v in good if k != i and len(v) == len(q))[:20]
+            want |= {(i, r, k, -s, copy) for r, (s, k) in enumerate(best, 1)}
+    got = [tuple(int(x) for x in r) for r in topk.top_k(frame).select("query_id", "rank", "vec_id", "score", "query_copy").collect()]
+    assert set(got) == want and len(got) == len(want) and {x for x in want if x[4] == 1} and {x[2] for x in want if x[0] == 300} == {301, 302}
     assert topk.top_k(frame.limit(0)).count() == 0 and topk.top_k(frame.where("vec_id < 9")).count() == 9  # 1 to 8, and 7 again
 
 
+def test_blocks_are_pruned():
+    """Of clustered vectors few blocks are visited, and the result is that of all."""
+    rnd = np.random.RandomState(21)
+    centres = rnd.randn(60, 32) * 3
+    vectors = np.floor(64 * (centres[rnd.randint(0, 60, 12_000)] + rnd.randn(12_000, 32) / 4)).astype(np.int64)
+    ids, queries = np.arange(12_000), np.arange(0, 12_000, 400)
+    visited: list[float] = []
+    got = topk.search_chunk(vectors, ids, vectors[queries], queries, 20, visited=visited)
+    want = [(int(q), int(i), int(s)) for q in queries for s, i in sorted(zip(-(vectors @ vectors[q]), ids, strict=True)) [:21] if i != q]
+    assert len(got) == 20 * len(queries) and {(int(queries[q]), i, s) for q, i, s in got} <= {(q, i, -s) for q, i, s in want}
+    assert sum(visited) / len(visited) < 0.25, sum(visited) / len(visited)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_top_k_sql(spark):
     got = topk.op3_exact_topk(spark, SF)
     c = duckdb.connect()
     c.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
-    assert sorted(map(tuple, got.collect())) == sorted(c.sql(topk.ORACLE_SQL).fetchall())
+    assert sorted(map(tuple, got.collect())) == sorted(c.sql(f"select {', '.join(got.columns)} from ({topk.ORACLE_SQL})").fetchall())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -305,3 +343,15 @@ def test_pipeline(spark):
     packed = corpus_pipeline.packing(spark, docs, SF)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert corpus_pipeline.run(spark, SF).count() == packed.count()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_pipeline_keeps_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    names = ["keep", "p_good", "expected_grade", "n_lines", "n_removed", "gone", "th", "row", "own", "bad"]
+    docs = corpus_pipeline.table(spark, SF, "documents").withColumns({n: F.lit(n) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert out.where(" or ".join(f"`{n}` <> '{n}'" for n in names)).count() == 0 and out.count() > 0, name

@@ -290,3 +290,43 @@ def test_language_query_contract(spark, tmp_path):
     again = [(i, t, "dd" if held(i) else k, "other") for i, t, k, _ in rows]
     rnd.shuffle(again)
     assert run("b", again) == got
+
+
+def test_quality_fit_is_at_the_maximum():
+    """The penalised likelihood, written out row by row, falls in every direction from the fit."""
+    rnd = np.random.RandomState(50)
+    rows = [np.unique(rnd.randint(0, 12, rnd.randint(1, 6))).astype(np.int32) for _ in range(150)]
+    grades = np.clip(np.array([int((r % 3 == 0).sum() + rnd.randint(0, 2)) for r in rows]), 0, 2)
+    model = quality.fit(rows, grades, steps=3000, rate=0.02)
+
+    def loss(weights, low, high):
+        total = 0.0
+        for r, g in zip(rows, grades, strict=True):
+            s = sum(weights[i] for i in r)
+            below = [0.0, *(1 / (1 + np.exp(-(t - s))) for t in (low, high)), 1.0]
+            total -= np.log(below[g + 1] - below[g])
+        return total / len(rows) + 1e-3 / 2 * float((weights**2).sum())
+
+    w = model.weights[:12].astype(float)
+    best = loss(w, *model.thresholds)
+    for k in range(12):
+        for step in (-0.05, 0.05):
+            other = w.copy()
+            other[k] += step
+            assert loss(other, *model.thresholds) > best - 1e-6
+    for a, b in ((0.05, 0), (-0.05, 0), (0, 0.05), (0, -0.05)):
+        assert loss(w, model.thresholds[0] + a, model.thresholds[1] + b) > best - 1e-6
+    s = w[rows[0]].sum()
+    assert np.allclose(model.tails(rows[0]), [1 / (1 + np.exp(t - s)) for t in model.thresholds], atol=1e-5)
+
+
+def test_quality_bounds_and_names(spark):
+    docs = frame(spark, [(i, f"word{i % 7} good text " * 3) for i in range(300)] + [(5, "another text of five")])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)] + [(7, 1, 0)] * 500 + [(8, 0, 1), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    grades = quality.graded(labels)
+    assert grades.count() == 300 and grades.where("doc_id = 8").first().grade == 0
+    assert len(quality.training_rows(docs, grades)[0]) == 300
+    few, _ = quality.training_rows(docs, grades, max_features=400)
+    assert 0 < sum(len(r) for r in few) < 800
+    named = quality.classify(docs.withColumn("keep", F.lit("mine")), labels, names=("e", "p", "k"))
+    assert named.columns == [*docs.columns, "keep", "e", "p", "k"] and named.where("keep = 'mine'").count() == 301
