@@ -58,27 +58,37 @@ def pivot_pairs(buckets: DataFrame) -> DataFrame:
 SIDE = 256
 
 
-def open_pairs(buckets: DataFrame, roots: DataFrame, traits: DataFrame, alike, side: int = SIDE) -> DataFrame:
+def open_pairs(buckets: DataFrame, roots: DataFrame, traits: DataFrame, alike, side: int = SIDE, few: int = 0) -> DataFrame:
     """(a, b): pairs of members of different components in a bucket that are alike by their traits (node, ...); pivots have been tried.
 
     Members outside a bucket's largest component meet all its members block against block, as arrays: only pairs that
-    pass become rows. ``alike`` takes two functions from a trait's name to its column.
+    pass become rows, each under the least key that its two share. ``alike`` takes two functions from a trait's name to its
+    column. With ``few`` they meet eight of the members only, others for each number: what that joins needs no further pairs.
     """
     own = buckets.where("node != pivot").select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     sizes = own.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"))
     blocks = lambda n: F.ceil(n / side).cast("int")
     sizes = sizes.where("roots > 1").select("key", F.col("top.root").alias("top"), blocks(F.col("n") - F.col("top.n")).alias("nl"), blocks(F.col("n")).alias("nr"))
-    several = cut(own.join(sizes, "key").join(traits, "node"))
-    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    item = F.struct("node", "root", "top", *[c for c in traits.columns if c != "node"])
-    left = several.where("root != top").select("key", dealt("nl").alias("lb"), each("nr").alias("rb"), item.alias("item"))
-    right = several.select("key", each("nl").alias("lb"), dealt("nr").alias("rb"), item.alias("item"))
-    together = lambda f, name: f.groupBy("key", "lb", "rb").agg(F.collect_list("item").alias(name))
-    both = together(left, "left").join(together(right, "right"), ["key", "lb", "rb"])
+    keys = buckets.groupBy("node").agg(F.collect_set("key").alias("keys"))  # as many as a node has
+    several = cut(own.join(sizes, "key").join(traits.join(keys, "node"), "node"))
+    item = F.struct("node", "root", "top", "keys", *[c for c in traits.columns if c != "node"])
+    if few:
+        least = several.groupBy("key", (F.col("root") == F.col("top")).alias("in_top")).agg(F.array(*[f(item, F.xxhash64("node", F.lit(2 * few + k))) for k in range(2) for f in (F.min_by, F.max_by)]).alias("some"))
+        right = least.groupBy("key").agg(F.flatten(F.collect_list("some")).alias("right"))  # at most eight
+        both = several.where("root != top").select("key", F.array(item).alias("left")).join(right, "key")
+    else:
+        dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = several.where("root != top").select("key", dealt("nl").alias("lb"), each("nr").alias("rb"), item.alias("item"))
+        right = several.select("key", each("nl").alias("lb"), dealt("nr").alias("rb"), item.alias("item"))
+        together = lambda f, name: f.groupBy("key", "lb", "rb").agg(F.collect_list("item").alias(name))
+        both = together(left, "left").join(together(right, "right"), ["key", "lb", "rb"])
+
+    # with few, the bucket of the least key may have other representatives
+    once = lambda x, y: F.lit(True) if few else F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("key")
 
     def meet(x):
-        open_to = lambda y: (x["root"] != y["root"]) & ((y["root"] == x["top"]) | (x["node"] < y["node"])) & alike(lambda c: x[c], lambda c: y[c])
+        open_to = lambda y: (x["root"] != y["root"]) & ((y["root"] == x["top"]) | (x["node"] < y["node"]) | F.lit(few > 0)) & alike(lambda c: x[c], lambda c: y[c]) & once(x, y)
         return F.transform(F.filter("right", open_to), lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")))
 
     return both.select(F.explode(F.flatten(F.transform("left", meet))).alias("p")).select("p.a", "p.b").distinct()

@@ -187,6 +187,8 @@ def test_open_pairs_leave_no_pair_out(spark):
     roots = nodes.where("node % 5 = 0").select("node", F.lit(0).cast("long").alias("root"))
     got = {(r.a, r.b) for r in cc.open_pairs(buckets, roots, nodes, lambda x, y: x("trait") == y("trait"), 4).collect()}
     root = {i: 0 if i % 5 == 0 else i for i in range(60)}
+    some = {(r.a, r.b) for r in cc.open_pairs(buckets, roots, nodes, lambda x, y: x("trait") == y("trait"), 4, few=1).collect()}
+    assert some and some < got
     assert got == {(i, j) for j in range(1, 60) for i in range(1, j) if i % 7 == j % 7 and root[i] != root[j]}
 
 
