@@ -331,7 +331,7 @@ def test_workspace_keeps_ids_over_edits_and_renames(space, spark, tmp_path):
     space.save(state)
     assert space.catalog.table("documents").first().relative_path == "garden/ground.md"
     text = (tmp_path / "garden/ground.md").read_text()
-    (tmp_path / "garden/ground.md").write_text("# Before\n\n" + text.replace("rot slowly", "rot fast"))
+    (tmp_path / "garden/ground.md").write_text("# Before\n\nIntro.\n\n" + text.replace("rot slowly", "rot fast"))
     again = {r.title: r.section_id for r in space.load().sections.where(F.col("document_id") == doc).collect()}
     assert {k: again[k] for k in now if k in again} == {k: v for k, v in now.items() if k in again} and len(again) == len(now) + 1
 
