@@ -16,6 +16,11 @@ def get_document(documents: DataFrame, document_id: str) -> DataFrame:
     return _some(documents.where(F.col("document_id") == document_id), f"document {document_id}")
 
 
+def get_document_by_name(documents: DataFrame, name: str) -> DataFrame:
+    """By display name; the first path, if several documents have it."""
+    return _some(documents.where(F.col("name") == name).orderBy("relative_path").limit(1), f"document {name}")
+
+
 def _some(found: DataFrame, what: str) -> DataFrame:
     if found.isEmpty():
         raise NotFound(what)

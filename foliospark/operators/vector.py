@@ -80,6 +80,15 @@ def cache_remove(cache: DataFrame, section_id: str) -> DataFrame:
     return cache.where(F.col("section_id") != section_id)
 
 
+def cache_load(cache: DataFrame, model: str) -> DataFrame:
+    """All entries of a model."""
+    return cache.where(F.col("model") == model).select("section_id", "content_hash", "vector")
+
+
+def cache_clear(cache: DataFrame) -> DataFrame:
+    return cache.limit(0)
+
+
 def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count("*").alias("entries"), F.countDistinct("model").alias("models"), F.coalesce(F.sum(F.size("vector") * 4), F.lit(0)).cast("long").alias("raw_bytes"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.workspace import relative_to
@@ -40,7 +40,11 @@ def debounce(events: DataFrame, key: str, width: int = WINDOW_MS) -> DataFrame:
         return pd.DataFrame([(f[key].iloc[0], a, n) for a, n in got], columns=[key, "window_start", "events"])
 
     own = events.select(key, F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    return own.groupBy(key).applyInPandas(run, f"{key} {kind}, window_start long, events long")
+    in_turn = Window.partitionBy(key).orderBy("ms")
+    # an event that comes a width or more after the one before it opens a window in any case: what lies between is one group
+    opens = F.coalesce((F.col("ms") - F.lag("ms").over(in_turn) >= width).cast("int"), F.lit(0))
+    bursts = own.withColumn("opens", opens).withColumn("burst", F.sum("opens").over(in_turn.rowsBetween(Window.unboundedPreceding, 0)))
+    return bursts.groupBy(key, "burst").applyInPandas(run, f"{key} {kind}, window_start long, events long")
 
 
 def debounce_stream(events: DataFrame, key: str, width: int = WINDOW_MS) -> DataFrame:

@@ -148,6 +148,12 @@ def test_cache(spark, sections):
     full = vector.embed(sections, empty, "m", lambda texts: [[float(len(t)), 1.0] for t in texts]).cache()
     assert full.count() == 6 and vector.cache_misses(sections, full, "m").count() == 0 and vector.cache_misses(sections, full, "x").count() == 6
     assert tuple(vector.cache_stats(full).first()) == (6, 1, 48)
+    assert vector.cache_load(full, "m").count() == 6 and vector.cache_load(full, "x").count() == 0 and vector.cache_clear(full).count() == 0
+    docs = workspace.documents_of(spark.createDataFrame(FILES, "relative_path string, markdown string"), sections)
+    assert tree.get_document_by_name(docs, "bread").first().relative_path == "kitchen/bread.md"
+    with pytest.raises(NotFound):
+        tree.get_document_by_name(docs, "none")
+    assert search.plain_snippet("é" * 50 + "hit" + "x" * 50, 100, 103) == "é" * 20 + "hit" + "x" * 40
 
 
 def test_diff_and_merge():
