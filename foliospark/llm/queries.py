@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import topk
+from . import divergence, topk
 from .decontaminate import op5_benchmark_decontamination
+from .divergence import op11_source_divergence
 from .language import op4_language_id
 from .line_dedup import op2_line_dedup
 from .near_dups import op9_minhash_near_dups
@@ -19,6 +20,7 @@ QUERIES = {
     for f in (
         op1_token_counts, op2_line_dedup, op3_exact_topk, op4_language_id, op5_benchmark_decontamination, op6_quality_classifier,
         op7_secret_scans, op8_best_fit_packing, op9_minhash_near_dups, op10_pii_pseudonyms,
+        op11_source_divergence,
     )
 }
-ORACLE = {"op3_exact_topk": topk.ORACLE_SQL}
+ORACLE = {"op3_exact_topk": topk.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL}
