@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -63,6 +64,18 @@ def parts(text: str, size: int = 1 << 20, gap: str = " ") -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def slices(text: bytes, gap: re.Pattern, size: int = 1 << 20) -> Iterator[bytes]:
+    """Slices of about ``size`` that end before a gap; together they are the text."""
+    at = 0
+    while len(text) - at > size:
+        cut_at = gap.search(text, at + size)
+        if not cut_at:
+            break
+        yield text[at : cut_at.start()]
+        at = cut_at.start()
+    yield text[at:] if at else text
+
+
 #: Bits of a membership filter for each key, and its bounds: 8 KiB and 32 MiB.
 BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 

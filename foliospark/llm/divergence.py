@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
-from .common import arrow_batches, table
+from .common import arrow_batches, slices, table
 
 LEAST_DOCS, TOP = 30, 50
 SCALE, SMOOTH = 1_000_000_000, 5
@@ -42,18 +42,6 @@ CELLS = 4_000_000
 _TERM, _GAP = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
 
 
-def slices(text: bytes, gap: re.Pattern, size: int = 1 << 20) -> Iterator[bytes]:
-    """Slices of about ``size`` that end before a gap; together they are the text."""
-    at = 0
-    while len(text) - at > size:
-        cut_at = gap.search(text, at + size)
-        if not cut_at:
-            break
-        yield text[at : cut_at.start()]
-        at = cut_at.start()
-    yield text[at:] if at else text
-
-
 class _Chunk:
     """Documents whose (document, term) counts are collected, then sorted and scanned into runs."""
 

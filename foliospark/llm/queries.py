@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import divergence, topk
+from . import collocations, divergence, topk
+from .collocations import op12_phrase_collocations
 from .decontaminate import op5_benchmark_decontamination
 from .divergence import op11_source_divergence
 from .language import op4_language_id
@@ -20,7 +21,7 @@ QUERIES = {
     for f in (
         op1_token_counts, op2_line_dedup, op3_exact_topk, op4_language_id, op5_benchmark_decontamination, op6_quality_classifier,
         op7_secret_scans, op8_best_fit_packing, op9_minhash_near_dups, op10_pii_pseudonyms,
-        op11_source_divergence,
+        op11_source_divergence, op12_phrase_collocations,
     )
 }
-ORACLE = {"op3_exact_topk": topk.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL}
+ORACLE = {"op3_exact_topk": topk.ORACLE_SQL, "op11_source_divergence": divergence.ORACLE_SQL, "op12_phrase_collocations": collocations.ORACLE_SQL}
