@@ -82,8 +82,15 @@ tot AS (SELECT sid, sum(s) AS score, count(*) AS m FROM sc GROUP BY 1)"""
 )
 
 
+_INDEXES: dict[tuple[str, str], search.FullTextIndex] = {}
+
+
 def _index(spark, sf_dir):
-    return search.FullTextIndex.build(_sections(spark, sf_dir))
+    """The index of a folder's documents, built once in an application: its queries read the stored tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = search.FullTextIndex.build(_sections(spark, sf_dir))
+    return _INDEXES[key]
 
 
 def _hits(found):
@@ -107,6 +114,60 @@ def phrase_search(spark, sf_dir):
     return _hits(search.search(_index(spark, sf_dir), '"of the"', max_results=2**31 - 1))
 
 
+@_query("WITH " + _SEC + r""", word AS (SELECT *, regexp_extract_all(lower(title || ' ' || content), '[\p{L}\p{N}]+') AS w FROM sec
+), hit AS (SELECT path, title,
+    CASE WHEN list_has_all(w, ['doc', '1']) THEN CASE WHEN contains(lower(title), 'doc 1') THEN 5 ELSE 0 END + CASE WHEN contains(lower(content), 'doc 1') THEN 2 ELSE 0 END ELSE 0 END
+    + CASE WHEN list_has_all(w, ['the', 'that']) AND contains(lower(content), 'the that') THEN 2 ELSE 0 END AS score FROM word)
+SELECT path AS relative_path, title, score::DOUBLE AS score FROM hit WHERE score > 0""")
+def phrases_in_titles_and_texts(spark, sf_dir):
+    """Either of two phrases; a word may go on behind a phrase if the phrase's own words stand there too."""
+    return _hits(search.search(_index(spark, sf_dir), '"doc 1" "the that"', require_all=False, max_results=2**31 - 1))
+
+
+@_query("WITH " + _SEC + r""", piece AS (
+  SELECT sid, path, title, i, list_extract(p, i) AS piece FROM (SELECT sid, path, title, regexp_extract_all(content, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS p FROM sec), range(1, len(p) + 1) r(i)
+), place AS (SELECT *, (sum(octet_length(encode(piece))) OVER (PARTITION BY sid ORDER BY i) - octet_length(encode(piece)))::BIGINT AS a FROM piece
+), hit AS (SELECT sid, path, title, list({'start': a, 'end': a + octet_length(encode(piece))} ORDER BY a)[:3] AS spans FROM place WHERE lower(piece) = 'that' OR starts_with(lower(piece), 'ing') GROUP BY ALL)
+SELECT path AS relative_path, title, CAST(spans AS VARCHAR) AS spans FROM hit""")
+def match_offsets(spark, sf_dir):
+    """The first three places of a term or a prefix in each text, as bytes, from the postings alone."""
+    index = _index(spark, sf_dir)
+    found = search.match_offsets(index, "that ing*").where(F.size("spans") > 0).join(index.headers.select("section_id", "relative_path", "title"), "section_id")
+    shown = F.array_join(F.transform("spans", lambda x: F.format_string("{'start': %d, 'end': %d}", x["start"], x["end"])), ", ")
+    return found.select("relative_path", "title", F.concat(F.lit("["), shown, F.lit("]")).alias("spans"))
+
+
+_BATCH = (
+    _POST
+    + """,
+qt AS (SELECT DISTINCT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+')[1:4])) AS term FROM benchmark),
+qn AS (SELECT query_id, count(*) AS atoms FROM qt GROUP BY 1),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+sc AS (SELECT query_id, sid, count(*) AS m, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (2.5 * tt * 2.2 / (tt + 1.2 * (0.25 + 0.75 * lt / greatest(avg_t, 1))) + tc * 2.2 / (tc + 1.2 * (0.25 + 0.75 * lc / greatest(avg_c, 1))))) AS s
+  FROM qt JOIN post USING (term) JOIN df USING (term) JOIN len USING (sid), st GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, path, title) AS rank FROM sc JOIN qn USING (query_id) JOIN len USING (sid) WHERE {all})
+SELECT query_id, rank, round(s, 6) AS score FROM rk WHERE rank <= 5"""
+)
+
+
+def _batch(spark, sf_dir, require_all):
+    """Four words of each item of the benchmark, all items in one plan; where scores tie, only the score is compared."""
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 4)
+    queries = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+    found = search.search_many(_index(spark, sf_dir), queries, k=5, require_all=require_all)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@_query("WITH " + _BATCH.replace("{all}", "m >= atoms"))
+def batch_search_all(spark, sf_dir):
+    return _batch(spark, sf_dir, True)
+
+
+@_query("WITH " + _BATCH.replace("{all}", "TRUE"))
+def batch_search_any(spark, sf_dir):
+    return _batch(spark, sf_dir, False)
+
+
 @_query("WITH " + _POST + " SELECT term, count(*) AS df, CAST(sum(tt + tc) AS BIGINT) AS cf FROM post GROUP BY 1")
 def postings_terms(spark, sf_dir):
     p = _index(spark, sf_dir).postings
@@ -412,7 +473,7 @@ def search_sections(spark, sf_dir):
     """Within one document, in titles only."""
     s = _sections(spark, sf_dir)
     one = s.agg(F.min_by("document_id", "relative_path")).first()[0]
-    return search.search_sections(search.FullTextIndex.build(s), one, "doc", in_content=False, max_results=2**31 - 1).select("relative_path", "title")
+    return search.search_sections(_index(spark, sf_dir), one, "doc", in_content=False, max_results=2**31 - 1).select("relative_path", "title")
 
 
 @_query("SELECT doc_id, FALSE AS conflict, sha256('Top' || chr(10) || text || chr(10) || 'End' || chr(10)) AS digest FROM documents WHERE text IS NOT NULL")

@@ -86,7 +86,7 @@ def test_queries_and_texts_have_the_same_tokens(spark):
 
 
 def test_matches_and_updates(index, sections, spark, tmp_path):
-    row = search.with_matches(search.search(index, "compost rot"), sections, "compost rot").first()
+    row = search.with_matches(search.search(index, "compost rot"), index, "compost rot").first()
     assert row.title_match and "rot slowly" in row.content_matches[0].snippet
     doc = sections.where("title = 'Compost'").first().document_id
     assert search.search_sections(index, doc, "straw", in_content=False).count() == 0
@@ -382,3 +382,92 @@ def test_ids():
     a, b = ids.new_id("section"), ids.new_id("section")
     assert a.startswith("sec-") and len(a) == 26 and a[:10] <= b[:10]
     assert json.dumps(a)
+
+
+def test_positions_are_those_of_the_text(spark):
+    """Every span of the postings holds its term, counted in bytes; camelCase parts share their word's number."""
+    content = "Ärger mit getHttpResponse,日本 und XMLParser.  Ärger mit\nnaïve 🚀 get"
+    made = spark.createDataFrame([("s", "d", "p.md", "Das getHttp Ä", content), ("t", "d", "p.md", None, None)], "section_id string, document_id string, relative_path string, title string, content string")
+    own = search.FullTextIndex.build(made)
+    texts = {"title": "Das getHttp Ä".encode(), "content": content.encode()}
+    rows = own.postings.collect()
+    assert {(r.section_id, r.len_title, r.len_content) for r in own.headers.collect()} == {("s", 5, 15), ("t", 1, 1)}
+    for r in rows:
+        for f in texts:
+            assert len(r[f]) == r[f"tf_{f}"] and all(texts[f][h.start : h.end].decode().lower() == r.term for h in r[f])
+    numbers = {r.term: [(h.run, h.word) for h in r.content] for r in rows}
+    assert numbers["http"] == [(2, False)] and numbers["gethttpresponse"] == [(2, True)] and numbers["get"] == [(2, False), (9, True)]
+    assert [(h.start, h.end) for h in search.phrase_hits(own, ("ärger", "mit")).orderBy("start").collect()] == [(0, 10), (50, 60)]
+    assert search.phrase_hits(own, ("mit", "naïve")).count() == 0  # a line end is no space
+
+
+def test_phrases_go_on_in_words(spark):
+    rows = [("a", "roof theatre of the"), ("b", "roof theatre"), ("c", "of  the"), ("d", "of the"), ("e", "the of")]
+    made = spark.createDataFrame([(k, k, f"{k}.md", "", t) for k, t in rows], "section_id string, document_id string, relative_path string, title string, content string")
+    found = search.phrase_hits(search.FullTextIndex.build(made), ("of", "the"))
+    assert {(r.section_id, r.start, r.end) for r in found.collect()} == {("a", 2, 8), ("a", 13, 19), ("d", 0, 6)}
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """Two thousand sections in about sixty blocks; one word is nearly everywhere, some are in a few documents only."""
+    import random
+
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(2000):
+        own = r.choices(words, weights=[1 / (k + 1) for k in range(300)], k=r.randint(5, 60)) + (["rare"] * r.randint(1, 9) if i % 400 == 0 else [])
+        rows.append((f"s{i:04}", f"d{i // 4}", f"p{i // 4}.md", r.choice(words), " ".join(own)))
+    return search.FullTextIndex.build(spark.createDataFrame(rows, "section_id string, document_id string, relative_path string, title string, content string"), block=32)
+
+
+@pytest.mark.parametrize("require_all", [True, False])
+def test_a_batch_finds_what_single_queries_find(spark, many, require_all):
+    texts = ["w3 w17", "rare w1", "w2* w250", "absent", "", "w0 w1 w2 w3"]
+    found = search.search_many(many, spark.createDataFrame(list(enumerate(texts)), "query_id long, query string"), 10, require_all).collect()
+    for i, t in enumerate(texts):
+        want = [(r.section_id, round(r.score, 9)) for r in search.search(many, t, require_all=require_all, max_results=10).collect()]
+        assert [(r.section_id, round(r.score, 9)) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == i] == want
+
+
+def test_blocks_and_ranges_are_passed_over(spark, many):
+    """A rare word's few blocks outscore the rest; a term's postings are in a part of the files only."""
+    plan = search.plan_blocks(many, spark.createDataFrame([(0, "rare w0"), (1, "w299 w298")], "query_id long, query string"), 3, require_all=False)
+    need = {r.query_id: (r.need, r.all) for r in plan.blocks.groupBy("query_id").agg(F.count_if("need").alias("need"), F.count("*").alias("all")).collect()}
+    assert need[0][1] > 50 and need[0][0] <= need[0][1] // 5
+    ranges, folders = many.ranges_of(F.col("term") == "rare"), {f.split("/range=")[1].split("/")[0] for f in many.postings.inputFiles()}
+    held = {r.term: r.ranges for r in many.postings.groupBy("term").agg(F.collect_set("range").alias("ranges")).collect()}
+    assert sorted(ranges) == sorted(held["rare"]) and len(ranges) < len(folders)
+    plan = many.postings_of(F.col("term") == "rare")._jdf.queryExecution().executedPlan().toString()
+    assert "range#" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+
+
+def test_postings_are_delta_coded(spark, many):
+    import pyarrow.parquet as pq
+
+    kinds = set()
+    for f in many.postings.inputFiles():
+        meta = pq.ParquetFile(f.removeprefix("file:").removeprefix("//")).metadata
+        for c in range(meta.row_group(0).num_columns):
+            col = meta.row_group(0).column(c)
+            if col.path_in_schema.endswith("start"):
+                kinds |= set(col.encodings)
+    assert kinds & {"DELTA_BINARY_PACKED", "RLE_DICTIONARY"}, kinds
+
+
+def test_segments_equal_a_new_index(spark):
+    """Many replacements, one after another, and the merge after SEGMENTS of them: counts and scores as of a new index."""
+    columns = "section_id string, document_id string, relative_path string, title string, content string"
+    texts = {f"d{i}": f"common word{i % 3} only{i}" for i in range(6)}
+    frame = lambda t: spark.createDataFrame([(f"s-{d}", d, f"{d}.md", d, c) for d, c in t.items()], columns)
+    own = search.FullTextIndex.build(frame(texts))
+    for step in range(3):
+        changed = {f"d{step}": f"common changed{step} word1", f"n{step}": "common new"}
+        gone = spark.createDataFrame([(f"d{step}",), (f"d{step + 3}",), ("nobody",)], "document_id string")
+        own = own.replace(gone, frame(changed))
+        texts = {k: v for k, v in texts.items() if k not in (f"d{step}", f"d{step + 3}")} | changed
+    new = search.FullTextIndex.build(frame(texts))
+    for q in ("common word1", "changed2", "new*"):
+        assert [(r.section_id, round(r.score, 9)) for r in search.search(own, q).collect()] == [(r.section_id, round(r.score, 9)) for r in search.search(new, q).collect()]
+    assert sorted(map(tuple, own.terms.collect())) == sorted(map(tuple, new.terms.collect())) and own.n == new.n
