@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sha256
@@ -34,6 +35,28 @@ def nearest(
     return top.withColumn("score", 1 / (1 + F.col("distance")))
 
 
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, rank, id, distance): the k nearest vectors (id, vector) of each query (query_id, vector), exact. For a few hundred queries: they go to every partition of the vectors."""
+    asked = [(r.query_id, np.array(r.vector, np.float64)) for r in queries.select("query_id", "vector").collect()]  # the stated queries
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for d in {len(q) for _, q in asked}:
+                own = f[[v is not None and len(v) == d for v in f["vector"]]]
+                if not len(own):
+                    continue
+                ids, rows = own["id"].to_numpy(), np.stack(own["vector"].to_numpy()).astype(np.float64)
+                for query, q in asked:
+                    if len(q) == d:
+                        far = np.sqrt(((rows - q) ** 2).sum(1))
+                        best = np.lexsort((ids, far))[:k]
+                        yield pd.DataFrame({"query_id": query, "id": ids[best], "distance": far[best]})
+
+    found = vectors.select("id", F.col("vector").cast("array<float>").alias("vector")).mapInPandas(run, "query_id long, id string, distance double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def nearest_approximate(vectors: DataFrame, query: list[float], k: int = 10, bucket: float = 2.0, tables: int = 8, id_col: str = "section_id") -> DataFrame:
     """The same by random-projection hashing; candidates are found without computing all distances."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

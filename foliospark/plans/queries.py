@@ -7,14 +7,17 @@ Sections are made from ``documents`` (a file for each source, language and range
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import document_name, is_markdown_path, keep_line_ends, sha256, tokens
-from ..operators import catalog, diff, edits, history, reconcile, search, tree, vector
+from ..operators import catalog, diff, edits, embedding, history, reconcile, search, semantic, tree, vector
+from ..operators.semantic import SemanticIndex
 from ..sources import workspace
 from ..sources.markdown import section_id
+from ..storage import shared_folder
 from ..streaming import feed
 
 
@@ -205,6 +208,88 @@ def knn_filtered(spark, sf_dir):
     return _near(vector.nearest(_vectors(spark, sf_dir), _Q0, 10, where=F.col("label") == 1, id_col="vec_id"))
 
 
+def _named(spark, sf_dir):
+    return _vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("id"), F.lit("m").alias("model"), "vector")
+
+
+def _asked(spark, sf_dir, shift=0.01):
+    """Each label's mean vector, moved a little, is a query."""
+    dims = F.posexplode("embedding").alias("i", "x")
+    means = _t(spark, sf_dir, "embeddings").select("label", dims).groupBy("label", "i").agg((F.round(F.avg(F.col("x").cast("double")), 6) + shift).alias("x"))
+    return means.groupBy(F.col("label").cast("long").alias("query_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector"))
+
+
+_MEANS = """means AS (SELECT label::BIGINT AS query_id, i, round(avg(embedding[i]::DOUBLE), 6) + 0.01 AS x FROM embeddings, range(1, 65) r(i) GROUP BY ALL)"""
+_EXACT = """, dist AS (SELECT query_id, vec_id, sqrt(sum((v.x - m.x) * (v.x - m.x))) AS distance FROM (SELECT vec_id, i, {x} AS x FROM {rows}, range(1, 65) r(i)) v JOIN means m USING (i) GROUP BY ALL),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id::VARCHAR) AS rank FROM dist)"""
+
+
+@_query("WITH " + _MEANS + " SELECT count(DISTINCT query_id) AS queries, TRUE AS recall_is_09 FROM means")
+def semantic_recall(spark, sf_dir):
+    """The neighbour graphs' ten nearest of each query against the exact ten: nine in ten are found at least."""
+    asked = _asked(spark, sf_dir)
+    found = SemanticIndex.build(_named(spark, sf_dir)).search(asked, 10).select("query_id", "id")
+    each = vector.nearest_each(_named(spark, sf_dir), asked, 10)
+    hits = each.select("query_id", "id").join(found.withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
+    return hits.agg(F.countDistinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_is_09"))
+
+
+_CHANGED = _EXACT.replace("{rows}", "(SELECT * FROM embeddings WHERE label IS DISTINCT FROM 2)").replace("{x}", "CASE WHEN label = 1 THEN -embedding[i]::DOUBLE ELSE embedding[i]::DOUBLE END")
+
+
+@_query("WITH " + _MEANS + _CHANGED + " SELECT query_id, rank, round(distance, 4) AS distance FROM near WHERE rank <= 5")
+def semantic_incremental(spark, sf_dir):
+    """Vectors of one label removed and those of another replaced by their opposites, as a segment and tombstones; the beam is as wide as a cell, so the search is exact."""
+    labelled = _vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("id"), "vector", "label")
+    opposite = labelled.where("label = 1").select("id", F.transform("vector", lambda x: -x).alias("vector"))
+    index = SemanticIndex.build(labelled).replace(labelled.where("label = 2"), opposite)
+    found = index.search(_asked(spark, sf_dir), 5, ef=semantic.CELL)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 4).alias("distance"))
+
+
+_HASHED = r"""dim AS (SELECT doc_id, ('0x' || substr(md5(tok), 1, 4))::INTEGER % 64 AS i, count(*)::DOUBLE AS x
+  FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS tok FROM documents) GROUP BY ALL),
+q AS (SELECT item_id AS query_id, ('0x' || substr(md5(tok), 1, 4))::INTEGER % 64 AS i, count(*)::DOUBLE AS x
+  FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS tok FROM benchmark) GROUP BY ALL),
+dd AS (SELECT doc_id, sum(x * x) AS s FROM dim GROUP BY 1), qq AS (SELECT query_id, sum(x * x) AS s FROM q GROUP BY 1),
+cross_ AS (SELECT query_id, doc_id, sum(q.x * dim.x) AS s FROM q JOIN dim USING (i) GROUP BY ALL),
+dist AS (SELECT qq.query_id, d.doc_id, sqrt(greatest(qq.s + coalesce(dd.s, 0) - 2 * coalesce(c.s, 0), 0)) AS distance
+  FROM qq CROSS JOIN documents d LEFT JOIN dd USING (doc_id) LEFT JOIN cross_ c ON c.query_id = qq.query_id AND c.doc_id = d.doc_id)"""
+
+
+@_query("WITH " + _HASHED + " SELECT query_id, rank, round(distance, 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id::VARCHAR) AS rank FROM dist) WHERE rank <= 3")
+def semantic_search_by_text(spark, sf_dir):
+    """Texts of the benchmark as queries: an encoder turns them and all documents into vectors; the beam is as wide as a cell."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), embedding.encoder(embedding.hashed_encoder)(F.lower("text")).alias("vector"))
+    queries = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("query"))
+    found = embedding.search_texts(SemanticIndex.build(docs), queries, "hashed", embedding.hashed_encoder, 3, ef=semantic.CELL)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 4).alias("distance"))
+
+
+@_query("SELECT count(*) AS before, 0::BIGINT AS after, count(*) AS vectors, TRUE AS ready FROM documents")
+def background_embedding(spark, sf_dir):
+    """Misses of the cache before and after a stream has embedded all sections that arrived."""
+    folder = f"{shared_folder(spark)}/embeddings-{uuid.uuid4().hex}"
+    sections = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("section_id"), F.lit("Doc").alias("title"), F.coalesce("text", F.lit("")).alias("content"))
+    sections.write.parquet(f"{folder}/source")
+    job = embedding.Embeddings(spark, f"{folder}/source", folder, "hashed", embedding.hashed_encoder)
+    before = vector.cache_misses(sections, job.cache.rows(), "hashed").count()
+    job.catch_up()
+    after = vector.cache_misses(sections, job.cache.rows(), "hashed").count()
+    count = lambda n: F.lit(n).cast("long")
+    return embedding.vectors_of(sections, job.cache, "hashed").agg(F.count("*").alias("vectors")).select(count(before).alias("before"), count(after).alias("after"), "vectors", F.lit(job.ready()).alias("ready"))
+
+
+@_query("SELECT count(*) AS entries, 1::BIGINT AS models, coalesce(sum(256), 0)::BIGINT AS raw_bytes, TRUE AS is_smaller FROM (SELECT DISTINCT vec_id FROM embeddings)")
+def embedding_cache_file(spark, sf_dir):
+    """Every vector put into the cache's files twice, the second time rounded to a half: an upsert. They take less room than raw floats."""
+    cache = embedding.EmbeddingCache(spark, f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}")
+    rows = _vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("section_id"), F.lit("h").alias("content_hash"), F.lit("m").alias("model"), "vector")
+    cache.put(rows)
+    cache.put(rows.withColumn("vector", F.transform("vector", lambda x: (F.round(x * 2) / 2).cast("float"))))
+    return cache.stats().select("entries", "models", "raw_bytes", (F.col("ratio") > 1).alias("is_smaller"))
+
+
 @_query()
 def knn_lsh(spark, sf_dir):
     return _near(vector.nearest_approximate(_vectors(spark, sf_dir), _Q0, 10, id_col="vec_id"))
