@@ -12,10 +12,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import udtf
 from ..functions.text import document_name, is_markdown_path, keep_line_ends, sha256, tokens
 from ..operators import catalog, diff, edits, embedding, history, reconcile, search, semantic, tree, vector
 from ..operators.semantic import SemanticIndex
-from ..sources import workspace
+from ..sources import folder, workspace
 from ..sources.markdown import section_id
 from ..storage import shared_folder
 from ..streaming import feed
@@ -269,10 +270,10 @@ def semantic_search_by_text(spark, sf_dir):
 @_query("SELECT count(*) AS before, 0::BIGINT AS after, count(*) AS vectors, TRUE AS ready FROM documents")
 def background_embedding(spark, sf_dir):
     """Misses of the cache before and after a stream has embedded all sections that arrived."""
-    folder = f"{shared_folder(spark)}/embeddings-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark)}/embeddings-{uuid.uuid4().hex}"
     sections = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("section_id"), F.lit("Doc").alias("title"), F.coalesce("text", F.lit("")).alias("content"))
-    sections.write.parquet(f"{folder}/source")
-    job = embedding.Embeddings(spark, f"{folder}/source", folder, "hashed", embedding.hashed_encoder)
+    sections.write.parquet(f"{top}/source")
+    job = embedding.Embeddings(spark, f"{top}/source", top, "hashed", embedding.hashed_encoder)
     before = vector.cache_misses(sections, job.cache.rows(), "hashed").count()
     job.catch_up()
     after = vector.cache_misses(sections, job.cache.rows(), "hashed").count()
@@ -290,6 +291,46 @@ def embedding_cache_file(spark, sf_dir):
     return cache.stats().select("entries", "models", "raw_bytes", (F.col("ratio") > 1).alias("is_smaller"))
 
 
+def _view(df, name):
+    df.createOrReplaceTempView(name)
+    return name
+
+
+@_query("WITH " + _SEC + " SELECT path AS relative_path, title, level::BIGINT AS level, octet_length(encode(content))::BIGINT AS bytes FROM sec WHERE level > 0")
+def sql_markdown_sections(spark, sf_dir):
+    """The parser as a table function, in SQL."""
+    udtf.register(spark)
+    name = _view(_files(spark, sf_dir), "sql_files")
+    return spark.sql(f"SELECT f.relative_path, s.title, CAST(s.level AS BIGINT) AS level, octet_length(s.content) AS bytes FROM {name} f, LATERAL markdown_sections(f.relative_path, f.markdown) s WHERE s.level > 0").withColumn("bytes", F.col("bytes").cast("long"))
+
+
+@_query(r"WITH t AS (SELECT lang, unnest(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+')) AS tok FROM documents) SELECT lang, lower(tok) AS term, count(*) AS n FROM t GROUP BY ALL HAVING count(*) >= 20")
+def sql_text_tokens(spark, sf_dir):
+    """The tokenizer as a table function, in SQL."""
+    udtf.register(spark)
+    name = _view(_t(spark, sf_dir, "documents"), "sql_documents")
+    return spark.sql(f"SELECT d.lang, t.term, count(*) AS n FROM {name} d, LATERAL text_tokens(d.text) t WHERE t.word GROUP BY ALL HAVING count(*) >= 20")
+
+
+@_query("SELECT conv_id, turn, kind, text FROM (SELECT conv_id, turn, 'Removed' AS kind, 'old' AS text FROM conversations UNION ALL SELECT conv_id, turn, 'Added', 'new' FROM conversations)")
+def sql_text_diff(spark, sf_dir):
+    """The line diff as a table function, in SQL: one line replaced before each turn's text."""
+    udtf.register(spark)
+    name = _view(_t(spark, sf_dir, "conversations"), "sql_conversations")
+    both = "concat('old\\n', coalesce(c.text, '')), concat('new\\n', coalesce(c.text, ''))"
+    return spark.sql(f"SELECT c.conv_id, c.turn, d.kind, d.text FROM {name} c, LATERAL text_diff({both}) d WHERE d.kind <> 'Context'")
+
+
+@_query("SELECT relative_path, count(*) + 2 AS sections FROM docs WHERE starts_with(relative_path, 'src1/') GROUP BY 1")
+def markdown_source(spark, sf_dir):
+    """Files written from the tasks, then a folder of them read by the data source; the prefix reaches its listing."""
+    root = f"{shared_folder(spark)}/folder-{uuid.uuid4().hex}"
+    folder.write_files(_files(spark, sf_dir), root)
+    folder.register(spark)
+    files = spark.read.format("markdown").load(root).where(F.col("relative_path").startswith("src1/"))
+    return workspace.sections_of(files).groupBy("relative_path").agg(F.count("*").alias("sections"))
+
+
 @_query()
 def knn_lsh(spark, sf_dir):
     return _near(vector.nearest_approximate(_vectors(spark, sf_dir), _Q0, 10, id_col="vec_id"))
