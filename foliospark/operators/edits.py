@@ -318,11 +318,56 @@ def split_section(path, text, section, split_at: int, title: str) -> str:
     return t.markdown()
 
 
+#: How far a split looks for a heading, and for white space, in bytes; and what is white space there.
+HEADING_REACH, WORD_REACH, _BLANK = 200, 50, b" \t\n\x0c\r"
+
+
+def split_point(raw: bytes, at: int) -> int:
+    """Where a text parts near a byte offset: at the next line that begins with #, else the last one before, else behind white space near a word."""
+    n = len(raw)
+    if at in (0, n):
+        return at
+    opens = lambda i: (i == 0 or raw[i - 1] == 10) and i + 1 < n and raw[i] == 35
+    for reach in (range(at, min(at + HEADING_REACH, n)), range(at - 1, max(at - HEADING_REACH, 0) - 1, -1)):
+        found = next((i for i in reach if opens(i)), None)
+        if found is not None:
+            return found
+    if raw[at] in _BLANK or raw[at - 1] in _BLANK:
+        return at
+    for reach in (range(at, min(at + WORD_REACH, n)), range(at - 1, max(at - WORD_REACH, 0) - 1, -1)):
+        found = next((i for i in reach if raw[i] in _BLANK), None)
+        if found is not None:
+            return n - len(raw[found:].lstrip(_BLANK))
+    return at
+
+
+def split_points(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, point) of (keys, text, at) rows: where each text would be split near a byte offset; null if that is no place between characters."""
+    def run(frames):
+        for f in frames:
+            out = []
+            for text, at in zip(f["text"], f["at"], strict=True):
+                raw = (text or "").encode()
+                out.append(split_point(raw, int(at)) if 0 <= at <= len(raw) and not (at < len(raw) and raw[int(at)] & 0xC0 == 0x80) else None)
+            yield f[keys].assign(point=pd.array(out, dtype="Int64"))
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*keys, "text", "at").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", point long")
+
+
+def split_near(path, text, section, split_at: int, title: str) -> str:
+    """The older split: as split_section, at a heading or between words near the offset."""
+    raw = find(parse(path, text), section).content.encode()
+    if not 0 <= split_at <= len(raw) or (split_at < len(raw) and raw[split_at] & 0xC0 == 0x80):
+        raise InvalidInput("the offset is not within the content or cuts a character")
+    return split_section(path, text, section, split_point(raw, split_at), title)
+
+
 OPERATIONS: dict[str, Callable[..., str]] = {
     f.__name__: f
     for f in (
         update_section, append_to_section, prepend_to_section, rename_section, replace_range, patch_section, create_section, insert_section,
-        remove_section, reorder_sections, move_section, promote_section, demote_section, split_section, set_section_metadata,
+        remove_section, reorder_sections, move_section, promote_section, demote_section, split_section, split_near, set_section_metadata,
     )
 }
 
@@ -368,8 +413,20 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def changed_sections(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Sections of the new tree that are new or differ in place, parent, level, title or content."""
-    fields = ["ordinal", "parent_id", "level", "title", "content"]
+    """Sections of the new tree that are new or differ in place, parent, level, title, content or metadata."""
+    fields = ["ordinal", "parent_id", "level", "title", "content", *[c for c in ("anchor", "tags", "summary", "locked") if c in old.columns and c in new.columns]]
     before = old.select("section_id", F.struct(*fields).alias("_old"))
     both = new.join(before, "section_id", "left")
-    return both.where(F.col("_old").isNull() | (F.struct(*fields) != F.col("_old"))).drop("_old")
+    return both.where(F.col("_old").isNull() | ~F.struct(*fields).eqNullSafe(F.col("_old"))).drop("_old")
+
+
+def check_versions(edits: DataFrame, current: DataFrame, key: str = "relative_path") -> tuple[DataFrame, DataFrame]:
+    """The edits of documents whose expectations hold, and the conflicts (key, section_id, expected_version, version_id).
+
+    Edits with an ``expected_version`` need it to be the current version (section_id, version_id) of the section in their args;
+    one that isn't stops all edits of its document, as an error does.
+    """
+    asked = edits.where("expected_version is not null").select(key, F.get_json_object("args", "$.section").alias("section_id"), "expected_version")
+    found = asked.join(current.select("section_id", "version_id"), "section_id", "left")
+    stale = found.where(~F.col("expected_version").eqNullSafe(F.col("version_id"))).select(key, "section_id", "expected_version", "version_id")
+    return edits.join(stale.select(key).distinct(), key, "left_anti"), stale

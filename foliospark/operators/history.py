@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import Conflict, Locked, NotFound
 from ..ids import derived_id
+from ..storage import stored
 from .diff import diff_texts
 from .tree import render_documents
 
@@ -100,6 +103,63 @@ def diff_snapshots(snapshot_sections: DataFrame, old_id: str, new_id: str) -> Da
     return diff_texts(side(old_id, "old").join(side(new_id, "new"), "document_id", "full_outer"), ["document_id"])
 
 
+#: Where a section stands in its text: follows from the texts before it, so it is not part of a stored row.
+SPANS = ("heading_start", "content_start", "content_end")
+
+
+def _row_hash(sections: DataFrame):
+    return F.sha2(F.to_json(F.struct(*sorted(c for c in sections.columns if c not in SPANS))), 256)
+
+
+@dataclass(frozen=True)
+class SnapshotStore:
+    """Snapshots as commits: snapshots (snapshot_id, document_id, label, root_version, created_at, seq), members (snapshot_id, document_id, section_id, version_id, row_hash), and rows (row_hash and a section's columns), each different row once."""
+
+    snapshots: DataFrame
+    members: DataFrame
+    rows: DataFrame
+
+    @classmethod
+    def empty(cls, sections: DataFrame) -> SnapshotStore:
+        none = sections.sparkSession.createDataFrame
+        return cls(
+            none([], "snapshot_id string, document_id string, label string, root_version string, created_at timestamp, seq long"),
+            none([], "snapshot_id string, document_id string, section_id string, version_id string, row_hash string"),
+            sections.drop(*SPANS).limit(0).withColumn("row_hash", F.lit("")),
+        )
+
+    def create(self, sections: DataFrame, versions: DataFrame, name: str, seq: int, label: str | None = None) -> SnapshotStore:
+        """A snapshot of each document among the sections: its id is derived from the name and the document. Rows that an earlier snapshot has are not stored again."""
+        own = sections.withColumn("row_hash", _row_hash(sections)).drop(*SPANS).withColumn("snapshot_id", derived_id("snapshot", F.lit(name), F.col("document_id")))
+        now = latest_versions(versions).select("section_id", "version_id")
+        named = own.join(now, "section_id", "left")
+        members = stored(named.select("snapshot_id", "document_id", "section_id", "version_id", "row_hash"), "members")
+        roots = named.where(F.col("parent_id").isNull()).select("snapshot_id", "document_id", F.lit(label).cast("string").alias("label"), F.col("version_id").alias("root_version"), F.current_timestamp().alias("created_at"), F.lit(seq).cast("long").alias("seq"))
+        new = own.drop("snapshot_id").dropDuplicates(["row_hash"]).join(self.rows.select("row_hash"), "row_hash", "left_anti")
+        return SnapshotStore(self.snapshots.unionByName(stored(roots, "snapshots")), self.members.unionByName(members), self.rows.unionByName(stored(new, "rows")))
+
+    def sections(self, snapshots: DataFrame) -> DataFrame:
+        """The sections of snapshots (snapshot_id), with that column."""
+        return self.members.join(snapshots.select("snapshot_id").distinct(), "snapshot_id").select("snapshot_id", "row_hash").join(self.rows, "row_hash").drop("row_hash")
+
+    def restore(self, sections: DataFrame, snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(the sections with those of the snapshots in place of their documents', the sections among them that change): one snapshot a document.
+
+        Their places in the text are null until the text is parsed again.
+        """
+        back = self.sections(snapshots).drop("snapshot_id").withColumns({c: F.lit(None).cast("long") for c in SPANS if c in sections.columns}).select(*sections.columns)
+        rest = sections.join(back.select("document_id").distinct(), "document_id", "left_anti")
+        hashed = lambda df: df.select("section_id", _row_hash(sections).alias("row_hash"))
+        differ = hashed(back).join(hashed(sections), ["section_id", "row_hash"], "left_anti").select("section_id")
+        return rest.unionByName(back), back.join(differ, "section_id", "left_semi")
+
+    def get(self, snapshot_id: str) -> DataFrame:
+        found = self.snapshots.where(F.col("snapshot_id") == snapshot_id)
+        if found.isEmpty():
+            raise NotFound(f"snapshot {snapshot_id}")
+        return found
+
+
 def recent_changes(versions: DataFrame, snapshots: DataFrame, limit: int | None = None) -> DataFrame:
     """Section versions and snapshots of all documents, newest first; ties by id."""
     both = versions.select(F.lit("SectionUpdated").alias("kind"), F.col("version_id").alias("id"), F.col("section_id").alias("subject"), "seq").unionByName(

@@ -16,9 +16,11 @@ from ..functions import udtf
 from ..functions.text import document_name, is_markdown_path, keep_line_ends, sha256, tokens
 from ..operators import catalog, diff, edits, embedding, history, reconcile, search, semantic, tree, vector
 from ..operators.semantic import SemanticIndex
+from ..operators.workspace import Workspace
+from ..ids import derived_id
 from ..sources import folder, workspace
 from ..sources.markdown import section_id
-from ..storage import shared_folder
+from ..storage import shared_folder, stored
 from ..streaming import feed
 
 
@@ -602,19 +604,116 @@ def search_sections(spark, sf_dir):
     return search.search_sections(_index(spark, sf_dir), one, "doc", in_content=False, max_results=2**31 - 1).select("relative_path", "title")
 
 
-@_query("SELECT doc_id, FALSE AS conflict, sha256('Top' || chr(10) || text || chr(10) || 'End' || chr(10)) AS digest FROM documents WHERE text IS NOT NULL")
+@_query("SELECT doc_id, FALSE AS conflict, sha256('Top' || chr(10) || coalesce(text, '') || chr(10) || 'End' || chr(10)) AS digest FROM documents UNION ALL SELECT -1 - doc_id, TRUE, NULL FROM documents")
 def three_way_merge(spark, sf_dir):
-    """A line added on top on one side, one at the end on the other."""
-    import hashlib
-
-    import pandas as pd
-
-    def merge(frames):
-        for f in frames:
-            got = [diff.merge_texts(t + "\n", "Top\n" + t + "\n", t + "\nEnd\n") for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "conflict": [g.conflict for g in got], "digest": [hashlib.sha256((g.text or "").encode()).hexdigest() for g in got]})
-
-    return _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").mapInPandas(merge, "doc_id long, conflict boolean, digest string")
+    """A line added on top on one side, one at the end on the other; and, with another id, two different lines added on top."""
+    text = lambda before="", after="": F.concat(F.lit(before), F.coalesce("text", F.lit("")), F.lit("\n" + after))
+    d = _t(spark, sf_dir, "documents")
+    both = d.select("doc_id", text().alias("base"), text("Top\n").alias("ours"), text("", "End\n").alias("theirs"))
+    clash = d.select((-1 - F.col("doc_id")).alias("doc_id"), text().alias("base"), text("Top\n").alias("ours"), text("Other\n").alias("theirs"))
+    merged, conflicts = diff.merge_rows(both.unionByName(clash), ["doc_id"])
+    return merged.select("doc_id", F.lit(False).alias("conflict"), F.sha2("text", 256).alias("digest")).unionByName(conflicts.select("doc_id", F.lit(True).alias("conflict"), F.lit(None).cast("string").alias("digest")))
+
+
+def _space(spark, sf_dir):
+    """A folder of files with all documents, managed, and those files."""
+    root = f"{shared_folder(spark)}/space-{uuid.uuid4().hex}"
+    files = stored(_files(spark, sf_dir), "files")
+    folder.write_files(files, root)
+    space = Workspace(spark, root)
+    state = space.hold()
+    space.manage_many(state.documents, state)
+    return space, files.withColumn("document_id", derived_id("document", F.col("relative_path")))
+
+
+def _ops(files, op, args, seq=0):
+    return files.select("document_id", F.lit(seq).alias("seq"), F.lit(op).alias("op"), args(_sid(2)).alias("args"))
+
+
+@_query(_ROWS + "SELECT relative_path, 'Doc ' || doc_id AS title, 'short' AS summary, 3::BIGINT AS versions, TRUE AS longer FROM d WHERE r = 1")
+def metadata_survives_reload(spark, sf_dir):
+    """Tags and a summary set in every file of a folder, then text appended, then the folder read anew; each edit leaves a version."""
+    space, files = _space(spark, sf_dir)
+    about = lambda sec: F.concat(F.lit('{"section": "'), sec, F.lit('", "metadata": {"tags": ["kept", "new"], "summary": "short"}}'))
+    space.edit(_ops(files, "set_section_metadata", about))
+    space.edit(_ops(files, "append_to_section", _json(content="One line more.")))
+    found = search.find_by_tag(space.load().sections, "kept")
+    versions = space.catalog.table("versions").groupBy("section_id").agg(F.count("*").alias("versions"))
+    return found.join(versions, "section_id").select("relative_path", "title", "summary", "versions", F.contains("content", F.lit("One line more.")).alias("longer"))
+
+
+@_query("SELECT relative_path, 1::BIGINT AS documents, count(*) + 2 AS sections, count(*) + 2 AS versions, TRUE AS same_text FROM docs GROUP BY 1")
+def unmanage_restore(spark, sf_dir):
+    """Every file unmanaged, managed again, removed with its file and restored: one row an id, no version twice, the text as it was."""
+    space, files = _space(spark, sf_dir)
+    space.unmanage_many(files)
+    space.manage_many(files)
+    space.remove_many(files)
+    left = space.restore_many(files.select("document_id"))
+    state = space.load()
+    count = lambda df, name: df.groupBy("document_id").agg(F.count("*").alias(name))
+    sections = space.catalog.table("sections")
+    versions = space.catalog.table("versions").join(sections.select("section_id", "document_id"), "section_id")
+    texts = state.files.join(files.select("document_id", F.col("markdown").alias("old")), "document_id").select("document_id", "relative_path", (F.col("markdown") == F.col("old")).alias("same_text"))
+    whole = count(space.catalog.table("documents").join(left, "document_id", "left_anti"), "documents").join(count(sections, "sections"), "document_id").join(count(versions, "versions"), "document_id")
+    return whole.join(texts, "document_id").select("relative_path", "documents", "sections", "versions", "same_text")
+
+
+_LANG = "regexp_extract(relative_path, '/([^/-]+)-', 1)"
+
+
+@_query(f"""SELECT DISTINCT relative_path, CASE {_LANG} WHEN 'de' THEN '# Other' WHEN 'fr' THEN '# ' || source ELSE '# Renamed' END AS first_line, {_LANG} = 'en' AS has_tail,
+  CASE {_LANG} WHEN 'de' THEN 'changed at the same place' WHEN 'fr' THEN 'another version' ELSE 'made' END AS outcome FROM docs""")
+def merge_edits(spark, sf_dir):
+    """A heading renamed in every file, on a state that the folder has left behind: English files got a line at their end (merged), German ones another heading (a conflict), the French edits expect a version that is not there, the others are plain."""
+    space, files = _space(spark, sf_dir)
+    state = space.hold()
+    lang = F.regexp_extract("relative_path", "/([^/-]+)-", 1)
+    outside = F.when(lang == "en", F.concat("markdown", F.lit("\nTail line.\n"))).when(lang == "de", F.regexp_replace("markdown", r"^# [^\n]*", "# Other"))
+    folder.write_files(files.select("relative_path", outside.alias("markdown")).where("markdown is not null"), space.root)
+    todo = files.select("document_id", F.lit(0).alias("seq"), F.lit("rename_section").alias("op"), _json(title="Renamed")(_sid(1)).alias("args"), F.when(lang == "fr", F.lit("ver-none")).alias("expected_version"))
+    errors = space.edit(todo, state=state)
+    kind = F.when(F.contains("error", F.lit("same place")), "changed at the same place").when(F.contains("error", F.lit("expected")), "another version").otherwise(F.coalesce("error", F.lit("made")))
+    return space.load().files.join(errors, "relative_path", "left").select("relative_path", F.substring_index("markdown", "\n", 1).alias("first_line"), F.col("markdown").endswith("\nTail line.\n").alias("has_tail"), kind.alias("outcome"))
+
+
+@_query(r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text[1:90], '')))::BIGINT AS spot FROM documents),
+b AS (SELECT doc_id, spot, octet_length(encode(text))::BIGINT AS n, list_transform(range(0, octet_length(encode(text))), lambda i: substr(hex(encode(text)), 2 * i + 1, 2)) AS b FROM t),
+w AS (SELECT *, ['20', '09', '0A', '0C', '0D'] AS blank FROM b),
+p AS (SELECT *,
+  list_min(list_filter(range(spot, least(spot + 200, n)), lambda i: (i = 0 OR b[i] = '0A') AND i + 1 < n AND b[i + 1] = '23')) AS ahead,
+  list_max(list_filter(range(greatest(spot - 200, 0), spot), lambda i: (i = 0 OR b[i] = '0A') AND i + 1 < n AND b[i + 1] = '23')) AS behind,
+  list_min(list_filter(range(spot, least(spot + 50, n)), lambda i: list_contains(blank, b[i + 1]))) AS next_blank,
+  list_max(list_filter(range(greatest(spot - 50, 0), spot), lambda i: list_contains(blank, b[i + 1]))) AS last_blank FROM w),
+q AS (SELECT *, CASE WHEN spot = 0 OR spot = n THEN spot WHEN ahead IS NOT NULL THEN ahead WHEN behind IS NOT NULL THEN behind
+  WHEN list_contains(blank, b[spot + 1]) OR list_contains(blank, b[spot]) THEN spot ELSE NULL END AS here, coalesce(next_blank, last_blank) AS gap FROM p)
+SELECT doc_id, CASE WHEN here IS NOT NULL THEN here WHEN gap IS NULL THEN spot
+  ELSE coalesce(list_min(list_filter(range(gap, n), lambda i: NOT list_contains(blank, b[i + 1]))), n) END::BIGINT AS point FROM q""")
+def split_near(spark, sf_dir):
+    """Where each text would be parted near its 90th character: at a heading, or between words."""
+    text = F.coalesce("text", F.lit(""))
+    return edits.split_points(_t(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.octet_length(F.left(text, F.lit(90))).alias("at")), ["doc_id"])
+
+
+@_query("SELECT relative_path, count(*) + 2 AS first_members, count(*) + 2 AS second_members, 1::BIGINT AS rows_added, 1::BIGINT AS restored, TRUE AS same, 'before' AS label FROM docs GROUP BY 1")
+def snapshot_commits(spark, sf_dir):
+    """Two snapshots of every document with one section renamed between them: the second stores one row more; restoring the first brings every section back."""
+    files = _files(spark, sf_dir)
+    one, two = (stored(workspace.sections_of(f), "sections") for f in (files, edits.apply_edits(files, _edits(files, "rename_section", _json(title="Renamed")))))
+    versions = history.new_versions(one, 1)
+    first = history.SnapshotStore.empty(one).create(one, versions, "first", 1, "before")
+    both = first.create(two, versions.unionByName(history.new_versions(edits.changed_sections(one, two), 2)), "second", 2)
+    old = both.snapshots.where("label = 'before'")
+    now, changed = both.restore(two, old)
+    fields = ["section_id", "parent_id", "title", "level", "content", "ordinal", "pos"]
+    lost = one.select("document_id", *fields).exceptAll(now.select("document_id", *fields)).groupBy("document_id").agg(F.count("*").alias("lost"))
+    count = lambda df, name: df.groupBy("document_id").agg(F.count("*").alias(name))
+    parts = [count(both.members.join(old, "snapshot_id", way), name) for way, name in (("left_semi", "first_members"), ("left_anti", "second_members"))]
+    parts += [count(both.rows.join(first.rows.select("row_hash"), "row_hash", "left_anti"), "rows_added"), count(changed, "restored")]
+    out = one.where("level = 0").select("document_id", "relative_path").join(old.select("document_id", "label"), "document_id")
+    for part in parts:
+        out = out.join(part, "document_id")
+    return out.join(lost, "document_id", "left").select("relative_path", "first_members", "second_members", "rows_added", "restored", F.col("lost").isNull().alias("same"), "label")
 
 
 @_query("SELECT turn AS seq, role AS author, text AS content FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations)")

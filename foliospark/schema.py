@@ -16,7 +16,7 @@ SECTIONS = (
     T.StructType().add("section_id", "string").add("document_id", "string").add("relative_path", "string").add("parent_id", "string")
     .add("title", "string").add("level", "integer").add("content", "string").add("ordinal", "integer").add("pos", "integer")
     .add("path", T.ArrayType(T.StringType())).add("ancestry", T.ArrayType(T.StringType())).add("sort_key", "string")
-    .add("anchor", "string").add("tags", T.ArrayType(T.StringType()))
+    .add("anchor", "string").add("tags", T.ArrayType(T.StringType())).add("summary", "string").add("locked", "boolean")
     .add("heading_start", "long").add("content_start", "long").add("content_end", "long")
 )
 

@@ -366,10 +366,10 @@ def find(sections: list[Section], sec: str) -> Section:
     raise InvalidInput(f"no section {sec}")
 
 
-def rows_of(path: str, text: str, ids=None, tags: dict | None = None) -> list[dict]:
-    """Rows of the sections table, with the ids and tags known for the text."""
+def rows_of(path: str, text: str, ids=None, known: dict | None = None) -> list[dict]:
+    """Rows of the sections table, with the ids and metadata (id to tags, summary, locked) known for the text."""
     sections = parse(path, text if ids is None else Marked(text, ids))
-    tags = tags or {}
+    known = known or {}
     by = {s.id: s for s in sections}
     bytes_at = None if text.isascii() else [0]
     if bytes_at is not None:
@@ -387,7 +387,8 @@ def rows_of(path: str, text: str, ids=None, tags: dict | None = None) -> list[di
         out.append({
             "section_id": s.id, "document_id": document_id(path), "relative_path": path, "parent_id": s.parent, "title": s.title, "level": s.level,
             "content": s.content, "ordinal": s.ordinal, "pos": pos, "path": [c.id for c in chain], "ancestry": [c.title for c in chain[1:]],
-            "sort_key": "/".join(f"{c.ordinal:010d}" for c in chain[1:]), "anchor": s.anchor, "tags": tags.get(s.id, []),
+            "sort_key": "/".join(f"{c.ordinal:010d}" for c in chain[1:]), "anchor": s.anchor, "tags": known.get(s.id, {}).get("tags") or [],
+            "summary": known.get(s.id, {}).get("summary"), "locked": bool(known.get(s.id, {}).get("locked")),
             "heading_start": span[0], "content_start": span[1], "content_end": span[2],
         })
     return out

@@ -78,14 +78,13 @@ def _any_part(path, regex: str):
 def sections_of(files: DataFrame) -> DataFrame:
     """The sections table of (relative_path, markdown) rows: a map over the files, no shuffle.
 
-    Files may have ``ids`` (of their sections, in order) and ``metadata`` (section id to JSON, of which the tags are used).
+    Files may have ``ids`` (of their sections, in order) and ``metadata`` (section id to JSON with tags, summary, locked).
     """
     def parse_all(frames):
         for f in frames:
             rows = []
             for path, text, ids, meta in f.itertuples(index=False):
-                tags = {k: json.loads(v).get("tags") or [] for k, v in (meta if meta is not None else {}).items()} if meta is not None else {}
-                rows += rows_of(path, text or "", ids, tags)
+                rows += rows_of(path, text or "", ids, {k: json.loads(v) for k, v in dict(meta if meta is not None else {}).items()})
             yield pd.DataFrame(rows, columns=schema.SECTIONS.fieldNames())
 
     extra = {"ids": "array<string>", "metadata": "map<string,string>"}
