@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.workspace import relative_to
@@ -32,19 +35,44 @@ def fixed_windows(times: list[int], width: int = WINDOW_MS) -> list[tuple[int, i
 
 
 def debounce(events: DataFrame, key: str, width: int = WINDOW_MS) -> DataFrame:
-    """(key, window_start, events) of a batch: one reload for each fixed window of a key."""
-    kind = events.schema[key].dataType.simpleString()
+    """(key, window_start, events) of a batch: one reload for each fixed window of a key.
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        got = fixed_windows(sorted(f["ms"].tolist()), width)
-        return pd.DataFrame([(f[key].iloc[0], a, n) for a, n in got], columns=[key, "window_start", "events"])
+    Events are dealt by key and sorted; a task scans them in turn and holds one open window, however many events a key has.
+    """
+    kind = events.schema[key].dataType.simpleString()
 
-    own = events.select(key, F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    in_turn = Window.partitionBy(key).orderBy("ms")
-    # an event that comes a width or more after the one before it opens a window in any case: what lies between is one group
-    opens = F.coalesce((F.col("ms") - F.lag("ms").over(in_turn) >= width).cast("int"), F.lit(0))
-    bursts = own.withColumn("opens", opens).withColumn("burst", F.sum("opens").over(in_turn.rowsBetween(Window.unboundedPreceding, 0)))
-    return bursts.groupBy(key, "burst").applyInPandas(run, f"{key} {kind}, window_start long, events long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, start, n = None, None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, ms = b.column(0), b.column(1).to_numpy()
+            differ = pc.fill_null(pc.not_equal(keys.slice(1), keys.slice(0, b.num_rows - 1)), True) if b.num_rows > 1 else pa.array([], pa.bool_())
+            both_null = pc.and_(keys.slice(1).is_null(), keys.slice(0, b.num_rows - 1).is_null()) if b.num_rows > 1 else differ
+            at = [0, *(1 + np.flatnonzero(pc.and_not(differ, both_null).to_numpy(zero_copy_only=False))).tolist(), b.num_rows]
+            done: list[tuple] = []
+            for lo, hi in zip(at, at[1:]):
+                own = keys[lo].as_py()
+                if start is None or own != now:
+                    if start is not None:
+                        done.append((now, start, n))
+                    now, start, n = own, int(ms[lo]), 0
+                while lo < hi:
+                    if ms[lo] >= start + width:
+                        done.append((now, start, n))
+                        start, n = int(ms[lo]), 0
+                    end = lo + int(np.searchsorted(ms[lo:hi], start + width))
+                    n, lo = n + end - lo, end
+            yield batch(done, keys.type)
+        if start is not None:
+            yield batch([(now, start, n)], keys.type)
+
+    def batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, pa.int64(), pa.int64()), strict=True)], [key, "window_start", "events"])
+
+    own = events.select(key, F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")).where("ms is not null").repartition(key).sortWithinPartitions(key, "ms")
+    return own.mapInArrow(run, f"{key} {kind}, window_start long, events long")
 
 
 def debounce_stream(events: DataFrame, key: str, width: int = WINDOW_MS) -> DataFrame:

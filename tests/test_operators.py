@@ -1,6 +1,6 @@
 import json
 import math
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from foliospark import ids
 from foliospark.errors import Conflict, InvalidInput, NotFound
 from foliospark.functions import text
-from foliospark.operators import catalog, diff, history, reconcile, search, tree, vector
+from foliospark.operators import catalog, diff, edits, history, reconcile, search, tree, vector
 from foliospark.operators.workspace import Workspace, set_workspace
 from foliospark.sources import workspace
+from foliospark.sources.markdown import parse
 from foliospark.streaming import feed
 
 FILES = [
@@ -471,3 +472,148 @@ def test_segments_equal_a_new_index(spark):
     for q in ("common word1", "changed2", "new*"):
         assert [(r.section_id, round(r.score, 9)) for r in search.search(own, q).collect()] == [(r.section_id, round(r.score, 9)) for r in search.search(new, q).collect()]
     assert sorted(map(tuple, own.terms.collect())) == sorted(map(tuple, new.terms.collect())) and own.n == new.n
+
+
+def test_debounce_scans_any_key(spark):
+    """Several keys, a null one, unsorted times, windows over several batches: as counted by hand."""
+    import random
+
+    r = random.Random(4)
+    rows = [(r.choice(["a", "b", None, "c"]), datetime(2024, 1, 1) + timedelta(milliseconds=r.randint(0, 200_000))) for _ in range(3000)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    got = {(x.user, x.window_start, x.events) for x in feed.debounce(spark.createDataFrame([*rows, ("a", None)], "user string, ts timestamp"), "user", 700).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    ms = lambda t: int((t - datetime(1970, 1, 1)).total_seconds() * 1000 + 0.5)
+    want = {(k, s, n) for k in {k for k, _ in rows} for s, n in feed.fixed_windows(sorted(ms(t) for u, t in rows if u == k), 700)}
+    assert got == want
+
+
+def test_long_texts_with_few_edits_differ_fast():
+    import random
+    import time
+
+    r = random.Random(1)
+    old = [f"line {r.randint(0, 50_000)}" for _ in range(100_000)]
+    new = list(old)
+    for _ in range(25):
+        new[r.randrange(len(new))] = "other"
+        new.insert(r.randrange(len(new)), "more")
+    began = time.time()
+    script = diff.line_diff(old, new)
+    assert time.time() - began < 1
+    assert [t for k, t in script if k != "Added"] == old and [t for k, t in script if k != "Removed"] == new and sum(k != "Context" for k, _ in script) <= 75
+
+
+def test_both_ways_of_the_diff_agree(monkeypatch):
+    import random
+
+    r = random.Random(2)
+    pairs = [([r.choice("abc") for _ in range(r.randint(0, 14))], [r.choice("abcd") for _ in range(r.randint(0, 14))]) for _ in range(500)]
+    few = [diff.line_diff(a, b) for a, b in pairs]
+    monkeypatch.setattr(diff, "FEW", 0)
+    assert few == [diff.line_diff(a, b) for a, b in pairs]
+
+
+def test_merge_rows(spark):
+    rows = [(1, "a\nb\nc\n", "x\nb\nc\n", "a\nb\nz\n"), (2, "a\n", "b\n", "c\n"), (3, None, "n\n", None), (4, "a\n", "a\n", "t\n"), (5, "a\n", "s\n", "s\n")]
+    merged, clashes = diff.merge_rows(spark.createDataFrame(rows, "id int, base string, ours string, theirs string"), ["id"])
+    assert {r.id: r.text for r in merged.collect()} == {1: "x\nb\nz\n", 3: "n\n", 4: "t\n", 5: "s\n"} and [r.id for r in clashes.collect()] == [2]
+
+
+@pytest.mark.parametrize("text, at, point", [
+    ("one two three", 5, 8), ("one two three", 4, 4), ("one two three", 0, 0), ("one two three", 13, 13), ("one  \n two", 1, 7), ("onetwothree four", 2, 12), ("onetwo", 3, 3),
+    ("a\n# Head\nmore words here", 14, 2), ("some words\n\n## Next\nx", 3, 12), ("w " + "x" * 60, 40, 2), ("x" * 120, 60, 60), ("no #heading here", 6, 12),
+])
+def test_split_points(text, at, point):
+    assert edits.split_point(text.encode(), at) == point
+
+
+def test_splits_near_words(spark):
+    text = edits.OPERATIONS["split_near"]("d.md", "# T\n\nÄpfel wachsen auf Bäumen.\n", parse("d.md", "# T\n\nx\n")[1].id, 3, "Rest")
+    assert text == "# T\n\nÄpfel\n\n# Rest\n\nwachsen auf Bäumen.\n"
+    rows = spark.createDataFrame([(1, "Äpfel wachsen", 1), (2, "Äpfel wachsen", 4), (3, None, 0), (4, "a", 9)], "id int, text string, at int")
+    assert {r.id: r.point for r in edits.split_points(rows, ["id"]).collect()} == {1: None, 2: 7, 3: 0, 4: None}
+
+
+def test_snapshot_store(spark, sections):
+    versions = history.new_versions(sections, 1)
+    store = history.SnapshotStore.empty(sections).create(sections, versions, "one", 1, "first")
+    changed = sections.withColumn("content", F.when(F.col("title") == "Rye", "New.").otherwise(F.col("content")))
+    both = store.create(changed, versions.unionByName(history.new_versions(changed.where("title = 'Rye'"), 2)), "two", 2)
+    assert (both.snapshots.count(), both.members.count(), both.rows.count()) == (4, 12, 7)
+    assert both.snapshots.where("label = 'first' and root_version is not null").count() == 2
+    one = both.snapshots.where("seq = 1")
+    back, differ = both.restore(changed, one)
+    assert {(r.section_id, r.content) for r in back.collect()} == {(r.section_id, r.content) for r in sections.collect()} and [r.title for r in differ.collect()] == ["Rye"]
+    assert both.get(one.first().snapshot_id).count() == 1
+    with pytest.raises(NotFound):
+        both.get("snap-none")
+
+
+EDIT = "document_id string, seq int, op string, args string"
+
+
+def ops_of(spark, doc, *ops):
+    return spark.createDataFrame([(doc, k, op, json.dumps(args)) for k, (op, args) in enumerate(ops)], EDIT)
+
+
+def test_metadata_lasts_and_locks_hold(space, spark, tmp_path):
+    doc = space.import_document("kitchen/bread.md")
+    ids_ = {r.title: r.section_id for r in space.catalog.table("sections").collect()}
+    rye, bread = ids_["Rye"], ids_["Bread"]
+    count = lambda sec: space.catalog.table("versions").where(F.col("section_id") == sec).count()
+    assert space.edit(ops_of(spark, doc, ("set_section_metadata", {"section": rye, "metadata": {"tags": ["dark"], "summary": "sticky", "locked": True}}))).count() == 0
+    assert count(rye) == 2 and count(bread) == 1
+    assert space.edit(ops_of(spark, doc, ("append_to_section", {"section": bread, "content": "Warm."}))).count() == 0
+    row = space.load().sections.where(F.col("section_id") == rye).first()
+    assert (row.tags, row.summary, row.locked) == (["dark"], "sticky", True)
+    before = next(p for p in tmp_path.rglob("*.md") if "Rye" in p.read_text()).read_text()
+    assert space.edit(ops_of(spark, doc, ("update_section", {"section": rye, "content": "x"}))).first().error.startswith("Locked")
+    assert next(p for p in tmp_path.rglob("*.md") if "Rye" in p.read_text()).read_text() == before
+    space.set_lock(doc, rye, False)
+    assert space.edit(ops_of(spark, doc, ("update_section", {"section": rye, "content": "x"}))).count() == 0 and space.load().sections.where("locked").count() == 0
+    first = space.catalog.table("versions").where(F.col("section_id") == rye).orderBy("seq").first()
+    assert space.switch_version(doc, rye, first.version_id).count() == 0
+    assert "Rye dough stays sticky." in next(p for p in tmp_path.rglob("*.md") if "Rye" in p.read_text()).read_text() and count(rye) == 4
+
+
+def test_lifecycle_leaves_one_row_an_id(space, spark, tmp_path):
+    doc = space.import_document("garden/soil.md")
+    rows = lambda t: space.catalog.table(t).count() if space.catalog.has(t) else 0
+    was = rows("sections"), rows("versions")
+    space.unmanage_file(doc)
+    assert (rows("documents"), rows("inactive")) == (0, 1) and (rows("sections"), rows("versions")) == was
+    assert space.manage(doc) == doc and (rows("documents"), rows("inactive"), rows("sections"), rows("versions")) == (1, 0, *was)
+    space.remove_file(doc)
+    assert not (tmp_path / "garden/soil.md").exists() and (rows("documents"), rows("inactive")) == (0, 1)
+    (tmp_path / "garden/soil.md").write_text("# In the way\n")
+    with pytest.raises(Conflict):
+        space.restore_file(doc)
+    space.restore_file(doc, "garden/back.md")
+    assert (rows("documents"), rows("inactive"), rows("sections"), rows("versions")) == (1, 0, *was) and (tmp_path / "garden/back.md").read_text() == FILES[0][1]
+    with pytest.raises(NotFound):
+        space.restore_file(doc)
+    space.unmanage_file(doc, archive_history=False)
+    assert (rows("documents"), rows("inactive"), rows("sections"), rows("versions")) == (0, 1, 0, 0)
+    with pytest.raises(InvalidInput):
+        space.restore_file(doc)
+
+
+def test_edits_meet_what_changed_outside(space, spark, tmp_path):
+    """On a held state: changes elsewhere are merged, changes of the same lines and stale versions are errors; the disk keeps what it has."""
+    soil, bread = space.import_document("garden/soil.md"), space.import_document(FILES[1][0])
+    at = {r.title: r.section_id for r in space.catalog.table("sections").collect()}
+    state = space.hold()
+    for path, text in FILES:
+        (tmp_path / path).write_text(text.replace("What plants stand in.", "What worms dig.") if path == "garden/soil.md" else text.replace("Rye dough stays sticky.", "Rye is dark."))
+    todo = ops_of(spark, soil, ("update_section", {"section": at["Compost"], "content": "Warm heap."})).unionByName(ops_of(spark, bread, ("update_section", {"section": at["Rye"], "content": "Sour."})))
+    errors = {r.relative_path: r.error for r in space.edit(todo, state=state).collect()}
+    assert list(errors) == [FILES[1][0]] and "same place" in errors[FILES[1][0]]
+    text = (tmp_path / "garden/soil.md").read_text()
+    assert "What worms dig." in text and "Warm heap." in text and "Rye is dark." in (tmp_path / FILES[1][0]).read_text()
+    assert {r.title: r.section_id for r in space.catalog.table("sections").collect() if r.title in at} == at
+    now = space.catalog.table("versions").where(F.col("section_id") == at["Compost"]).orderBy(F.desc("seq")).first().version_id
+    expect = lambda v: space.edit(ops_of(spark, soil, ("append_to_section", {"section": at["Compost"], "content": "More."})).withColumn("expected_version", F.lit(v)))
+    assert "expected ver-old" in expect("ver-old").first().error and "More." not in (tmp_path / "garden/soil.md").read_text()
+    assert expect(now).count() == 0 and "More." in (tmp_path / "garden/soil.md").read_text()
