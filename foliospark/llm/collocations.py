@@ -4,7 +4,7 @@ Method: PCY/DHP hashing with Apriori pruning, a pass over the texts for each phr
 that may be frequent, and counts in hash buckets the phrases of k + 1 words whose two parts of k words were candidates of this
 pass. The buckets' counts are added up over all chunks; those that reach the threshold become a bitmap. A phrase is a candidate
 of pass k + 1 if both its parts of k words are frequent (a filter of the exactly counted frequent phrases) and its bucket's bit
-is set. Both tests only let more through, never less, so counts are exact.
+is set; words that are not frequent part phrases like separators do. These tests only let more through, never less, so counts are exact.
 
 Sizes: bitmaps have 2 ** BUCKET_BITS bits and frequency filters at most 32 MiB, whatever the corpus; these alone are broadcast. A task
 holds a chunk of CHUNK_WORDS words; long texts go on in the next chunk with the three words that a phrase may still need. A frequent
@@ -29,34 +29,72 @@ from ..storage import stored
 from .common import arrow_batches, filter_of, in_filter, mix, slices, table
 
 LEAST, LONGEST, BEST, SHARE, SCALE = 30, 4, 2000, 80, 2_000_000
-CHUNK_WORDS, BUCKET_BITS, RANGE_BITS, SALTS = 2_000_000, 26, 16, 64
+CHUNK_WORDS, BOOK_WORDS, BUCKET_BITS, RANGE_BITS, SALTS = 2_000_000, 1_000_000, 26, 16, 64
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TOKEN, _GAP = re.compile(rb"[^ \t.,;:!?\n\x0b\x0c\r]+|[.,;:!?\n\x0b\x0c\r]"), re.compile(rb"[ \t.,;:!?\n\x0b\x0c\r]")
 _SCHEMA = "lang binary, phrase binary, h long, n long, range int, offsets binary, counts binary"
 
 
+class _Words(dict):
+    """A language's words as numbers, given when a word is first seen; 0 for separators and for words that are known not to be frequent."""
+
+    def __init__(self, lang: bytes, book: _Book):
+        super().__init__({_BREAKS[i : i + 1]: 0 for i in range(len(_BREAKS))})
+        self.lang, self.book = lang, book
+
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = self.book.number(self.lang, word)
+        return got
+
+
+class _Book:
+    """The words behind the numbers of all languages, with their hashes. ``frequent``: 64-bit words of a filter that a word's hash must pass."""
+
+    def __init__(self, frequent: np.ndarray | None = None):
+        import xxhash
+
+        self.hash = xxhash.xxh64_intdigest
+        self.filter = None if frequent is None else memoryview(frequent)
+        self.mask = 0 if frequent is None else 64 * len(frequent) - 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.of: dict[bytes, _Words] = {}
+        self.words, self.langs, self.hashes, self.seen = [b""], [b""], [0], 0
+
+    def forget(self) -> None:
+        """Between chunks: numbers begin anew where too many words have been seen."""
+        if self.seen > BOOK_WORDS:
+            self.clear()
+
+    def language(self, lang: bytes) -> _Words:
+        own = self.of.get(lang)
+        if own is None:
+            own = self.of[lang] = _Words(lang, self)
+        return own
+
+    def number(self, lang: bytes, word: bytes) -> int:
+        h = self.hash(lang + b"\0" + word)
+        self.seen += 1
+        if self.filter is not None and not self.filter[(h & self.mask) >> 6] >> (h & 63) & 1:
+            return 0
+        self.words.append(word)
+        self.langs.append(lang)
+        self.hashes.append(h)
+        return len(self.words) - 1
+
+
 class _Chunk:
-    """A run of words as numbers, 0 between pieces; a number stands for a word of one language."""
+    """A run of words as numbers, 0 between pieces."""
 
-    def __init__(self):
-        self.ids: dict[bytes, dict[bytes, int]] = {}
-        self.words, self.langs, self.hashes = [b""], [b""], [0]
+    def __init__(self, book: _Book):
+        self.book = book
         self.parts: list[np.ndarray] = []
         self.size = 0
 
     def add(self, lang: bytes, tokens: list[bytes]) -> None:
-        import xxhash
-
-        vocabulary = self.ids.get(lang)
-        if vocabulary is None:
-            vocabulary = self.ids[lang] = {_BREAKS[i : i + 1]: 0 for i in range(len(_BREAKS))}
-        for w in set(tokens).difference(vocabulary):
-            vocabulary[w] = len(self.words)
-            self.words.append(w)
-            self.langs.append(lang)
-            self.hashes.append(xxhash.xxh64_intdigest(lang + b"\0" + w))
-        self.parts.append(np.fromiter(map(vocabulary.__getitem__, tokens), np.int64, len(tokens)))
+        self.parts.append(np.fromiter(map(self.book.language(lang).__getitem__, tokens), np.int64, len(tokens)))
         self.size += len(tokens)
 
     def end(self) -> None:
@@ -64,13 +102,16 @@ class _Chunk:
         self.size += 1
 
     def numbers(self) -> np.ndarray:
-        self.parts = [np.concatenate(self.parts)] if self.parts else [np.empty(0, np.int64)]
-        return self.parts[0]
+        """All numbers, with room for a phrase behind them."""
+        return np.concatenate([*self.parts, np.zeros(LONGEST, np.int64)])
 
     def next(self, lang: bytes) -> _Chunk:
         """The chunk after this one, with the words that phrases starting here would miss."""
-        out = _Chunk()
-        out.add(lang, [self.words[i] or b"\n" for i in self.numbers()[-(LONGEST - 1) :]])
+        tail = self.numbers()[:-LONGEST][-(LONGEST - 1) :]
+        words = [self.book.words[i] or b"\n" for i in tail]
+        self.book.forget()
+        out = _Chunk(self.book)
+        out.add(lang, words)
         return out
 
 
@@ -78,38 +119,56 @@ def distinct_phrases(ids: np.ndarray, start: np.ndarray, k: int) -> tuple[np.nda
     """The first place and the count of each phrase of k words that starts at one of the places; exact, without hashes."""
     key = ids[start]
     for j in range(1, k):
-        key = np.unique(key, return_inverse=True)[1] << 32 | ids[start + j]
+        if j > 1:
+            key = np.unique(key, return_inverse=True)[1]
+        key = key << 32 | ids[start + j]
     _, at, n = np.unique(key, return_index=True, return_counts=True)
     return start[at], n
 
 
-def _pass(k: int, frequent, buckets):
-    """Pass k; frequent: the filter of frequent phrases of k - 1 words, buckets: the bitmap of k words (broadcast)."""
+def _pass(k: int, words, frequent, buckets):
+    """Pass k; words: the filter of frequent words, frequent: that of frequent phrases of k - 1 words, buckets: the bitmap of k words (broadcast)."""
 
     def counted(chunk: _Chunk, limit: int) -> Iterator[pa.RecordBatch]:
-        ids, word_hash = chunk.numbers(), np.array(chunk.hashes, np.uint64)
-        if len(ids) < k:
-            return
-        may, h, before = ids > 0, word_hash[ids], None
+        ids, book = chunk.numbers(), chunk.book
+        word_hash = np.array(book.hashes, np.uint64)
+
+        def phrase_hash(at: np.ndarray, size: int) -> np.ndarray:
+            h = word_hash[ids[at]]
+            for j in range(1, size):
+                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + word_hash[ids[at + j]])
+            return h
+
+        at = np.flatnonzero(ids)
         for j in range(1, k):
-            may = may[:-1] & (ids[j:] > 0)
-            before, h = h, mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + word_hash[ids[j:]])
+            at = at[ids[at + j] > 0]
+        if k > 2:  # of two words, both are frequent by their numbers
+            known = np.zeros(len(ids), bool)
+            parts = np.flatnonzero(ids)
+            for j in range(1, k - 1):
+                parts = parts[ids[parts + j] > 0]
+            known[parts] = in_filter(frequent.value, phrase_hash(parts, k - 1))
+            at = at[known[at] & known[at + 1]]
+        h = phrase_hash(at, k)
         if k > 1:
-            known = in_filter(frequent.value, before)
             bucket = h >> np.uint64(64 - BUCKET_BITS)
-            may = may & known[:-1] & known[1:] & (buckets.value[(bucket >> np.uint64(3)).astype(np.int64)] >> (bucket & np.uint64(7)).astype(np.uint8) & 1 == 1)
-        at, n = distinct_phrases(ids, np.flatnonzero(may[:limit]), k)
-        words, langs = chunk.words, chunk.langs
-        for lo in range(0, len(at), 100_000):
-            own = at[lo : lo + 100_000]
-            phrases = [b" ".join([words[i] for i in row]) for row in ids[own[:, None] + np.arange(k)].tolist()]
-            none = pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.binary()), pa.nulls(len(own), pa.binary())
-            cols = [pa.array([langs[i] for i in ids[own].tolist()], pa.binary()), pa.array(phrases, pa.binary()), pa.array(h[own].view(np.int64)), pa.array(n[lo : lo + 100_000]), *none]
+            full = buckets.value[(bucket >> np.uint64(3)).astype(np.int64)] >> (bucket & np.uint64(7)).astype(np.uint8) & 1 == 1
+            at, h = at[full], h[full]
+        may = np.zeros(len(ids) + 1, bool)
+        may[at] = True
+        own = at < limit
+        place, n = distinct_phrases(ids, at[own], k)
+        h = h[own][np.searchsorted(at[own], place)]
+        for lo in range(0, len(place), 100_000):
+            some = place[lo : lo + 100_000]
+            rows = ids[some] if k == 1 else ids[some[:, None] + np.arange(k)]
+            phrases = [book.words[i] for i in rows.tolist()] if k == 1 else [b" ".join([book.words[i] for i in row]) for row in rows.tolist()]
+            none = pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.binary())
+            cols = [pa.array([book.langs[i] for i in ids[some].tolist()], pa.binary()), pa.array(phrases, pa.binary()), pa.array(h[lo : lo + 100_000].view(np.int64)), pa.array(n[lo : lo + 100_000]), *none]
             yield pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "h", "n", "range", "offsets", "counts"])
-        if k < LONGEST and len(ids) > k:
-            longer = np.flatnonzero((may[:-1] & may[1:])[:limit])
-            h = mix(h[longer] * np.uint64(0x9E3779B97F4A7C15) + word_hash[ids[longer + k]])
-            bucket, n = np.unique((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), return_counts=True)
+        if k < LONGEST:
+            longer = at[own & may[at + 1]]
+            bucket, n = np.unique((phrase_hash(longer, k + 1) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), return_counts=True)
             part = bucket >> RANGE_BITS
             first = np.flatnonzero(np.diff(part, prepend=-1))
             low, n = (bucket & (1 << RANGE_BITS) - 1).astype(np.uint16), n.astype(np.uint32)
@@ -119,7 +178,7 @@ def _pass(k: int, frequent, buckets):
             yield pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "h", "n", "range", "offsets", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk()
+        chunk = _Chunk(_Book(None if words is None else words.value))
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 for piece in slices(text.lower(), _GAP):
@@ -168,10 +227,10 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[list[DataFram
     """For 1 to 4 words: the phrases (lang, phrase, h, f) with f >= least; and (lang, n), all words of a language."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).cast("binary").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    out, words, frequent, buckets = [], None, None, None
+    out, words, frequent, buckets, of_words = [], None, None, None, None
     for k in range(1, LONGEST + 1):
         with arrow_batches(spark):
-            made = stored(texts.mapInArrow(_pass(k, frequent, buckets), _SCHEMA), f"phrases-{k}")
+            made = stored(texts.mapInArrow(_pass(k, of_words, frequent, buckets), _SCHEMA), f"phrases-{k}")
         counts = made.where("range is null")
         if k == 1:
             words = counts.groupBy("lang").agg(F.sum("n").alias("n"))
@@ -179,6 +238,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[list[DataFram
         out.append(stored(counts.groupBy("lang", "phrase").agg(F.min("h").alias("h"), f).where(F.col("f") >= least), f"frequent-{k}"))
         if k < LONGEST:
             frequent = spark.sparkContext.broadcast(filter_of(out[-1], "h"))
+            of_words = of_words or frequent
             buckets = spark.sparkContext.broadcast(bucket_bitmap(made, least))
     return out, words
 

@@ -98,7 +98,7 @@ def test_phrases_across_chunks(monkeypatch, chunk):
     text = b"a b c a b, c a b c d a b. " * 30
     batch = pa.RecordBatch.from_pydict({"lang": pa.array([b"en", b"en"], pa.binary()), "text": pa.array([text, b"a b"], pa.binary())})
     found = {}
-    for b in collocations._pass(2, _Fixed(True), _Fixed(False))(iter([batch])):
+    for b in collocations._pass(2, None, _Fixed(True), _Fixed(False))(iter([batch])):
         for p, n in zip(b.column("phrase").to_pylist(), b.column("n").to_pylist(), strict=True):
             if p is not None:
                 found[p] = found.get(p, 0) + n
