@@ -3,7 +3,7 @@
 Method: sort-based streaming. Every chunk of documents is sorted by (lang, term, source, document) and scanned into runs: one row
 for each (lang, term, source), with the documents and occurrences of the run. The runs are dealt by (lang, term) and sorted again by
 (lang, term, source, document); a scan of run lengths adds them up, so that document frequency and counts are known where
-a term's run ends, and only terms of enough documents go on. A second scan over the kept terms, again sorted, emits for each
+a term's run ends, and only terms of enough documents go on (the terms lead this sort, since their first bytes tell rows apart faster). A second scan over the kept terms, again sorted, emits for each
 bucket of terms one partial sum for each pair of sources and the best terms of each source; these are added up and ranked.
 
 Sizes: what a task holds is a chunk of CHUNK_TERMS distinct (document, term) pairs, the sources of one term, or TILE x TILE sums. A
@@ -42,11 +42,25 @@ CELLS = 4_000_000
 _TERM, _GAP = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
 
 
+class _Terms(dict):
+    """A language's terms as numbers, given when a term is first seen."""
+
+    def __init__(self, lang: bytes, terms: list[bytes], langs: list[bytes]):
+        super().__init__()
+        self.lang, self.terms, self.langs = lang, terms, langs
+
+    def __missing__(self, term: bytes) -> int:
+        got = self[term] = len(self.terms)
+        self.terms.append(term)
+        self.langs.append(self.lang)
+        return got
+
+
 class _Chunk:
     """Documents whose (document, term) counts are collected, then sorted and scanned into runs."""
 
     def __init__(self):
-        self.ids: dict[bytes, dict[bytes, int]] = {}
+        self.ids: dict[bytes, _Terms] = {}
         self.terms: list[bytes] = []
         self.sources: dict[bytes, int] = {}
         self.groups: dict[tuple[bytes, bytes], None] = {}
@@ -56,14 +70,12 @@ class _Chunk:
         self.size = 0
 
     def add(self, doc: int | None, lang: bytes, source: bytes, text: bytes) -> None:
-        vocabulary = self.ids.setdefault(lang, {})
+        vocabulary = self.ids.get(lang)
+        if vocabulary is None:
+            vocabulary = self.ids[lang] = _Terms(lang, self.terms, self.langs)
         own: list[np.ndarray] = []
         for piece in slices(text.lower(), _GAP):
             words = _TERM.findall(piece)
-            for w in set(words).difference(vocabulary):
-                vocabulary[w] = len(self.terms)
-                self.terms.append(w)
-                self.langs.append(lang)
             own.append(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
         found, n = np.unique(np.concatenate(own), return_counts=True)
         self.groups[lang, source] = None
@@ -295,7 +307,7 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) ->
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary").alias(c)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain("lang"), plain("source"), plain("text"))
     with arrow_batches(spark):
-        runs = rows.mapInArrow(_chunks, _RUNS).repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "document")
+        runs = rows.mapInArrow(_chunks, _RUNS).repartition("lang", "term").sortWithinPartitions("term", "lang", "source", "document")
         kept = stored(runs.mapInArrow(_kept(least_docs), "lang binary, term binary, source binary, n long, total long, first boolean"), "kept-terms")
     groups = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     langs = kept.groupBy("lang").agg(F.count_if(F.col("first") & (F.length("term") > 0)).alias("total"), F.sum("n").alias("lang_n"))
