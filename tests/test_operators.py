@@ -164,9 +164,9 @@ def test_diff_and_merge():
     assert shapes("abcd", "Xbcd") == [(0, 4, 0, 4)] and shapes("abc", "abc") == [] and shapes("", "a") == [(0, 0, 0, 1)]
     assert [k for k, _ in diff.line_diff(["a"], ["b"])] == ["Removed", "Added"]
     assert diff.lines_of("a\r\nb\x0bc\n\n") == ["a", "b\x0bc", ""] and diff.lines_of(None) == diff.lines_of("") == []
-    base = "# Doc\n\nLine A.\nLine B.\nLine C.\n"
-    assert diff.merge_texts(base, base.replace("A.", "A!"), base.replace("C.", "C!")).text == base.replace("A.", "A!").replace("C.", "C!")
-    assert diff.merge_texts("x\nThe line.\n", "x\nOurs.\n", "x\nTheirs.\n").conflict
+    base = "# Tides\n\nEbb at six.\nSlack at nine.\nFlood at noon.\n"
+    assert diff.merge_texts(base, base.replace("six", "seven"), base.replace("noon", "one")).text == base.replace("six", "seven").replace("noon", "one")
+    assert diff.merge_texts("x\nhigh water\n", "x\nlow water\n", "x\nno water\n").conflict
     assert diff.merge_texts(base, base, base + "end\n").text == base + "end\n"
 
 
