@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import NotFound
@@ -56,6 +56,22 @@ def get_sections(sections: DataFrame, document_id: str, ids: list[str]) -> DataF
     return wanted.join(own, "section_id").orderBy("place").drop("place")
 
 
+def children(sections: DataFrame, parents: DataFrame) -> DataFrame:
+    """The direct children of many sections (section_id), with the parent's id in parent_id; ``ordinal`` is their order."""
+    wanted = parents.select(F.col("section_id").alias("parent_id")).distinct()
+    return sections.join(wanted, "parent_id", "left_semi")
+
+
+def delete_sections(sections: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what stays, what goes) without the sections of ``gone`` (section_id) and all under them; the siblings behind close up. Roots stay."""
+    ids = gone.select("section_id").distinct()
+    named = sections.where("parent_id is not null").select(F.col("section_id").alias("own"), F.explode("path").alias("section_id"))
+    lost = named.join(ids.join(sections.where("parent_id is not null").select("section_id"), "section_id"), "section_id").select(F.col("own").alias("section_id")).distinct()
+    left = sections.join(lost, "section_id", "left_anti")
+    turn = F.row_number().over(Window.partitionBy("document_id", "parent_id").orderBy("ordinal")) - 1  # one parent's children
+    return left.withColumn("ordinal", turn.cast("int")), sections.join(lost, "section_id", "left_semi")
+
+
 def section_tree(sections: DataFrame, section_id: str | DataFrame, depth: int | None = None) -> DataFrame:
     """A section and what is under it, to a depth (0: itself; None: all), from the path column: no recursion.
 

@@ -577,6 +577,15 @@ def find_by_tag(spark, sf_dir):
     return search.find_by_tag(done, "new").select("relative_path", "title")
 
 
+@_query("WITH " + _SEC + " SELECT path AS relative_path, regexp_extract(path, '([^/]*)[.]md$', 1) AS title, 0 AS left_in_place FROM sec WHERE level = 0 UNION ALL SELECT DISTINCT path, 'gone', (SELECT count(*) FROM docs d WHERE d.relative_path = path) + 1 FROM sec")
+def delete_sections(spark, sf_dir):
+    """The only child of every root deleted, with all under it."""
+    s = workspace.sections_of(_files(spark, sf_dir))
+    left, gone = tree.delete_sections(s, tree.children(s, s.where("level = 0")))
+    count = gone.groupBy("relative_path").agg(F.count("*").alias("left_in_place")).select("relative_path", F.lit("gone").alias("title"), "left_in_place")
+    return left.select("relative_path", "title", F.col("ordinal").cast("long").alias("left_in_place")).unionByName(count)
+
+
 @_query("SELECT DISTINCT relative_path, TRUE AS unchanged, 'Locked' AS code FROM docs")
 def lock_enforcement(spark, sf_dir):
     files = _files(spark, sf_dir)
@@ -767,20 +776,26 @@ def renamed_files(spark, sf_dir):
 
 
 def _cache(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").where("text is not null")
-    s = d.select(F.concat(F.lit("sec-"), F.col("doc_id").cast("string")).alias("section_id"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"), "doc_id")
+    """A section for each document, and a cache of those with a vector: English ones under one model, others under another, those of one source with an older text."""
+    s = _t(spark, sf_dir, "documents").select(
+        F.concat(F.lit("sec-"), F.col("doc_id").cast("string")).alias("section_id"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.coalesce("text", F.lit("")).alias("content"), "doc_id", "lang", "source",
+    )
     vectors = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    hashed = s.withColumn("content_hash", sha256(vector.embedding_text(F.col("title"), F.col("content"))))
-    return s, hashed.join(vectors, "doc_id").where("doc_id % 3 > 0").select("section_id", "content_hash", F.when(F.col("doc_id") % 2 == 0, "m1").otherwise("m2").alias("model"), "vector")
+    then = F.when(F.col("source") == "src1", F.lit("older")).otherwise(F.col("content"))
+    hashed = s.withColumn("content_hash", sha256(vector.embedding_text(F.col("title"), then)))
+    return s, hashed.join(vectors, "doc_id").select("section_id", "content_hash", F.when(F.col("lang") == "en", "m1").otherwise("m2").alias("model"), "vector")
+
+
+_HIT = "(lang IS NOT DISTINCT FROM 'en' AND (source IS DISTINCT FROM 'src1' OR text = 'older') AND doc_id IN (SELECT vec_id FROM embeddings))"
 
 
-@_query("SELECT 'sec-' || doc_id AS section_id, 'sha256:' || sha256('Doc ' || doc_id || chr(10) || text) AS content_hash FROM documents WHERE text IS NOT NULL AND NOT (doc_id % 3 > 0 AND doc_id % 2 = 0 AND doc_id IN (SELECT vec_id FROM embeddings))")
+@_query(f"SELECT 'sec-' || doc_id AS section_id, 'sha256:' || sha256('Doc ' || doc_id || chr(10) || coalesce(text, '')) AS content_hash FROM documents WHERE NOT {_HIT}")
 def embedding_cache_misses(spark, sf_dir):
     s, cache = _cache(spark, sf_dir)
     return vector.cache_misses(s, cache, "m1").select("section_id", "content_hash")
 
 
-@_query("SELECT count(*) AS entries, count(DISTINCT doc_id % 2) AS models, CAST(sum(len(embedding) * 4) AS BIGINT) AS raw_bytes FROM documents JOIN embeddings ON vec_id = doc_id WHERE text IS NOT NULL AND doc_id % 3 > 0")
+@_query("SELECT count(*) AS entries, count(DISTINCT lang IS NOT DISTINCT FROM 'en') AS models, CAST(sum(len(embedding) * 4) AS BIGINT) AS raw_bytes FROM documents JOIN embeddings ON vec_id = doc_id")
 def embedding_cache_stats(spark, sf_dir):
     return vector.cache_stats(_cache(spark, sf_dir)[1])
 
@@ -815,12 +830,13 @@ def _documents(spark, sf_dir):
     return d.select("doc_id", name("doc-").alias("document_id"), name("d/", ".md").alias("relative_path"), name("Doc ").alias("name"), name("Doc ").alias("title"), name("sec-").alias("root"), F.lit(True).alias("managed"), sha256(F.col("text")).alias("content_hash"))
 
 
-@_query("SELECT 'doc-' || doc_id AS document_id, doc_id % 4 <> 0 OR doc_id % 8 = 0 AS active FROM documents")
+@_query("SELECT 'doc-' || doc_id AS document_id, lang IS DISTINCT FROM 'en' AS active FROM documents")
 def soft_delete_restore(spark, sf_dir):
-    """Every fourth document is removed and every eighth restored."""
+    """English and German documents are removed, the German ones restored."""
     d = _documents(spark, sf_dir)
-    active, inactive = catalog.remove_files(d, d.limit(0).withColumn("archived_history", F.lit(True)), d.where("doc_id % 4 = 0"))
-    active, inactive = catalog.restore_files(active, inactive, d.where("doc_id % 8 = 0"))
+    of = lambda *langs: _t(spark, sf_dir, "documents").where(F.col("lang").isin(*langs)).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"))
+    active, inactive = catalog.remove_files(d, d.limit(0).withColumn("archived_history", F.lit(True)), of("en", "de"))
+    active, inactive = catalog.restore_files(active, inactive, of("de"))
     return active.select("document_id", F.lit(True).alias("active")).unionByName(inactive.select("document_id", F.lit(False).alias("active")))
 
 
@@ -890,7 +906,7 @@ def delete_document(spark, sf_dir):
     return rows[0].unionByName(rows[1])
 
 
-@_query("SELECT 'sec-' || doc_id AS section_id, doc_id % 3 > 0 AND doc_id % 2 = 0 AND doc_id IN (SELECT vec_id FROM embeddings) AS has_vector FROM documents WHERE text IS NOT NULL")
+@_query(f"SELECT 'sec-' || doc_id AS section_id, {_HIT} AS has_vector FROM documents")
 def apply_embeddings(spark, sf_dir):
     s, cache = _cache(spark, sf_dir)
     return vector.attach(s, cache, "m1").select("section_id", F.col("vector").isNotNull().alias("has_vector"))

@@ -617,3 +617,21 @@ def test_edits_meet_what_changed_outside(space, spark, tmp_path):
     expect = lambda v: space.edit(ops_of(spark, soil, ("append_to_section", {"section": at["Compost"], "content": "More."})).withColumn("expected_version", F.lit(v)))
     assert "expected ver-old" in expect("ver-old").first().error and "More." not in (tmp_path / "garden/soil.md").read_text()
     assert expect(now).count() == 0 and "More." in (tmp_path / "garden/soil.md").read_text()
+
+
+def test_children_and_deletes(spark):
+    text = "# A\n\na\n\n## B\n\nb\n\n### C\n\nc\n\n## D\n\nd\n\n# E\n\ne\n"
+    s = workspace.sections_of(spark.createDataFrame([("t.md", text), ("u.md", "# A\n")], "relative_path string, markdown string")).cache()
+    one = s.where("relative_path = 't.md' and title = 'A'")
+    assert [r.title for r in tree.children(s, one).orderBy("ordinal").collect()] == ["B", "D"]
+    left, gone = tree.delete_sections(s, s.where("title = 'B' or level = 0"))
+    assert sorted(r.title for r in gone.collect()) == ["B", "C"]
+    assert {(r.relative_path, r.title, r.ordinal) for r in left.collect()} == {("t.md", "t", 0), ("t.md", "A", 0), ("t.md", "D", 0), ("t.md", "E", 1), ("u.md", "u", 0), ("u.md", "A", 0)}
+
+
+def test_restoring_many_of_one_path(spark):
+    columns = "document_id string, relative_path string, managed boolean"
+    documents = spark.createDataFrame([("d1", "a.md", True)], columns)
+    archived = spark.createDataFrame([("d2", "b.md", True, True), ("d3", "b.md", True, True), ("d4", "a.md", True, True), ("d5", "c.md", True, False)], columns + ", archived_history boolean")
+    active, inactive = catalog.restore_files(documents, archived, archived.select("document_id"))
+    assert sorted(r.document_id for r in active.collect()) == ["d1", "d2"] and sorted(r.document_id for r in inactive.collect()) == ["d3", "d4", "d5"]
