@@ -143,6 +143,24 @@ def match_offsets(spark, sf_dir):
     return found.select("relative_path", "title", F.concat(F.lit("["), shown, F.lit("]")).alias("spans"))
 
 
+_OPEN = lambda p: f"CASE WHEN substr(h, 2 * ({p}) + 1, 1) IN ('8', '9', 'A', 'B') THEN 1 ELSE 0 END"  # noqa: E731  a byte inside a character
+
+
+@_query("WITH " + _SEC + rf""", piece AS (
+  SELECT sid, path, title, content, i, list_extract(p, i) AS piece FROM (SELECT *, regexp_extract_all(content, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') AS p FROM sec), range(1, len(p) + 1) r(i)
+), place AS (SELECT *, (sum(octet_length(encode(piece))) OVER (PARTITION BY sid ORDER BY i) - octet_length(encode(piece)))::BIGINT AS a FROM piece
+), hit AS (SELECT path, title, content, min(a) AS a FROM place WHERE lower(piece) = 'that' GROUP BY ALL
+), bound AS (SELECT *, hex(encode(content)) AS h, octet_length(encode(content)) AS n, greatest(a - 80, 0) AS lo, least(a + 4 + 80, octet_length(encode(content))) AS hi FROM hit
+), wide AS (SELECT *, lo - CASE WHEN {_OPEN("lo")} = 0 THEN 0 WHEN {_OPEN("lo - 1")} = 0 THEN 1 WHEN {_OPEN("lo - 2")} = 0 THEN 2 ELSE 3 END AS x,
+  hi + CASE WHEN {_OPEN("hi")} = 0 THEN 0 WHEN {_OPEN("hi + 1")} = 0 THEN 1 WHEN {_OPEN("hi + 2")} = 0 THEN 2 ELSE 3 END AS y FROM bound)
+SELECT path AS relative_path, title, CASE WHEN x > 0 THEN '...' ELSE '' END || regexp_replace(decode(unhex(substr(h, 2 * x + 1, 2 * (y - x)))), '^\s+|\s+$', '', 'g') || CASE WHEN y < n THEN '...' ELSE '' END AS snippet FROM wide""")
+def search_snippets(spark, sf_dir):
+    """The text around the first match of a word in every section that has it."""
+    index = _index(spark, sf_dir)
+    found = search.with_matches(search.search(index, "that", max_results=2**31 - 1), index, "that")
+    return found.where(F.size("content_matches") > 0).select("relative_path", "title", F.col("content_matches")[0]["snippet"].alias("snippet"))
+
+
 _BATCH = (
     _POST
     + """,
@@ -453,6 +471,44 @@ _ROWS = "WITH d AS (SELECT relative_path, source, doc_id, text, row_number() OVE
 _TOP = " UNION ALL SELECT DISTINCT relative_path, source, 1, 1 FROM d"
 
 
+_BLOCKS = _ROWS + f""", h AS (SELECT DISTINCT relative_path, 0 AS r, source AS title, '# ' || source AS head, '' AS body FROM d UNION ALL SELECT relative_path, r, 'Doc ' || doc_id, '## Doc ' || doc_id, {_TRIM} FROM d),
+  b AS (SELECT *, head || CASE WHEN body = '' THEN '' ELSE chr(10) || chr(10) || body END AS block, max(r) OVER (PARTITION BY relative_path) AS last FROM h)"""
+
+
+@_query(_BLOCKS + """, o AS (SELECT *, (sum(octet_length(encode(block)) + 2) OVER (PARTITION BY relative_path ORDER BY r) - octet_length(encode(block)) - 2)::BIGINT AS a FROM b)
+SELECT relative_path, title, a AS heading_start, a + octet_length(encode(head)) + 1 AS content_start, a + octet_length(encode(block)) + CASE WHEN r = last THEN 1 ELSE 2 END AS content_end FROM o""")
+def section_spans(spark, sf_dir):
+    """Where every heading and every content begins and ends, in bytes of its file."""
+    return workspace.sections_of(_files(spark, sf_dir)).where("level > 0").select("relative_path", "title", "heading_start", "content_start", "content_end")
+
+
+@_query(_BLOCKS + " SELECT relative_path, sha256(string_agg(block, chr(10) || chr(10) ORDER BY r) || chr(10)) AS digest FROM b WHERE relative_path = (SELECT min(relative_path) FROM d) GROUP BY 1")
+def render_section(spark, sf_dir):
+    """The first file's only level-1 section with all under it."""
+    s = workspace.sections_of(_files(spark, sf_dir))
+    one = s.where("level = 1").agg(F.min_by("section_id", "relative_path")).first()[0]
+    return tree.render_section(s, one, include_children=True).select("relative_path", F.sha2("markdown", 256).alias("digest"))
+
+
+@_query("SELECT DISTINCT relative_path, regexp_extract(relative_path, '([^/]*)[.]md$', 1) AS name, source AS title FROM docs")
+def list_documents(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return tree.list_documents(workspace.documents_of(files, workspace.sections_of(files))).select("relative_path", "name", "title")
+
+
+_LINES = "CASE WHEN {c} = '' THEN 0 ELSE len(string_split({c}, chr(10))) - ends_with({c}, chr(10))::INT END"
+
+
+@_query(f"""WITH p AS (SELECT conv_id, turn, coalesce(text, '') AS new, lag(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS old FROM conversations),
+c AS (SELECT conv_id, turn, {_LINES.format(c='old')} AS o, {_LINES.format(c='new')} AS n FROM p WHERE old IS NOT NULL AND old <> new)
+SELECT conv_id, turn, 'Removed' AS kind, o::BIGINT AS lines FROM c WHERE o > 0 UNION ALL SELECT conv_id, turn, 'Added', n FROM c WHERE n > 0""")
+def structured_diffs(spark, sf_dir):
+    """The older diff of each turn against the one before it: all old lines, then all new ones."""
+    v = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("new"))
+    pairs = v.withColumn("old", F.lag("new").over(Window.partitionBy("conv_id").orderBy("turn"))).where("old is not null")
+    return diff.diff_texts(pairs, ["conv_id", "turn"], structured=True).groupBy("conv_id", "turn", "kind").agg(F.count("*").alias("lines"))
+
+
 _SAME = "SELECT relative_path, 'Doc ' || doc_id AS title, {level} AS level, CAST({pos} AS INTEGER) AS pos FROM d"
 
 
