@@ -1,8 +1,7 @@
 """Edits of documents' Markdown: contents and structure.
 
-An edit is a row (document_id, seq, op, args as JSON). ``apply_edits`` groups the edits by document next to its text and
-applies them in turn inside one task per document, so a batch of edits over many documents is one shuffle on
-document_id. The functions below work on one document's text; after a structural edit the tree is that of the rendered text.
+An edit is a row (document_id, seq, op, args as JSON). ``apply_edits`` joins each document's edits, as one list, to its text and
+applies them in turn where the row is: a batch of edits over many documents is one join, and no group is held. The functions below work on one document's text; after a structural edit the tree is that of the rendered text.
 
 Sections keep their ids over every edit: a text carries them (``Marked``), structural edits move ids with their sections, and
 after a content edit that adds or swallows headings the trees are aligned by level and title. New sections get new ids.
@@ -13,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -375,41 +374,41 @@ OPERATIONS: dict[str, Callable[..., str]] = {
 def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     """(relative_path, markdown, ids, metadata, error) after the edits (relative_path, seq, op, args).
 
-    Edits of a document are all made or, at the first error, none. Files without edits pass through unshuffled. Files may
+    Edits of a document are all made or, at the first error, none. Files may
     have ``ids`` (of their sections, in order; else ids are derived from place), ``metadata`` (section id to JSON) and
     ``locked`` (ids that no edit may name).
     """
-    def run(own: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for path, before, ids, known, locked in own[["relative_path", "markdown", "ids", "metadata", "locked"]].itertuples(index=False):
-            start = Marked(before, ids if ids is not None else [s.id for s in parse(path, before)])
-            text, error, meta = start, None, dict(known if known is not None else {})
-            try:
-                for op, raw in todo.sort_values("seq")[["op", "args"]].itertuples(index=False):
-                    args = json.loads(raw)
-                    if op not in OPERATIONS:
-                        raise InvalidInput(f"unknown operation {op}")
-                    for name in ("section", "sibling"):
-                        if locked is not None and args.get(name) in set(locked):
-                            raise Locked(f"locked: {args[name]}")
-                    text = OPERATIONS[op](path, text, **args)
-                    if not isinstance(text, Marked):
-                        text = carried(path, parse(path, start), text)
-                    for sec, new in metadata_of(op, args).items():
-                        meta[sec] = json.dumps(json.loads(meta.get(sec, "{}")) | new, sort_keys=True)
-            except (FolioError, TypeError, ValueError, KeyError, AttributeError, IndexError) as e:
-                text, error, meta = start, f"{getattr(e, 'code', 'InvalidInput')}: {e}", dict(known if known is not None else {})
-            rows.append((path, str(text), [s.id for s in parse(path, text)], meta, error))
-        return pd.DataFrame(rows, columns=["relative_path", "markdown", "ids", "metadata", "error"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([edited(*row) for row in f[["relative_path", "markdown", "ids", "metadata", "locked", "todo"]].itertuples(index=False)], columns=["relative_path", "markdown", "ids", "metadata", "error"])
+
+    def edited(path, before, ids, known, locked, todo) -> tuple:
+        if todo is None:
+            return path, before, ids, known, None
+        start = Marked(before, ids if ids is not None else [s.id for s in parse(path, before)])
+        text, error, meta = start, None, dict(known if known is not None else {})
+        try:
+            for _, op, raw in (e.values() for e in todo):
+                args = json.loads(raw)
+                if op not in OPERATIONS:
+                    raise InvalidInput(f"unknown operation {op}")
+                for name in ("section", "sibling"):
+                    if locked is not None and args.get(name) in set(locked):
+                        raise Locked(f"locked: {args[name]}")
+                text = OPERATIONS[op](path, text, **args)
+                if not isinstance(text, Marked):
+                    text = carried(path, parse(path, start), text)
+                for sec, new in metadata_of(op, args).items():
+                    meta[sec] = json.dumps(json.loads(meta.get(sec, "{}")) | new, sort_keys=True)
+        except (FolioError, TypeError, ValueError, KeyError, AttributeError, IndexError) as e:
+            text, error, meta = start, f"{getattr(e, 'code', 'InvalidInput')}: {e}", dict(known if known is not None else {})
+        return path, str(text), list(text.ids), meta, error
 
     kinds = {"ids": "array<string>", "metadata": "map<string,string>", "locked": "array<string>"}
     own = files.select("relative_path", "markdown", *[(F.col(c) if c in files.columns else F.lit(None).cast(k)).alias(c) for c, k in kinds.items()])
-    edits = edits.select(F.col("relative_path").alias("_path"), "seq", "op", "args")
-    paths = edits.select("_path").distinct()
-    touched = own.join(paths, F.col("relative_path") == F.col("_path"), "left_semi")
-    done = touched.groupBy("relative_path").cogroup(edits.groupBy("_path")).applyInPandas(run, "relative_path string, markdown string, ids array<string>, metadata map<string,string>, error string")
-    rest = own.join(paths, F.col("relative_path") == F.col("_path"), "left_anti").drop("locked")
-    return rest.withColumn("error", F.lit(None).cast("string")).unionByName(done)
+    todo = edits.groupBy(F.col("relative_path").alias("_path")).agg(F.sort_array(F.collect_list(F.struct("seq", "op", "args"))).alias("todo"))  # one document's edits
+    both = own.join(todo, F.col("relative_path") == F.col("_path"), "left").drop("_path")
+    return both.mapInPandas(run, "relative_path string, markdown string, ids array<string>, metadata map<string,string>, error string")
 
 
 def changed_sections(old: DataFrame, new: DataFrame) -> DataFrame:

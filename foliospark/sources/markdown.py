@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.entities import html5
 
 from ..errors import InvalidInput
@@ -201,6 +202,7 @@ def _items(line: str, at: int, paragraph: bool) -> tuple[list[int], int]:
             return opened, at
 
 
+@lru_cache(maxsize=8)
 def headings(text: str) -> list[Heading]:
     out: list[Heading] = []
     holders: list[int] = []  # open block quotes (0) and list items (columns)
