@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,14 +117,14 @@ class _Chunk:
 
 
 def distinct_phrases(ids: np.ndarray, start: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first place and the count of each phrase of k words that starts at one of the places; exact, without hashes."""
+    """Which of the places is the first of each phrase of k words that starts there, and the phrase's count; exact, without hashes."""
     key = ids[start]
     for j in range(1, k):
         if j > 1:
             key = np.unique(key, return_inverse=True)[1]
         key = key << 32 | ids[start + j]
     _, at, n = np.unique(key, return_index=True, return_counts=True)
-    return start[at], n
+    return at, n
 
 
 def _pass(k: int, words, frequent, buckets):
@@ -157,14 +158,16 @@ def _pass(k: int, words, frequent, buckets):
         may = np.zeros(len(ids) + 1, bool)
         may[at] = True
         own = at < limit
-        place, n = distinct_phrases(ids, at[own], k)
-        h = h[own][np.searchsorted(at[own], place)]
+        first, n = distinct_phrases(ids, at[own], k)
+        place, h = at[own][first], h[own][first]
+        words, langs = pa.array(book.words, pa.binary()), pa.array(book.langs, pa.binary())
         for lo in range(0, len(place), 100_000):
             some = place[lo : lo + 100_000]
-            rows = ids[some] if k == 1 else ids[some[:, None] + np.arange(k)]
-            phrases = [book.words[i] for i in rows.tolist()] if k == 1 else [b" ".join([book.words[i] for i in row]) for row in rows.tolist()]
+            phrases = words.take(pa.array(ids[some]))
+            for j in range(1, k):
+                phrases = pc.binary_join_element_wise(phrases, words.take(pa.array(ids[some + j])), b" ")
             none = pa.nulls(len(some), pa.int32()), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.binary())
-            cols = [pa.array([book.langs[i] for i in ids[some].tolist()], pa.binary()), pa.array(phrases, pa.binary()), pa.array(h[lo : lo + 100_000].view(np.int64)), pa.array(n[lo : lo + 100_000]), *none]
+            cols = [langs.take(pa.array(ids[some])), phrases, pa.array(h[lo : lo + 100_000].view(np.int64)), pa.array(n[lo : lo + 100_000]), *none]
             yield pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "h", "n", "range", "offsets", "counts"])
         if k < LONGEST:
             longer = at[own & may[at + 1]]
