@@ -613,7 +613,7 @@ def stable_ids(spark, sf_dir):
     args = lambda sec: F.to_json(F.struct(sec.alias("sibling"), F.lit("New").alias("title")))
     after = workspace.sections_of(edits.apply_edits(files, _edits(files, "insert_section", args))).where("level > 0 and title <> 'New'")
     counts = versions.groupBy("section_id").agg(F.count("*").alias("versions"))
-    return after.join(counts, "section_id").join(locks, "section_id", "left").select("relative_path", "title", "section_id", "versions", F.coalesce("locked", F.lit(False)).alias("locked"))
+    return after.drop("locked").join(counts, "section_id").join(locks, "section_id", "left").select("relative_path", "title", "section_id", "versions", F.coalesce("locked", F.lit(False)).alias("locked"))
 
 
 @_query(_ROWS + f"SELECT relative_path, 'Doc ' || doc_id AS title, {_OLD_ID.format(pos='(r + 1)')} AS section_id FROM d UNION ALL SELECT DISTINCT relative_path, source, {_OLD_ID.format(pos='1')} FROM d")
