@@ -409,6 +409,14 @@ def test_phrases_go_on_in_words(spark):
     assert {(r.section_id, r.start, r.end) for r in found.collect()} == {("a", 2, 8), ("a", 13, 19), ("d", 0, 6)}
 
 
+def test_phrases_as_substrings(spark):
+    """As phrase_search's SQL says: also where a word of the phrase stands nowhere by itself."""
+    rows = [("a", "roof theatre of the"), ("b", "roof theatre"), ("c", "of  the"), ("d", "of the"), ("e", "of therth"), ("f", "of. the")]
+    made = spark.createDataFrame([(k, k, f"{k}.md", "", t) for k, t in rows], "section_id string, document_id string, relative_path string, title string, content string")
+    found = search.search(search.FullTextIndex.build(made), '"of the"', alone=False)
+    assert {(r.section_id, r.score) for r in found.collect()} == {(k, 2.0) for k, t in rows if "of the" in t}
+
+
 @pytest.fixture(scope="module")
 def many(spark):
     """Two thousand sections in about sixty blocks; one word is nearly everywhere, some are in a few documents only."""
