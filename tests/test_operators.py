@@ -221,6 +221,17 @@ def test_reconcile(spark):
     records = spark.createDataFrame([("d", "r1", "A2", ["A2"], 5, "f1"), ("d", "r2", "B", ["B"], 7, "old"), ("d", "r4", "Y", ["Y"], 9, "tie"), ("d", "r5", "X", ["X"], 9, "tie")], cols.replace("section_id string, pos int", "record_id string"))
     got = {r.pos: r.section_id for r in reconcile.reconcile(parsed, records).collect()}
     assert got == {1: "r1", 2: "r2", 3: "p3", 4: "p4"}
+    assert "FlatMapGroupsInPandas" not in reconcile.assign(reconcile.scores(parsed, records))._jdf.queryExecution().toString()  # a frame for each document takes milliseconds
+
+
+def test_results_of_texts_stay_small():
+    """A worker has the results of few texts at a time, whatever the batch; every row comes once, in its order."""
+    import pandas as pd
+
+    f = pd.DataFrame({"n": range(7), "text": ["a" * 60, None, "b" * 60, "c" * 250, "", "d", "e" * 90]})
+    got = list(workspace.portions(f, "text", 100))
+    assert [list(own["n"]) for own in got] == [[0, 1, 2], [3], [4, 5, 6]]
+    assert list(workspace.portions(f[:0], "text")) == []
 
 
 def test_catalog(spark, tmp_path):
