@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidInput, StorageError
 from ..functions.text import sha256
 from ..storage import stored
-from .index import _RUN, parts_of
+from .index import _RUN, WORDS, parts_of
 from .semantic import SemanticIndex
 from .vector import cache_misses, embedding_text
 
@@ -33,13 +33,21 @@ _CACHE = "section_id string, content_hash string, vector array<float>, cached_at
 
 def hashed_encoder(dims: int = 64) -> Encode:
     """A deterministic encoder without a model: each token counts in the dimension that its MD5 names. Texts with common words are near."""
+    places: dict[str, list[int]] = {}  # of the tokens of a word, kept between batches up to a fixed number of words
+
+    def places_of(run: str) -> list[int]:
+        got = places.get(run)
+        if got is None:
+            if len(places) > WORDS:
+                places.clear()
+            own = (run.lower(), *(p for p, _, _ in parts_of(run)))
+            got = places[run] = [int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % dims for t in own]
+        return got
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         out = np.zeros((len(texts), dims), np.float32)
         for row, text in zip(out, texts, strict=True):
-            for run in _RUN.findall(text):
-                for t in (run.lower(), *(p for p, _, _ in parts_of(run))):
-                    row[int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % dims] += 1
+            row += np.bincount([i for run in _RUN.findall(text) for i in places_of(run)], minlength=dims)
         return list(out)
 
     return encode
