@@ -192,6 +192,36 @@ def test_open_pairs_leave_no_pair_out(spark):
     assert got == {(i, j) for j in range(1, 60) for i in range(1, j) if i % 7 == j % 7 and root[i] != root[j]}
 
 
+def test_linked_groups_give_a_row_for_each_member_and_component(spark):
+    """60 members that all pass both tests, in three components: pairs would be hundreds of rows."""
+    nodes = spark.createDataFrame([(i,) for i in range(60)], "node long")
+    buckets = nodes.select(F.lit(1).alias("key"), "node", F.lit(0).cast("long").alias("pivot"))
+    roots = nodes.select("node", F.when(F.col("node") < 30, 0).when(F.col("node") < 50, 30).otherwise(50).cast("long").alias("root"))
+    traits = nodes.select("node", F.lit(1).alias("trait"))
+    yes = lambda x, y: x("trait") == y("trait")
+    got = {(r.a, r.b) for r in cc.open_pairs(buckets, roots, traits, yes, linked=yes).collect()}
+    assert len(cc.open_pairs(buckets, roots, traits, yes).collect()) > 800 and len(got) <= 60
+    found = {r.node: r.root for r in cc.components(cc.stars(roots).union(spark.createDataFrame(list(got), "a long, b long"))).collect()}
+    assert set(found.values()) == {0} and len(found) == 60
+    assert cc.open_pairs(buckets, roots, traits, yes, linked=lambda x, y: x("trait") != y("trait")).isEmpty()
+
+
+def test_bound_over_words_is_never_under_the_distance(spark):
+    """Replaced, left-out and added words: the bound holds, and is exact where whole words of one place are added."""
+    rnd = random.Random(31)
+    word = lambda: "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 6)))
+    pairs = [("one two three", "one two new words three"), ("a", "a b"), ("b", "a b"), ("x", "y")]
+    for _ in range(60):
+        x = [word() for _ in range(rnd.randint(1, 12))]
+        y = [w if rnd.random() < 0.8 else word() for w in x if rnd.random() < 0.9] or [word()]
+        pairs.append((" ".join(x), " ".join(y)))
+    words = lambda c: F.split(c, " ", -1)
+    short = F.when(F.size(words("x")) <= F.size(words("y")), words("x")).otherwise(words("y"))
+    long = F.when(F.size(words("x")) <= F.size(words("y")), words("y")).otherwise(words("x"))
+    got = spark.createDataFrame(pairs, "x string, y string").select("x", "y", line_dedup._at_most(short, long).alias("most")).collect()
+    assert all(r.most >= edit_distance(r.x, r.y) for r in got) and [r.most for r in got[:4]] == [10, 2, 2, 1]
+
+
 def test_line_dedup_finds_what_edit_similarity_links(spark):
     """Against brute force without any gate on the candidates, by number of words."""
     rnd = random.Random(14)
