@@ -463,6 +463,22 @@ def test_blocks_and_ranges_are_passed_over(spark, many):
     assert "range#" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
 
 
+def test_the_build_moves_little(spark, many):
+    """Three numbers an occurrence until the postings lie in their ranges, no document beside the section, one shuffle for the blocks."""
+    from foliospark.operators import index
+
+    rows = spark.createDataFrame([("s", "d", "p.md", "Ä b", "b bX  b")], "section_id string, document_id string, relative_path string, title string, content string")
+    tokens = rows.mapInArrow(index._counted, index._TOKENS)
+    spread = tokens.where("term = 'b'").select("hits", index._spread(F.lit(0), F.col("tf_title")).alias("title"), index._spread(F.col("tf_title"), F.col("tf_content")).alias("content"))
+    r = spread.first()
+    assert r.hits == [1, 3, 7, 0, 0, 6, 1, 2, 4, 2, 6, 6]
+    assert [tuple(h) for h in r.title] == [(1, 3, 4, True, True)]
+    assert [tuple(h) for h in r.content] == [(0, 0, 1, True, False), (1, 2, 3, False, False), (2, 6, 7, True, False)]
+    assert "document_id" not in many.postings.columns
+    plan = index.FullTextIndex._blocks(many.postings)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
 def test_postings_are_delta_coded(spark, many):
     import pyarrow.parquet as pq
 
