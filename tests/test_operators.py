@@ -1,8 +1,10 @@
 import json
 import math
+import tracemalloc
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,6 +236,28 @@ def test_results_of_texts_stay_small():
     assert list(workspace.portions(f[:0], "text")) == []
 
 
+def test_arrow_batches_become_objects_a_portion_at_a_time(spark):
+    """A batch of 24 MB of text (48 as Python strings) never has more than a few portions of objects; rows come in order, nulls and lists as they are."""
+    texts = ["é" * 60_000 + str(i) for i in range(200)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"n": list(range(202)), "text": texts, "ids": [[str(i)] if i % 2 else None for i in range(202)]})
+    del texts
+    seen, runs = [], 0
+    tracemalloc.start()
+    for own in workspace.arrow_portions(batch, "text"):
+        runs += 1
+        seen += [(n, text and text[60_000:], ids) for n, text, ids in own]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == [(i, str(i) if i < 200 else None if i == 200 else "", [str(i)] if i % 2 else None) for i in range(202)]
+    assert runs > 15 and peak < 8 << 20
+    files = spark.createDataFrame([(f"{i}.md", f"# T{i}\n\nBody.\n") for i in range(3)], "relative_path string, markdown string")
+    todo = files.select("relative_path", F.lit(0).alias("seq"), F.lit("create_section").alias("op"), F.lit('{"title": "New"}').alias("args")).where("relative_path != '1.md'")
+    edited = edits.apply_edits(files, todo)
+    for df in (edited, workspace.sections_of(edited)):
+        assert "MapInArrow" in df._jdf.queryExecution().toString() and "MapInPandas" not in df._jdf.queryExecution().toString()
+    assert [r.n for r in workspace.sections_of(edited).groupBy("relative_path").agg(F.count("*").alias("n")).orderBy("relative_path").collect()] == [3, 2, 3]
+
+
 def test_catalog(spark, tmp_path):
     c = catalog.Catalog(spark, f"file://{tmp_path}/cat")
     files = spark.createDataFrame(FILES, "relative_path string, markdown string")
