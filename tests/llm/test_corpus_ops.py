@@ -1,8 +1,10 @@
 """Source divergence, collocations, WARC archives: against their SQL in DuckDB on small tables, and exact round trips."""
 
 import random
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
@@ -85,6 +87,22 @@ def test_collocations_like_sql(spark):
     assert ("en", "york city wa") not in phrases and ("en", "new york city wa") in phrases and {r["lang"] for r in got} == {"en", "de", "und"}
 
 
+def test_collocation_words_are_split_without_a_match_for_each():
+    """Bytes of any kind split as the definition says: separators stay as one mark, spaces and tabs go, only A-Z change."""
+    import re
+
+    rnd = random.Random(12)
+    for _ in range(5000):
+        text = bytes(rnd.choice(b"aAzZ09 \t.,;:!?\n\x0b\x0c\r\x00\x1c\x85\xc3\xa9\xff[@`{") for _ in range(rnd.randint(0, 30)))
+        pieces = [re.findall(rb"[^ \t]+", piece) for piece in re.split(rb"[.,;:!?\x0a-\x0d]", text.lower())]
+        assert collocations.tokens(text) == [w for i, piece in enumerate(pieces) for w in ([b"\n"] if i else []) + piece]
+    ids = np.array([rnd.randint(0, 3) for _ in range(500)])
+    for k in (1, 2, 3, 4):
+        at, n = collocations.distinct_phrases(ids, np.arange(496), k)
+        phrases = [tuple(ids[i : i + k]) for i in range(496)]
+        assert {phrases[i]: c for i, c in zip(at, n, strict=True)} == dict(Counter(phrases)) and len(at) == len(set(phrases))
+
+
 def test_collocations_of_nothing(spark):
     assert collocations.collocations(spark.createDataFrame([], COLUMNS)).count() == 0
     assert collocations.collocations(spark.createDataFrame([(1, "a b", "en", "s", None, None)], COLUMNS)).count() == 0
