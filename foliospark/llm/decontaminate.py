@@ -20,6 +20,7 @@ either side gives no rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -36,6 +37,8 @@ LEAST_WORDS, SHORT = 5, 12
 LEAST_EQUAL, LEAST_SHARE = 13, 0.8
 #: Hits of a text that are verified in one row, about.
 HITS = 1_000
+#: Words of texts that are hashed in one array, about.
+PORTION = 1 << 16
 #: What an unequal word scores where an equal one scores 1: a stretch of the least share has 0 or more.
 UNEQUAL = -4
 _WORDS = re.compile(r"\w+")
@@ -110,6 +113,33 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     return items.mapInArrow(seeds, "key long, item_th long, n long, at long")
 
 
+def text_seeds(texts: Iterable[tuple[int, np.ndarray]], masks: list[str], keep: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Columns (th, key, pos) of the seeds in the filter, of texts (th, words): those of many texts are hashed in one array."""
+    texts = iter(texts)
+    while True:
+        ths, own, n = [], [], 0
+        for th, words in texts:
+            ths.append(th)
+            own.append(words)
+            n += len(words)
+            if n >= PORTION:
+                break
+        if not ths:
+            return
+        words, ends = np.concatenate(own), np.cumsum([len(w) for w in own])
+        starts = ends - [len(w) for w in own]
+        out = [[], [], []]
+        for mask in masks:
+            h = seed_hashes(words, mask)
+            at = np.flatnonzero(in_filter(keep, h))
+            text = np.searchsorted(starts, at, "right") - 1
+            inside = at + len(mask) <= ends[text]
+            at, text = at[inside], text[inside]
+            for col, new in zip(out, (np.array(ths, np.int64)[text], h[at].view(np.int64), at - starts[text]), strict=True):
+                col.append(new)
+        yield [np.concatenate(c) for c in out]
+
+
 def _doc_seeds(docs: DataFrame, masks: list[str], keep: np.ndarray) -> DataFrame:
     """(th, key, pos) of the seeds of texts that may be an item's; th is a hash of the text."""
     small_batches(docs.sparkSession)
@@ -118,18 +148,9 @@ def _doc_seeds(docs: DataFrame, masks: list[str], keep: np.ndarray) -> DataFrame
     def hashed(batches):
         hashes = WordHashes()
         for b in batches:
-            ths, keys, spots = [], [], []
-            for th, text in zip(*(b.column(c).to_pylist() for c in ("th", "text")), strict=True):
-                words = _words(text, hashes)
-                for mask in masks:
-                    h = seed_hashes(words, mask)
-                    at = np.flatnonzero(in_filter(shared.value, h))
-                    if len(at):
-                        ths.append(np.full(len(at), th, np.int64))
-                        keys.append(h[at].view(np.int64))
-                        spots.append(at)
-            cols = [np.concatenate(c).astype(np.int64) if c else np.empty(0, np.int64) for c in (ths, keys, spots)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["th", "key", "pos"])
+            pairs = zip(*(b.column(c).to_pylist() for c in ("th", "text")), strict=True)
+            for cols in text_seeds(((th, _words(text, hashes)) for th, text in pairs), masks, shared.value):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["th", "key", "pos"])
 
     return docs.select("th", "text").mapInArrow(hashed, "th long, key long, pos long")
 

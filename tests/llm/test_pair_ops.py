@@ -132,6 +132,21 @@ def normal(line):
     return " ".join(re.findall(r"[^\W_]+", line.lower()))
 
 
+def test_seeds_of_many_texts_are_hashed_at_once(monkeypatch):
+    rng, calls, one = np.random.default_rng(5), [], decontaminate.seed_hashes
+    texts = [(th, rng.integers(0, 1 << 63, n).astype(np.uint64)) for th, n in enumerate([0, 40, 3, 9, 0, 0, 25, 8, 200, 0])]
+    keep = np.full(1024, np.uint64(0xFFFF0000FFFFFFFF))
+    masks = [*decontaminate.MASKS, "01111"]
+    want = {(th, k, int(p)) for th, w in texts for m in masks for p, k in enumerate(one(w, m).view(np.int64).tolist()) if decontaminate.in_filter(keep, one(w, m))[p]}
+    monkeypatch.setattr(decontaminate, "seed_hashes", lambda w, m: calls.append(m) or one(w, m))
+    for portion, most in ((1 << 16, 1), (50, 4)):
+        monkeypatch.setattr(decontaminate, "PORTION", portion)
+        calls.clear()
+        got = [r for cols in decontaminate.text_seeds(texts, masks, keep) for r in zip(*(c.tolist() for c in cols), strict=True)]
+        assert set(got) == want and len(got) == len(want) and len(calls) <= most * len(masks)
+    assert not list(decontaminate.text_seeds([], masks, keep))
+
+
 def test_line_dedup_against_brute_force(spark):
     """Nothing but edit similarity decides here."""
     rnd = random.Random(10)
