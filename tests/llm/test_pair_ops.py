@@ -147,6 +147,15 @@ def test_seeds_of_many_texts_are_hashed_at_once(monkeypatch):
     assert not list(decontaminate.text_seeds([], masks, keep))
 
 
+def test_components_end_where_edges_are_stars(spark, monkeypatch):
+    calls, one = [], cc.cut
+    monkeypatch.setattr(cc, "cut", lambda df: calls.append(1) or one(df))
+    got = cc.components(spark.createDataFrame([(1, 2), (3, 1), (7, 9), (4, 4)], "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)] and len(calls) == 1
+    for edges in ([(1, 2), (2, 3)], [(1, 3), (2, 3)]):
+        assert {(r.node, r.root) for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_line_dedup_against_brute_force(spark):
     """Nothing but edit similarity decides here."""
     rnd = random.Random(10)
