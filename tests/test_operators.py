@@ -226,6 +226,15 @@ def test_reconcile(spark):
     assert "FlatMapGroupsInPandas" not in reconcile.assign(reconcile.scores(parsed, records))._jdf.queryExecution().toString()  # a frame for each document takes milliseconds
 
 
+
+def test_reconcile_leaves_records_to_sections_that_match_them_better(spark):
+    """A new section without text comes before an old one without text: the old one's record is its own."""
+    cols = "document_id string, section_id string, pos int, title string, ancestry array<string>, ordinal int, fingerprint string"
+    parsed = spark.createDataFrame([("d", "p1", 1, "New", ["S"], 1, "none"), ("d", "p2", 2, "B", ["S"], 2, "none"), ("d", "p3", 3, "C", ["S"], 3, "f3")], cols)
+    records = spark.createDataFrame([("d", "r2", "B", ["S"], 1, "none"), ("d", "r3", "C", ["S"], 2, "f3")], cols.replace("section_id string, pos int", "record_id string"))
+    assert {r.pos: r.section_id for r in reconcile.reconcile(parsed, records).collect()} == {1: "p1", 2: "r2", 3: "r3"}
+
+
 def test_results_of_texts_stay_small():
     """A worker has the results of few texts at a time, whatever the batch; every row comes once, in its order."""
     import pandas as pd
