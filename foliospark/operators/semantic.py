@@ -2,7 +2,8 @@
 
 Vectors are dealt to cells by a hash of their id. A cell is one row: its ids, its matrix, and for every vector the places of its near
 neighbours, with edges back and a few far ones. A query walks each cell's graph from the nearest of its entry points and keeps the
-``ef`` best it has seen; the cells' k best are merged. Every cell is asked, so no vector is out of reach by where it lies.
+``ef`` best it has seen; the cells' k best are merged. How wide that beam must be lies with the vectors, so a cell is searched when it is
+made, with points between its vectors as queries, and keeps the width that found RECALL of the exact nearest. Every cell is asked, so no vector is out of reach by where it lies.
 
 Changes go to new segments: added vectors get cells of their own, removed or replaced ids are tombstones of the segments before. When
 these outweigh MERGE of the first segment, all living vectors are dealt anew. Segments and tombstones are stored tables.
@@ -23,10 +24,12 @@ from ..storage import stored
 
 #: Vectors of a cell; neighbours and edges in all of a vector; far edges; the least beam; share of changes before a merge.
 CELL, NEAR, EDGES, FAR, LEAST_EF, MERGE = 8192, 16, 32, 4, 100, 0.25
+#: The share of the TRIED_K nearest of 2 * TRIALS queries that a cell's beam must find.
+RECALL, TRIALS, TRIED_K = 0.98, 16, 10
 #: Bytes of query vectors that are broadcast; beyond it queries and cells meet in a shuffle.
 BROADCAST = 16 << 20
 
-_CELLS = "cell int, d int, ids array<string>, models array<string>, vectors binary, edges binary"
+_CELLS = "cell int, d int, ids array<string>, models array<string>, vectors binary, edges binary, beam int"
 
 
 def squared(vectors: np.ndarray, norms: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -95,10 +98,32 @@ def beam(vectors: np.ndarray, norms: np.ndarray, edges: np.ndarray, alive: np.nd
     return pool[live][:k], dist[live][:k]
 
 
+def walk(vectors: np.ndarray, norms: np.ndarray, edges: np.ndarray, alive: np.ndarray, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the k nearest that a beam has seen; equal distances in the order of places."""
+    at, _ = beam(vectors, norms, edges, alive, q, ef, ef)
+    exact = np.sqrt(((vectors[at] - q) ** 2).sum(1))
+    best = np.lexsort((at, exact))[:k]
+    return at[best], exact[best]
+
+
+def beam_of(vectors: np.ndarray, edges: np.ndarray, seed: int = 11) -> int:
+    """The beam's width, in doublings of LEAST_EF, that finds RECALL of the nearest of points halfway between two vectors and of means of many."""
+    n, r = len(vectors), np.random.default_rng(seed)
+    norms, alive, k = (vectors * vectors).sum(1), np.ones(n, bool), min(TRIED_K, n)
+    asked = np.stack([vectors[r.integers(0, n, m)].mean(0) for m in (2, 64) for _ in range(TRIALS)])
+    exact = [set(np.argsort(((vectors - q) ** 2).sum(1), kind="stable")[:k]) for q in asked]
+    ef = LEAST_EF
+    while ef < n and sum(len(near.intersection(walk(vectors, norms, edges, alive, q, k, ef)[0])) for q, near in zip(asked, exact, strict=True)) < RECALL * k * len(asked):
+        ef *= 2
+    return min(ef, n)
+
+
 def _build(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
     f = f.sort_values("id", kind="stable")
     vectors = np.stack(f["vector"].to_numpy()).astype(np.float32)
-    row = {"cell": key[0], "d": key[1], "ids": list(f["id"]), "models": list(f["model"]), "vectors": vectors.tobytes(), "edges": neighbour_graph(vectors.astype(np.float64)).tobytes()}
+    wide = vectors.astype(np.float64)
+    edges = neighbour_graph(wide)
+    row = {"cell": key[0], "d": key[1], "ids": list(f["id"]), "models": list(f["model"]), "vectors": vectors.tobytes(), "edges": edges.tobytes(), "beam": beam_of(wide, edges)}
     return pd.DataFrame([row])
 
 
@@ -108,10 +133,9 @@ def _search(row: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, ef: i
     edges, norms = np.frombuffer(row["edges"], np.int32).reshape(len(ids), EDGES), (vectors * vectors).sum(1)
     dead = set(row["dead"] if row["dead"] is not None else ())
     alive = np.array([i not in dead for i in ids]) if dead else np.ones(len(ids), bool)
-    out = []
+    out, ef = [], max(ef, row["beam"] * -(-k // TRIED_K)) + len(dead)
     for q, v in zip(query_ids, queries, strict=True):
-        at, _ = beam(vectors, norms, edges, alive, v, k, ef + len(dead))
-        exact = np.sqrt(((vectors[at] - v) ** 2).sum(1))
+        at, exact = walk(vectors, norms, edges, alive, v, k, ef)
         out += [(int(q), ids[i], row["models"][i], float(x)) for i, x in zip(at, exact, strict=True)]
     return pd.DataFrame(out, columns=["query_id", "id", "model", "distance"])
 

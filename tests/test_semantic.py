@@ -65,6 +65,24 @@ def test_the_beam_leaves_most_vectors_alone(data):
     assert np.mean(visited) < 6000 / 4 and np.mean(hits) >= 0.9
 
 
+
+@pytest.mark.parametrize("kind", ["spread", "copies"])
+def test_a_cells_beam_is_as_wide_as_its_vectors_need(kind):
+    """Vectors without clusters, whose near ones are hardly nearer than others, and vectors that many ids share."""
+    import pandas as pd
+
+    r = np.random.default_rng(4)
+    vectors = r.normal(size=(8000, 64)) if kind == "spread" else r.normal(size=(100, 64))[np.arange(3000) % 100]
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    ids = [f"{i:04}" for i in range(len(vectors))]
+    row = semantic._build((0, 64), pd.DataFrame({"id": ids, "model": "m", "vector": list(vectors)})).iloc[0].to_dict() | {"dead": None}
+    queries = np.stack([vectors[r.integers(0, len(vectors), 500)].mean(0) for _ in range(30)])
+    found = semantic._search(row, np.arange(30), queries, 10, semantic.LEAST_EF).groupby("query_id")["id"].agg(set)
+    held = vectors.astype(np.float32).astype(np.float64)
+    exact = [{ids[i] for i in np.lexsort((np.arange(len(ids)), np.sqrt(((held - q) ** 2).sum(1))))[:10]} for q in queries]
+    assert np.mean([len(found[j] & exact[j]) / 10 for j in range(30)]) >= 0.95
+
+
 def test_segments_equal_a_rebuild(spark, data):
     """Removed, replaced and added vectors; an exhaustive beam makes both exact. Changes beyond a quarter merge the segments."""
     rows, queries = data
