@@ -235,6 +235,33 @@ def test_reconcile_leaves_records_to_sections_that_match_them_better(spark):
     assert {r.pos: r.section_id for r in reconcile.reconcile(parsed, records).collect()} == {1: "p1", 2: "r2", 3: "r3"}
 
 
+def test_an_index_in_waves_is_the_same(spark, sections, monkeypatch):
+    """Postings ranged a part of the terms at a time: the same rows, a range of its own for each part, nothing left of the occurrences."""
+    import os
+
+    from foliospark.operators import index as tables
+
+    rows = lambda i: sorted(map(str, i.postings.drop("range").collect()))
+    whole = tables.FullTextIndex.build(sections)
+    monkeypatch.setattr(tables, "WAVE", 1000)
+    parts = tables.FullTextIndex.build(sections)
+    assert rows(parts) == rows(whole) and rows(whole)
+    ends = parts.postings.groupBy("range").agg(F.min("term").alias("a"), F.max("term").alias("b")).orderBy("range").collect()
+    assert all(x.b <= y.a for x, y in zip(ends, ends[1:])) and max(r["range"] for r in ends) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = parts.blocks.inputFiles()[0].removeprefix("file://").rsplit("/blocks/", 1)[0]
+    assert not os.path.exists(f"{folder}/tokens")
+
+
+def test_a_stored_frame_leaves_no_shuffle(spark):
+    """Shuffle files go with the write that made them, and the setting is as it was."""
+    from foliospark.storage import _CLEANUP, stored
+
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    assert stored(spark.range(1000).repartition(3, "id"), "rows").count() == 1000
+    assert tracker.shuffleStatuses().size() <= before + 1 and spark.conf.get(_CLEANUP) == "false"  # the count's own
+
+
 def test_results_of_texts_stay_small():
     """A worker has the results of few texts at a time, whatever the batch; every row comes once, in its order."""
     import pandas as pd
