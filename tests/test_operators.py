@@ -252,6 +252,18 @@ def test_an_index_in_waves_is_the_same(spark, sections, monkeypatch):
     assert not os.path.exists(f"{folder}/tokens")
 
 
+def test_the_driver_has_no_list_of_a_folders_files(spark, tmp_path):
+    """Tasks find and read the files, as Spark's own reader does; no file index stands in the plan."""
+    for name in ("a.md", "x/b.MD", "x/y/c.md", "x/y/z.txt", ".git/d.md", "_w/e.md", ".h.md", "drafts/f.md", "x/ü n.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(f"# {name}\r\n".encode())
+    (tmp_path / "link.md").symlink_to(tmp_path / "a.md")
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        found = workspace.discover(spark, root, "drafts")
+        assert {r.relative_path: r.markdown for r in found.collect()} == {n: f"# {n}\r\n" for n in ("a.md", "x/b.MD", "x/y/c.md", "x/ü n.md")}
+        assert found.inputFiles() == []
+
+
 def test_a_stored_frame_leaves_no_shuffle(spark):
     """Shuffle files go with the write that made them, and the setting is as it was."""
     from foliospark.storage import _CLEANUP, stored
